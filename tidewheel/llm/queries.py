@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.llm import byte_bpe, language_id, mixing, piece_counts, simhash
+from tidewheel.llm import byte_bpe, chat_format, language_id, mixing, piece_counts, simhash, url_filter
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -63,6 +63,31 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_counts.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    messages = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat_format.read_back(chat_format.format_messages(chat_format.text_parts(messages.unionByName(extra))))
+
+
+ORACLE_SQL["op6_chat_format"] = r"""
+WITH said AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), told AS (
+  SELECT *, length(text) + length(role) + length('<s>[TURN ][/TURN]</s>')
+    + length(regexp_replace(role || text, '[^\\\[\]<>]', '', 'g')) AS formatted FROM said
+)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(formatted)::BIGINT AS formatted_chars
+FROM told GROUP BY conv_id
+"""
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language_id.fit(docs.where(~language_id.held_out()))
@@ -75,4 +100,21 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_simhash, op5_token_counts, op7_language_id, op8_byte_bpe)}
+#: The rules of the contract.
+URL_RULES = (
+    url_filter.Rule("com/en/", "block"),
+    url_filter.Rule("example.com/en/7", "allow"),
+    url_filter.Rule("net/de/", "allow"),
+    url_filter.Rule("example.net/de/8", "block"),
+    url_filter.Rule("org/es/", "block"),
+)
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(_read(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_mix_sources, op2_simhash, op5_token_counts, op6_chat_format, op7_language_id, op8_byte_bpe, op9_url_filter)
+}
