@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.llm import byte_bpe, chat_format, embedding_dedup, language_id, mixing, piece_counts, simhash, url_filter, warc
+from tidewheel.llm import byte_bpe, chat_format, embedding_dedup, language_id, mixing, multi_index, piece_counts, simhash, url_filter, warc
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -161,7 +161,11 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_read(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
 
 
+def op10_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.search(_read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("id") % 20 == 0)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_mix_sources, op2_simhash, op3_warc, op4_embedding_dedup, op5_token_counts, op6_chat_format, op7_language_id, op8_byte_bpe, op9_url_filter)
+    for f in (op1_mix_sources, op2_simhash, op3_warc, op4_embedding_dedup, op5_token_counts, op6_chat_format, op7_language_id, op8_byte_bpe, op9_url_filter, op10_multi_index)
 }
