@@ -66,6 +66,11 @@ def _r(c: str, digits: int = 6):
     return (F.round(F.col(c), digits) + 0.0).alias(c)
 
 
+def _re(c: str, digits: int = 4):
+    """Rounded after a nudge: means of two-decimal values often lie exactly on a half."""
+    return (F.round(F.col(c) + 1e-9, digits) + 0.0).alias(c)
+
+
 W_ = "(PARTITION BY series_id ORDER BY t"
 
 
@@ -305,26 +310,26 @@ def _naive_backtest(panel: DataFrame) -> DataFrame:
 for _metric in _NAMES:
     def _one(spark, sf, _m=_metric):
         rows = M.evaluate(_naive_backtest(S.hourly_events(spark, sf)), [_m], ["series_id", "fold"])
-        return rows.select("series_id", "fold", _r("score", 4))
+        return rows.select("series_id", "fold", _re("score"))
 
     _one.__name__ = f"metric_{_metric.lower()}"
-    query(f"""WITH {SERIES}, {SPLITS}, {BACKTEST} SELECT series_id, fold, round("{_metric}", 4) AS score FROM wide""")(_one)
+    query(f"""WITH {SERIES}, {SPLITS}, {BACKTEST} SELECT series_id, fold, round("{_metric}" + 1e-9, 4) AS score FROM wide""")(_one)
 
 
 @query(f"""WITH {SERIES}, {SPLITS}, {BACKTEST}, long AS (UNPIVOT wide ON {', '.join(f'"{m}"' for m in _NAMES)} INTO NAME eval_metric VALUE score)
-SELECT series_id, eval_metric, round(avg(score), 4) AS score FROM long GROUP BY 1, 2""")
+SELECT series_id, eval_metric, round(avg(score) + 1e-9, 4) AS score FROM long GROUP BY 1, 2""")
 def cv_naive_metrics(spark, sf):
     rows = M.evaluate(_naive_backtest(S.hourly_events(spark, sf)), _NAMES, ["series_id", "fold"])
-    return rows.groupBy("series_id", "eval_metric").agg(F.avg("score").alias("score")).select("series_id", "eval_metric", _r("score", 4))
+    return rows.groupBy("series_id", "eval_metric").agg(F.avg("score").alias("score")).select("series_id", "eval_metric", _re("score"))
 
 
 @query(f"""WITH {SERIES}, {SPLITS}, {BACKTEST}, e AS (SELECT series_id, fold, avg(abs(y - yhat)) AS score,
  avg(CASE WHEN h <= 6 THEN abs(y - yhat) END) AS b, avg(CASE WHEN h > 6 THEN abs(y - yhat) END) AS a FROM scored GROUP BY 1, 2)
-SELECT series_id, round(avg(score), 4) AS score, round(avg(b), 4) AS score_before_6, round(avg(a), 4) AS score_after_6 FROM e GROUP BY 1""")
+SELECT series_id, round(avg(score) + 1e-9, 4) AS score, round(avg(b) + 1e-9, 4) AS score_before_6, round(avg(a) + 1e-9, 4) AS score_after_6 FROM e GROUP BY 1""")
 def cv_split_horizon(spark, sf):
     rows = M.evaluate(_naive_backtest(S.hourly_events(spark, sf)), ["MAE"], ["series_id", "fold"], split=6)
     names = ["score", "score_before_6", "score_after_6"]
-    return rows.groupBy("series_id").agg(*[F.avg(c).alias(c) for c in names]).select("series_id", *[_r(c, 4) for c in names])
+    return rows.groupBy("series_id").agg(*[F.avg(c).alias(c) for c in names]).select("series_id", *[_re(c) for c in names])
 
 
 @query(f"""WITH RECURSIVE {SERIES}, {SPLITS},
@@ -336,10 +341,10 @@ path AS (SELECT series_id, fold, cutoff, 0 AS h, last AS yhat, a, b FROM model
 e AS (SELECT p.series_id, p.fold, avg(abs(q.y - greatest(0, p.yhat))) AS mae, sqrt(avg(pow(q.y - greatest(0, p.yhat), 2))) AS rmse
   FROM path p JOIN panel q ON q.series_id = p.series_id AND q.t = p.cutoff + p.h - 1 WHERE p.h > 0 GROUP BY 1, 2),
 long AS (SELECT series_id, 'MAE' AS eval_metric, mae AS score FROM e UNION ALL SELECT series_id, 'RMSE', rmse FROM e)
-SELECT series_id, eval_metric, round(avg(score), 4) AS score FROM long GROUP BY 1, 2""")
+SELECT series_id, eval_metric, round(avg(score) + 1e-9, 4) AS score FROM long GROUP BY 1, 2""")
 def cv_ar1_metrics(spark, sf):
     rows = P.cross_validate(S.hourly_events(spark, sf), Lagged(1), FOLDS, TEST, ["MAE", "RMSE"], STEP)
-    return rows.select("series_id", "eval_metric", _r("score", 4))
+    return rows.select("series_id", "eval_metric", _re("score"))
 
 
 _WINDOWS, _DELTAS = 10, (0.5, 0.8)
@@ -405,7 +410,7 @@ def aggregate_conformal_sum(spark, sf):
 
 
 def _pairs(spark, sf):
-    """purchase and view demand side by side, aligned on the hour."""
+    """Click and purchase demand side by side, aligned on the hour."""
     panel = S.hourly_events(spark, sf).select("ts", "series_id", "y")
     kinds = "series_id in ('click', 'purchase')"
     both = panel.where(kinds).groupBy("ts").pivot("series_id", ["click", "purchase"]).agg(F.first("y")).dropna()
@@ -414,8 +419,8 @@ def _pairs(spark, sf):
 
 _LAGS = 6
 PAIRS = f"""
-both AS (SELECT a.ts, a.y AS x, b.y AS y, row_number() OVER (ORDER BY a.ts) - 1 AS t FROM panel a JOIN panel b ON a.ts = b.ts AND a.series_id = 'click' AND b.series_id = 'purchase'),
-c AS (SELECT t, x - avg(x) OVER () AS x, y - avg(y) OVER () AS y FROM both),
+met AS (SELECT a.ts, a.y AS x, b.y AS y, row_number() OVER (ORDER BY a.ts) - 1 AS t FROM panel a JOIN panel b ON a.ts = b.ts AND a.series_id = 'click' AND b.series_id = 'purchase'),
+c AS (SELECT t, x - avg(x) OVER () AS x, y - avg(y) OVER () AS y FROM met),
 s AS (SELECT count(*) AS n, sqrt(sum(x * x) * sum(y * y)) AS s FROM c),
 k AS (SELECT k, sum(a.y * b.x) AS p FROM range(0, {_LAGS + 1}) r(k) JOIN c a ON true JOIN c b ON b.t = a.t + k GROUP BY k),
 ccf AS (SELECT 'pair' AS series_id, k::INT AS lag, p / s * CASE WHEN k > 0 THEN n / (n - k) ELSE 1 END AS ccf, n FROM k, s)"""
