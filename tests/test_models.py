@@ -205,3 +205,23 @@ def test_reports(spark):
     assert P.fit_reports(df, m, "criteria").count() == 4
     assert P.fit_reports(df, m, "regimes").count() == 2
     assert P.fit_reports(df, m, "covariance").count() == 2
+
+
+def test_probabilistic(spark):
+    from tidewheel.plans.probabilistic import Probabilistic
+
+    p = Probabilistic(panel(spark, a=seasonal(), b=seasonal()), {0: Naive(12), 1: Lagged(12)}, 8, 3)
+    out = p.intervals([0.5, 0.8])
+    assert out.count() == 2 * 2 * 3 * 2 and out.where("lower > yhat or yhat > upper").count() == 0
+    assert p.quantiles([0.3, 0.5, 0.7]).count() == 36 and p.distribution().count() == 2 * 2 * 3 * 8
+    assert p.bootstrap(50).count() == 600 and p.bootstrap_quantiles([0.1, 0.9], "correlated", 100).count() == 24
+    assert p.aggregate([0.5]).count() == 6 and "lower_50" in p.intervals(0.5, wide=True).columns
+    p.release()
+
+
+def test_importances_name_the_signal():
+    y = [1.0, 2.0, 3.0]
+    for _ in range(200):
+        y.append(0.9 * y[-3] + RNG.normal(0, 0.5))
+    m = Lagged([1, 2, 3], prepare=Prepare(nonnegative=False)).fit(np.array(y)[:, None])
+    assert max(m.importances(), key=lambda r: r[2])[1] == "y0_lag_3"

@@ -29,7 +29,7 @@ def test_oracle(spark, name):
     assert len(off) <= len(a) // 200, off[:3]  # a value on a rounding boundary may fall either way
 
 
-@pytest.mark.parametrize("name", ["var_forecast", "hmm_var_forecast", "ets_forecast", "sarima_forecast", "direct_forecast", "pooled_forecast", "stl_strength"])
+@pytest.mark.parametrize("name", ["var_forecast", "hmm_var_forecast", "ets_forecast", "sarima_forecast", "direct_forecast", "pooled_forecast", "stl_strength", "ets_fitted", "feature_importances"])
 def test_rows_only(spark, name):
     assert catalogue.QUERIES[name](spark, SF).count() > 0
 

@@ -183,7 +183,7 @@ class Lagged:
         regressors = self.regressor if isinstance(self.regressor, (list, tuple)) else [self.regressor] * z.shape[1]
         models = [r.fit(design, z[:, j]) for j, r in enumerate(regressors)]
         fitted = np.column_stack([m.predict(design) for m in models])
-        return FittedLagged(self, models, names, done, z, fitted, rows)
+        return FittedLagged(self, models, names, done, z, fitted, rows, design)
 
 
 @dataclass
@@ -195,6 +195,7 @@ class FittedLagged:
     z: np.ndarray
     fitted: np.ndarray
     rows: np.ndarray
+    inputs: np.ndarray
 
     def forecast(self, h: int, x: np.ndarray | None = None) -> np.ndarray:
         k = self.z.shape[1]
@@ -214,6 +215,19 @@ class FittedLagged:
             past[at] = [m.predict(one)[0] for m in self.models]
         return np.column_stack([d.back(past[n:, j]) for j, d in enumerate(self.done)])
 
+    def importances(self, seed: int = 0) -> list[tuple[int, str, float]]:
+        """(target, feature, share): the loss of fit when a feature's training values are shuffled."""
+        rng, out = np.random.default_rng(seed), []
+        for j, m in enumerate(self.models):
+            base, lost = float(((self.z[:, j] - self.fitted[:, j]) ** 2).mean()), []
+            for c in range(self.inputs.shape[1]):
+                mixed = self.inputs.copy()
+                mixed[:, c] = rng.permutation(mixed[:, c])
+                lost.append(max(0.0, float(((self.z[:, j] - m.predict(mixed)) ** 2).mean()) - base))
+            total = sum(lost) or 1.0
+            out += [(j, name, v / total) for name, v in zip(self.names, lost)]
+        return out
+
     def criteria(self) -> dict[str, float]:
         """Per-n for several targets; k counts the intercept, and the variance for linear models."""
         n, p, k = len(self.z), len(self.names), self.z.shape[1]

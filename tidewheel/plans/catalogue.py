@@ -576,3 +576,33 @@ def pooled_forecast(spark, sf):
 
     panel = S.hourly_events(spark, sf)
     return pooled.forecast(pooled.fit(panel, [1, 2, 24]), panel, [1, 2, 24], 12)
+
+
+@query()
+def probabilistic_intervals(spark, sf):
+    from tidewheel.plans.probabilistic import Probabilistic
+
+    return Probabilistic(S.monthly_orders(spark, sf), {0: Naive(12), 1: Ets("add"), 2: Lagged([1, 12])}, 8, 6).intervals([0.5, 0.8])
+
+
+@query()
+def ets_fitted(spark, sf):
+    return P.fit_reports(S.monthly_orders(spark, sf), Ets("add", alpha=0.4, beta=0.1), "fitted")
+
+
+@query()
+def feature_importances(spark, sf):
+    return P.fit_reports(S.monthly_orders(spark, sf), Lagged([1, 2, 12], regressor=REGRESSORS["boosting"]), "importances")
+
+
+@query(f"""WITH n AS (SELECT o_orderpriority AS series_id, count(DISTINCT date_trunc('month', o_orderdate))::INT AS n FROM orders GROUP BY 1),
+s AS (SELECT series_id, n - 6 - k * 3 AS cutoff FROM n, range(0, 4) r(k) WHERE n - 6 - k * 3 >= 0)
+SELECT series_id, row_number() OVER (PARTITION BY series_id ORDER BY cutoff)::INT AS fold, cutoff::INT AS cutoff,
+ round((pow(cutoff, 0.5) - 1) / 0.5, 6) AS z FROM s""")
+def sql_functions(spark, sf):
+    """The SQL table function of folds and the SQL Box-Cox, per series."""
+    from tidewheel.functions.sql import register
+
+    register(spark)
+    S.monthly_orders(spark, sf).groupBy("series_id").agg(F.count("*").cast("int").alias("n")).createOrReplaceTempView("tidewheel_lengths")
+    return spark.sql("SELECT l.series_id, f.fold, f.cutoff, round(box_cox(f.cutoff, 0.5), 6) AS z FROM tidewheel_lengths l, LATERAL folds(l.n, 4, 6, 3) f")

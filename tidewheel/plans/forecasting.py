@@ -145,13 +145,17 @@ def cross_validate(panel: DataFrame, models, n_splits: int, horizon: int, metric
 
 def fit_reports(panel: DataFrame, models, report: str, targets: Sequence[str] = ("y",), exog: Sequence[str] = (), keys: Sequence[str] = KEYS) -> DataFrame:
     """What fitted models say of themselves, long: ``criteria`` (name, value), ``states``
-    (t, state, probability) or ``parameters`` (variable, equation, regime, coef, ...)."""
+    (t, state, probability), ``parameters`` (variable, equation, regime, coef, ...), ``regimes``
+    and ``covariance`` of Markov-switching models, ``fitted`` (t, value: an exponential
+    smoothing's one-step values, usable as a feature) or ``importances``."""
     models = models if isinstance(models, Mapping) else {0: models}
     shapes = {
         "criteria": "name string, value double",
         "states": "t int, state int, probability double",
         "regimes": "state int, probability double, log_likelihood double",
         "covariance": "regime int, a int, b int, value double",
+        "fitted": "t int, value double",
+        "importances": "target int, feature string, share double",
         "parameters": "variable string, equation int, regime int, coef double, std_err double, t_stat double, p_value double, r2 double",
     }
     dealt = pack(panel, targets, exog, keys).withColumn("candidate", F.explode(F.array(*[F.lit(c) for c in models]))).repartition(_width(panel))
@@ -165,6 +169,10 @@ def fit_reports(panel: DataFrame, models, report: str, targets: Sequence[str] =
         at = [*(getattr(row, k) for k in keys), row.candidate]
         if report == "criteria":
             return [(*at, k, _none(v)) for k, v in m.criteria().items()]
+        if report == "fitted":
+            return [(*at, t, float(v)) for t, v in enumerate(m.fitted)]
+        if report == "importances":
+            return [(*at, *r) for r in m.importances()]
         if report == "parameters":
             return [(*at, *(_none(v) if isinstance(v, float) else v for v in p.values())) for p in m.parameters()]
         if report == "regimes":
