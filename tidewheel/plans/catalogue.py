@@ -585,9 +585,61 @@ def probabilistic_intervals(spark, sf):
     return Probabilistic(S.monthly_orders(spark, sf), {0: Naive(12), 1: Ets("add"), 2: Lagged([1, 12])}, 8, 6).intervals([0.5, 0.8])
 
 
-@query()
+@query(f"""WITH RECURSIVE {MONTHS}, s AS (
+  SELECT p.series_id, 0 AS t, p.y + (q.y - p.y) AS base, 0.4 * p.y + 0.6 * q.y AS level,
+    0.1 * (0.4 * p.y + 0.6 * q.y - p.y) + 0.9 * (q.y - p.y) AS slope FROM panel p JOIN panel q ON q.series_id = p.series_id AND q.t = 1 WHERE p.t = 0
+  UNION ALL
+  SELECT s.series_id, s.t + 1, s.level + s.slope, 0.4 * p.y + 0.6 * (s.level + s.slope),
+    0.1 * (0.4 * p.y + 0.6 * (s.level + s.slope) - s.level) + 0.9 * s.slope FROM s JOIN panel p ON p.series_id = s.series_id AND p.t = s.t + 1)
+SELECT series_id, 0 AS candidate, t::INT AS t, round(base, 4) AS value FROM s""")
 def ets_fitted(spark, sf):
-    return P.fit_reports(S.monthly_orders(spark, sf), Ets("add", alpha=0.4, beta=0.1), "fitted")
+    """Holt's linear smoothing with fixed factors: one-step fitted values."""
+    return P.fit_reports(S.monthly_orders(spark, sf), Ets("add", alpha=0.4, beta=0.1), "fitted").select("series_id", "candidate", "t", _r("value", 4))
+
+
+@query(f"""WITH {SERIES}, lags AS (SELECT p.series_id, h, p.y AS x, q.y AS z FROM panel p JOIN range(1, {AHEAD + 1}) r(h) ON true
+  JOIN panel q ON q.series_id = p.series_id AND q.t = p.t + h),
+m AS (SELECT series_id, h, regr_slope(z, x) AS b, regr_intercept(z, x) AS a FROM lags GROUP BY 1, 2),
+last AS (SELECT series_id, arg_max(y, t) AS y FROM panel GROUP BY 1)
+SELECT series_id, h::INT AS h, round(greatest(0, a + b * y), 4) AS yhat FROM m JOIN last USING (series_id)""")
+def direct_ar1_forecast(spark, sf):
+    """A model of its own for every step ahead."""
+    return P.forecast(S.hourly_events(spark, sf), Direct(1, horizon=AHEAD), AHEAD).select("series_id", "h", _r("yhat", 4))
+
+
+@query(f"""WITH RECURSIVE {SERIES}, d AS (SELECT series_id, t, y, y - lag(y) OVER {W_}) AS d FROM panel),
+e AS (SELECT *, lag(d) OVER {W_}) AS x FROM d),
+m AS (SELECT series_id, regr_slope(d, x) AS b, regr_intercept(d, x) AS a, arg_max(d, t) AS d, arg_max(y, t) AS y FROM e GROUP BY 1),
+path AS (SELECT series_id, 0 AS h, a, b, d, y FROM m UNION ALL SELECT series_id, h + 1, a, b, a + b * d, y + a + b * d FROM path WHERE h < {AHEAD})
+SELECT series_id, h::INT AS h, round(greatest(0, y), 4) AS yhat FROM path WHERE h > 0""")
+def ml_differenced_forecast(spark, sf):
+    """Recursive regression on differences, undone after the recursion and clamped at 0."""
+    return P.forecast(S.hourly_events(spark, sf), Lagged(1, prepare=Prepare(difference=1)), AHEAD).select("series_id", "h", _r("yhat", 4))
+
+
+_KPSS_LAGS = 4
+
+
+@query(f"""WITH {MONTHS}, e AS (SELECT series_id, t, y - avg(y) OVER (PARTITION BY series_id) AS e FROM panel),
+c AS (SELECT series_id, t, e, sum(e) OVER {W_}) AS c FROM e), n AS (SELECT series_id, count(*) AS n, sum(c * c) AS top, sum(e * e) AS s0 FROM c GROUP BY 1),
+k AS (SELECT a.series_id, sum((1 - j / {_KPSS_LAGS + 1}.0::DOUBLE) * a.e * b.e) AS s1 FROM e a JOIN range(1, {_KPSS_LAGS + 1}) r(j) ON true
+  JOIN e b ON b.series_id = a.series_id AND b.t = a.t - j GROUP BY 1)
+SELECT series_id, round(top / (n * n * (s0 / n + 2.0 / n * s1)), 6) AS statistic FROM n JOIN k USING (series_id)""")
+def kpss_statistic(spark, sf):
+    return D.unit_root(S.monthly_orders(spark, sf), "KPSS", _KPSS_LAGS).select("series_id", _r("statistic"))
+
+
+@query(f"""WITH RECURSIVE {SERIES}, m AS (SELECT series_id, t, y, lag(y, 1) OVER {W_}) AS x1, lag(y, 2) OVER {W_}) AS x2 FROM panel),
+g AS (SELECT series_id, var_pop(x1) AS s11, var_pop(x2) AS s22, covar_pop(x1, x2) AS s12, covar_pop(x1, y) AS s1, covar_pop(x2, y) AS s2,
+  avg(y) AS my, avg(x1) AS m1, avg(x2) AS m2 FROM m WHERE x2 IS NOT NULL GROUP BY 1),
+b AS (SELECT *, (s1 * s22 - s2 * s12) / (s11 * s22 - s12 * s12) AS b1, (s2 * s11 - s1 * s12) / (s11 * s22 - s12 * s12) AS b2 FROM g),
+z AS (SELECT b.series_id, my - b1 * m1 - b2 * m2 AS a, b1, b2, arg_max(p.y, p.t) AS y1, arg_max(p.y, p.t) FILTER (p.t < n.m) AS y2
+  FROM b JOIN panel p ON p.series_id = b.series_id JOIN (SELECT series_id, max(t) AS m FROM panel GROUP BY 1) n ON n.series_id = b.series_id GROUP BY ALL),
+path AS (SELECT series_id, 0 AS h, a, b1, b2, y1, y2 FROM z UNION ALL SELECT series_id, h + 1, a, b1, b2, a + b1 * y1 + b2 * y2, y1 FROM path WHERE h < {AHEAD})
+SELECT series_id, h::INT AS h, round(y1, 4) AS yhat FROM path WHERE h > 0""")
+def ar2_recursive_forecast(spark, sf):
+    """Two lags: normal equations by one aggregation, recursion by an array fold."""
+    return R.recurse_ar(R.fit_ar(S.hourly_events(spark, sf), 2), 2, AHEAD).select("series_id", "h", _r("yhat", 4))
 
 
 @query()
