@@ -196,9 +196,25 @@ def piecewise_trend(spark, sf):
     return TR.forecast_trend(TR.fit_trend(S.monthly_orders(spark, sf), breaks=[24, 48]), 12, breaks=[24, 48]).select("series_id", "h", "t", _r("trend", 4))
 
 
-@query()
+def _two(x1: str, x2: str, y: str) -> str:
+    """SQL of least squares of y on two columns with intercept: a, b1, b2 of each series."""
+    v1, v2, v12, c1, c2 = f"var_pop({x1})", f"var_pop({x2})", f"covar_pop({x1}, {x2})", f"covar_pop({x1}, {y})", f"covar_pop({x2}, {y})"
+    b1, b2 = f"({c1} * {v2} - {c2} * {v12}) / ({v1} * {v2} - {v12} * {v12})", f"({c2} * {v1} - {c1} * {v12}) / ({v1} * {v2} - {v12} * {v12})"
+    return f"{b1} AS b1, {b2} AS b2, avg({y}) - {b1} * avg({x1}) - {b2} * avg({x2}) AS a"
+
+
+@query(f"""WITH {MONTHS}, d AS (SELECT series_id, t, t::DOUBLE AS x1, (t * t)::DOUBLE AS x2, y FROM panel),
+m AS (SELECT series_id, max(t) AS last_t, {_two("x1", "x2", "y")} FROM d GROUP BY 1)
+SELECT series_id, h::INT AS h, (last_t + h)::INT AS t, round(a + b1 * (last_t + h) + b2 * (last_t + h) * (last_t + h), 3) AS trend FROM m, range(1, 13) r(h)""")
 def polynomial_trend(spark, sf):
-    return TR.forecast_trend(TR.fit_trend(S.monthly_orders(spark, sf), degree=2), 12, degree=2).select("series_id", "h", "t", _r("trend", 4))
+    return TR.forecast_trend(TR.fit_trend(S.monthly_orders(spark, sf), degree=2), 12, degree=2).select("series_id", "h", "t", _r("trend", 3))
+
+
+@query(f"""WITH {MONTHS}, d AS (SELECT series_id, t, t::DOUBLE AS x1, greatest(0, t - 40)::DOUBLE AS x2, y FROM panel),
+m AS (SELECT series_id, max(t) AS last_t, {_two("x1", "x2", "y")} FROM d GROUP BY 1)
+SELECT series_id, h::INT AS h, (last_t + h)::INT AS t, round(a + b1 * (last_t + h) + b2 * greatest(0, last_t + h - 40), 3) AS trend FROM m, range(1, 13) r(h)""")
+def hinge_trend(spark, sf):
+    return TR.forecast_trend(TR.fit_trend(S.monthly_orders(spark, sf), breaks=[40]), 12, breaks=[40]).select("series_id", "h", "t", _r("trend", 3))
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderpriority = '2-HIGH' THEN 1.0 ELSE 0.0 END::DOUBLE AS priority_2, CASE WHEN o_orderpriority = '5-LOW' THEN 1.0 ELSE 0.0 END::DOUBLE AS priority_5,
@@ -507,6 +523,18 @@ def var_forecast(spark, sf):
     return P.forecast(S.monthly_by_status(spark, sf), Lagged([1, 2], prepare=Prepare(box_cox=True)), 12, ["F", "O", "P"])
 
 
+@query(f"""WITH RECURSIVE p AS (SELECT date_trunc('month', o_orderdate) AS ts, count(*) FILTER (o_orderstatus = 'F')::DOUBLE AS f,
+  count(*) FILTER (o_orderstatus = 'O')::DOUBLE AS o FROM orders GROUP BY 1),
+l AS (SELECT ts, f, o, lag(f) OVER (ORDER BY ts) AS x1, lag(o) OVER (ORDER BY ts) AS x2 FROM p),
+m AS (SELECT 1 AS k, {_two("x1", "x2", "f")} FROM l WHERE x1 IS NOT NULL), n AS (SELECT 1 AS k, {_two("x1", "x2", "o")} FROM l WHERE x1 IS NOT NULL),
+path AS (SELECT 0 AS h, arg_max(f, ts) AS f, arg_max(o, ts) AS o FROM p
+  UNION ALL SELECT h + 1, m.a + m.b1 * f + m.b2 * o, n.a + n.b1 * f + n.b2 * o FROM path JOIN m ON true JOIN n ON true WHERE h < {AHEAD})
+SELECT 'F' AS target, h::INT AS h, round(greatest(0, f), 4) AS yhat FROM path WHERE h > 0
+UNION ALL SELECT 'O', h::INT, round(greatest(0, o), 4) FROM path WHERE h > 0""")
+def var1_forecast(spark, sf):
+    return P.forecast(S.monthly_by_status(spark, sf), Lagged(1), AHEAD, ["F", "O"]).select("target", "h", _r("yhat", 4))
+
+
 @query()
 def bidirect_forecast(spark, sf):
     return P.forecast(S.monthly_by_status(spark, sf), Lagged(3, regressor=(REGRESSORS["ridge"], REGRESSORS["forest"])), 6, ["F", "O"])
