@@ -52,10 +52,15 @@ def to_panel(df: DataFrame, series_id: str | Column, ts: str | Column, y: str |
 
 
 def gap_fill(panel: DataFrame, unit: str = "HOUR", fill: float | None = 0.0) -> DataFrame:
-    """Every step between a series' first and last: missing ones get ``fill``."""
-    ends = panel.groupBy("series_id").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
-    grid = ends.select("series_id", F.explode(F.expr(f"sequence(a, b, interval 1 {unit})")).alias("ts"))
-    full = grid.join(panel.drop("t"), ["series_id", "ts"], "left")
+    """Every step between a series' first and last: missing ones get ``fill`` (other columns NULL).
+
+    Each row spreads over the steps up to the next row: one window over the data, no join
+    with a calendar and no second scan."""
+    later = panel.drop("t").withColumn("_next", F.lead("ts").over(by_time(order="ts")))
+    steps = F.expr(f"sequence(ts, coalesce(_next - interval 1 {unit}, ts), interval 1 {unit})")
+    rest = [c for c in later.columns if c not in ("series_id", "ts", "_next")]
+    spread = later.withColumn("_ts", F.explode(steps))
+    full = spread.select("series_id", F.col("_ts").alias("ts"), *[F.when(F.col("_ts") == F.col("ts"), F.col(c)).alias(c) for c in rest])
     return number(full if fill is None else full.withColumn("y", F.coalesce("y", F.lit(fill))))
 
 
