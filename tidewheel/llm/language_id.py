@@ -109,8 +109,15 @@ def identify(docs: DataFrame, model: tuple[tuple[str, bytes], ...], min_margin:
         of = _classifier(shared.value)
         return pd.DataFrame([of.predict(t) for t in texts], columns=["lang_pred", "score", "margin"])
 
-    names = ("lang_pred", "score", "margin", "rejected", "__tw_pred")
+    names = ("lang_pred", "score", "margin", "rejected", "__tw_pred", "__tw_long")
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in names]
     pred = docs.drop(*names).withColumn("__tw_pred", predict("text"))
-    out = pred.select(*kept, "__tw_pred.*")
-    return out.withColumn("rejected", (F.col("lang_pred") == UNDETERMINED) | (F.col("margin") < min_margin))
+    long_ = F.octet_length("text") >= MIN_EVIDENCE
+    out = pred.select(*kept, "__tw_pred.*", F.coalesce(long_, F.lit(False)).alias("__tw_long"))
+    return out.withColumn("rejected", (F.col("lang_pred") == UNDETERMINED) | (F.col("margin") < min_margin) & F.col("__tw_long")).drop("__tw_long")
+
+
+def keep_identified(docs: DataFrame, model: tuple[tuple[str, bytes], ...], min_margin: float = MIN_MARGIN) -> DataFrame:
+    """The documents whose language is not rejected, with all their columns and no others."""
+    rows = docs.select(F.struct("*").alias("__tw_row"), "text")
+    return identify(rows, model, min_margin).where("not rejected").select("__tw_row.*")

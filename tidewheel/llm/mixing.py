@@ -77,7 +77,7 @@ def plan(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), max_repeats: int
     return joined.withColumn("rate", rate).withColumn("copies", copies.cast("int")).withColumn("taken", F.col("copies") * F.col("size"))
 
 
-def mix(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: each document's row repeated ``copies`` times, input columns only."""
-    repeated = plan(docs, **how).withColumn("__tw_copy", F.explode(F.expr("array_repeat(0, copies)")))
-    return repeated.select(*[F.col(f"`{c}`") for c in docs.columns if c not in OWN])
+def mix(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
+    """The mix itself: each document's row repeated ``copies`` times, with all its columns and no others."""
+    rows = docs.select(F.struct("*").alias("__tw_row"), id_col, "text", "source")
+    return plan(rows, id_col=id_col, **how).withColumn("__tw_copy", F.explode(F.expr("array_repeat(0, copies)"))).select("__tw_row.*")
