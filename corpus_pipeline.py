@@ -20,7 +20,7 @@ from tidewheel.llm._session import fresh_folder
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language_id.fit(docs.where(~language_id.held_out()))
-    return language_id.identify(docs, model).where("not rejected").select(*[f"`{c}`" for c in docs.columns])
+    return language_id.keep_identified(docs, model)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
