@@ -8,7 +8,7 @@ only where it is compatible with the one before.  Determinising it on the fly gi
 states that are sets of hypotheses, each with the tokens it has read but not emitted;
 what all hypotheses agree on is emitted, so output trails input by a bounded lookahead
 (the longest token).  States and transitions are interned as texts need them, and
-pre-token results are remembered; both stores are cleared when full.
+pre-token results are remembered, in two generations; states are cleared when full.
 
 Decoding.  Ids become text through an incremental UTF-8 automaton whose state survives
 from token to token, so characters split between tokens come out whole; ill-formed input
@@ -31,8 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ROOT = 0
-#: Interned states, transitions and pre-tokens a worker keeps, and the longest pre-token remembered.
-STATES, MOVES, MEMO, MEMO_CHARS = 400_000, 1_000_000, 1_000_000, 64
+#: Interned states and transitions a worker keeps; pre-tokens of a generation it remembers (it
+#: keeps two), and the longest pre-token remembered.
+STATES, MOVES, MEMO, MEMO_CHARS = 250_000, 500_000, 300_000, 64
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -76,11 +77,12 @@ class Transducer:
         self.fits: dict[int, bool] = {}
         self._clear()
         self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _clear(self) -> None:
         self.number: dict[tuple, int] = {}
         self.hypotheses: list[tuple] = []
-        self.move: dict[int, tuple[int, tuple[int, ...]]] = {}
+        self.move: dict[int, int | tuple[int, tuple[int, ...]]] = {}
         self.start = self._state(((-1, ROOT, ()),))
 
     def _state(self, hypotheses: tuple) -> int:
@@ -115,7 +117,7 @@ class Transducer:
         leftmost goes first."""
         if token not in self.left or before < 0:
             return token in self.left
-        key = before * 0x100000000 + token
+        key = before << 32 | token
         known = self.fits.get(key)
         if known is None:
             if len(self.fits) > MOVES:
@@ -129,28 +131,34 @@ class Transducer:
             self.fits[key] = known
         return known
 
-    def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        """Determinise one transition: (next state, tokens emitted)."""
-        after = []
+    def _step(self, state: int, byte: int) -> int | tuple[int, tuple[int, ...]]:
+        """Determinise one transition: the next state, with the tokens emitted if there are any."""
+        after, child_of, ends, inner, fits = [], self.child, self.ends, self.inner, self.fits
         for before, node, pending in self.hypotheses[state]:
-            child = self.child.get(node << 8 | byte)
+            child = child_of.get(node << 8 | byte)
             if child is None:
                 continue
-            token = self.ends[child]
-            if token >= 0 and self.compatible(before, token):
-                after.append((token, ROOT, (*pending, token)))
-            if child in self.inner:
+            token = ends[child]
+            if token >= 0:
+                fit = fits.get(before << 32 | token)
+                if self.compatible(before, token) if fit is None else fit:
+                    after.append((token, ROOT, (*pending, token)))
+            if child in inner:
                 after.append((before, child, pending))
-        common = after[0][2]
+        first = after[0][2]
+        common = len(first)
         for _, _, pending in after[1:]:
+            common = min(common, len(pending))
             k = 0
-            for a, b in zip(common, pending):
-                if a != b:
-                    break
+            while k < common and pending[k] == first[k]:
                 k += 1
-            common = common[:k]
-        k = len(common)
-        found = self._state(tuple((b, n, p[k:]) for b, n, p in after)), common
+            common = k
+            if not common:
+                break
+        if common:
+            found = self._state(tuple([(b, n, p[common:]) for b, n, p in after])), first[:common]
+        else:
+            found = self._state(tuple(after))
         self.move[state << 8 | byte] = found
         return found
 
@@ -168,8 +176,10 @@ class Transducer:
                     self._clear()
                     state, move = self._state(held), self.move
                 step = self._step(state, byte)
-            state = step[0]
-            if step[1]:
+            if type(step) is int:
+                state = step
+            else:
+                state = step[0]
                 out += step[1]
         for _, node, pending in self.hypotheses[state]:
             if node == ROOT:
@@ -179,14 +189,15 @@ class Transducer:
 
     def encode(self, words: Iterable[str]) -> bytes:
         """Little-endian unsigned 32-bit ids of a text's pre-tokens."""
-        memo = self.memo
-        if len(memo) > MEMO:
-            memo.clear()
-        out = []
+        if len(self.memo) > MEMO:
+            self.old, self.memo = self.memo, {}
+        memo, old, out = self.memo, self.old, []
         for w in words:
             ids = memo.get(w)
             if ids is None:
-                ids = np.array(self.tokens(w.encode()), "<u4").tobytes()
+                ids = old.get(w)
+                if ids is None:
+                    ids = np.array(self.tokens(w.encode()), "<u4").tobytes()
                 if len(w) <= MEMO_CHARS:
                     memo[w] = ids
             out.append(ids)
