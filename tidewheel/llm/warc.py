@@ -82,12 +82,14 @@ def parse_record(data: bytes) -> dict:
 
 
 def train_dictionary(pages: DataFrame, id_col: str = "page_id") -> bytes:
-    """From the records of at most SAMPLE_RECORDS pages, the first by hash of the id, and at
-    most SAMPLE_CHARS characters of each."""
+    """From about SAMPLE_RECORDS pages, chosen by hash of the id at the rate that gives that
+    many (so no partition sends more than its share), and at most SAMPLE_CHARS characters of each."""
     import zstandard
 
     sample = pages.select(F.col(id_col), "url", F.substring("html", 1, SAMPLE_CHARS).alias("html"))
-    rows = sample.orderBy(F.xxhash64(F.col(id_col)), F.col(id_col)).limit(SAMPLE_RECORDS).collect()
+    share = F.lit(int((1 << 30) * SAMPLE_RECORDS / max(SAMPLE_RECORDS, pages.count())))
+    rows = sample.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30)) < share).collect()
+    rows.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1] or "", r[2] or ""))
     records = []
     for page_id, url, html in rows:
         payload = (html or "").encode()
