@@ -63,7 +63,7 @@ def test_mixing_targets_and_copies(spark):
     assert (per.target <= 3 * per.s + 1e-9).all()
     assert (abs(per.taken - per.target) < 0.2 * per.target + 20).all()
     assert mixing.mix(docs).count() == out["copies"].sum()
-    assert mixing.mix(docs).columns == [c for c in docs.columns if c not in mixing.OWN]
+    assert mixing.mix(docs).columns == docs.columns and {tuple(r)[5:] for r in mixing.mix(docs).collect()} == {("x", "y", "z")}
 
 
 def test_mixing_reshare_is_iterative_reshare(spark):
@@ -361,6 +361,7 @@ def test_language_edges(spark):
     rows = {r.doc_id: r for r in out.collect()}
     assert all(rows[k].lang_pred == "und" and rows[k].rejected for k in (1, 2, 5, 8)) and rows[4].lang_pred != "und"
     assert out.columns[-4:] == ["lang_pred", "score", "margin", "rejected"] and out.columns.count("score") == 1
+    assert {tuple(r)[5:] for r in language_id.keep_identified(awkward(spark), model).collect()} == {("x", "y", "z")}
     none = language_id.fit(awkward(spark).where("lang = 'xx'"))
     assert none == () and {r.lang_pred for r in language_id.identify(awkward(spark), none).collect()} == {"und"}
     assert language_id.identify(awkward(spark).limit(0), model).count() == 0
@@ -491,7 +492,10 @@ def test_multi_index_ties_copies_and_recall(spark, monkeypatch):
     shape = "vec_id long, embedding array<float>"
     assert multi_index.search(spark.createDataFrame([], shape), F.col("id") == 0).count() == 0
     assert multi_index.search(spark.createDataFrame([(0, [1.0])], shape), F.col("id") == 0).count() == 0
+    twice = [(0, [1.0]), (7, [0.5]), (7, [0.5]), (8, [0.1])]
+    assert [r.vec_id for r in multi_index.search(spark.createDataFrame(twice, shape), F.col("id") == 0).orderBy("rank").collect()] == [7, 7, 8]
     monkeypatch.setattr(multi_index, "SHARD", 300)
+    monkeypatch.setattr(multi_index, "GROUPS", 3)
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     x = np.array(df.orderBy("vec_id").toPandas().embedding.tolist(), float)
     got = multi_index.search(df, F.col("id") % 20 == 0, share=0.6, least=100).toPandas().groupby("query_id").vec_id.apply(set)

@@ -10,8 +10,8 @@ The walk needs only the cells' sizes, a table bounded by the codebooks.  It ends
 bound on the summed distance, and the query visits the shards that hold cells within it,
 carrying just its vector and the bound.
 
-Codebooks are fitted to a bounded sample (``SAMPLE_ROWS`` vectors, by hash of the id);
-every row is indexed.  Cells in order fill shards of ``SHARD`` rows; a cell that reaches
+Codebooks are fitted to a bounded sample (about ``SAMPLE_ROWS`` vectors, by hash of the id);
+every row is indexed.  Cells in order fill shards of up to ``SHARD`` rows; a cell that reaches
 over several is dealt over them, and all its queries visit each, so no cell has to fit one
 task.  A task holds one shard's vectors and streams the queries past it.
 
@@ -20,7 +20,7 @@ go to the smaller id), so only those are stored: exact, and a group of copies of
 costs k + 1 rows.
 
 Defined cases: vectors that are null, zero or hold null or non-finite components, or have
-a null id, take no part as query or candidate; vectors of different lengths compare as if
+a null id, take no part as query or candidate; repeated rows are candidates each; vectors of different lengths compare as if
 the shorter were padded with zeros; rows that share a query's id are not its candidates;
 fewer candidates than k give fewer rows.
 """
@@ -40,10 +40,12 @@ from tidewheel.llm._session import cut
 from tidewheel.llm.embedding_dedup import _matrix, usable
 
 SAMPLE_ROWS, ROUNDS = 20_000, 12
-#: Rows of a shard; centroids of a half at most (about the square root of the rows below that).
-SHARD, CENTROIDS = 16_384, 512
+#: Rows of a shard at most (fewer while that leaves under SPREAD shards); centroids of a half at most (about the square root of the rows below that).
+SHARD, SPREAD, CENTROIDS = 16_384, 24, 512
 #: Share of the indexed rows, and rows at least, that a query's cells hold before it stops.
 SHARE, LEAST = 0.35, 4096
+#: Groups of shards whose lists are merged first.
+GROUPS = 64
 #: Steps of the bound, in a walk, from the nearest pair of centroids to the farthest.
 STEPS = 64
 
@@ -126,7 +128,10 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
     if not count:
         return spark.createDataFrame([], shape)
     half = (dim + 1) // 2
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).toPandas()
+    share_of = F.lit(int((1 << 40) * min(1.0, SAMPLE_ROWS / count)))
+    sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < share_of).toPandas().sort_values("id", ignore_index=True)
+    if not len(sample):
+        sample = rows.limit(1).toPandas()
     points = _matrix(sample["vec"], 2 * half)
     centroids = int(min(CENTROIDS, max(2, round(count**0.5))))
     books = quantiser(points[:, :half], centroids), quantiser(points[:, half:], centroids)
@@ -143,7 +148,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
     for cell, n in placed.groupBy("cell").count().collect():
         sizes[cell // wide, cell % wide] = n
     after = np.cumsum(sizes.ravel())
-    lowest, highest = (after - sizes.ravel()) // SHARD, np.maximum(after - 1, 0) // SHARD
+    rows_each = min(SHARD, max(1024, count // SPREAD))
+    lowest, highest = (after - sizes.ravel()) // rows_each, np.maximum(after - 1, 0) // rows_each
     enough = max(least, int(share * count))
     grid = spark.sparkContext.broadcast((sizes, lowest, highest))
 
@@ -195,13 +201,20 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
                 for query, own, bound in zip(x, part["id"], part["bound"]):
                     met = (-(a @ query[:half]))[i] + (-(b @ query[half:]))[j] <= bound + 1e-9
                     entry = np.flatnonzero(met[member])
-                    rows.append((own, *best(query, held[0][entry], held[1][entry], own, k)))
-                yield pd.DataFrame(rows, columns=["query_id", "ids", "scores"])
+                    rows.append((own, shard % GROUPS, *best(query, held[0][entry], held[1][entry], own, k)))
+                yield pd.DataFrame(rows, columns=["query_id", "part", "ids", "scores"])
 
     met = stored.unionByName(probes).repartition("shard").sortWithinPartitions("shard", "kind", "cell")
-    lists = met.mapInPandas(rank, "query_id long, ids array<long>, scores array<double>")
-    # a query has one list of at most k a shard; the best k of two lists are in their union's
+    lists = met.mapInPandas(rank, "query_id long, part int, ids array<long>, scores array<double>")
+    # a query has a list of at most k a shard; the best k of several lists are in their union's.
+    # Past GROUPS shards lists are merged in two steps, so that no row gathers them all.
+    def merged(rows: DataFrame, *keys: str) -> DataFrame:
+        every = rows.groupBy(*keys).agg(F.flatten(F.collect_list("hits")).alias("all"))
+        return every.select(*keys, F.slice(F.array_sort("all"), 1, k).alias("hits"))
+
     pairs = F.arrays_zip(F.transform("scores", lambda s: -s).alias("m"), F.col("ids").alias("id"))
-    every = lists.groupBy("query_id").agg(F.flatten(F.collect_list(pairs)).alias("all"))
-    top = every.select("query_id", F.posexplode(F.slice(F.array_sort(F.array_distinct("all")), 1, k)).alias("p", "hit"))
+    top = lists.select("query_id", "part", pairs.alias("hits"))
+    if int(highest[-1]) >= GROUPS:
+        top = merged(top, "query_id", "part")
+    top = merged(top, "query_id").select("query_id", F.posexplode("hits").alias("p", "hit"))
     return top.select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("hit.id").alias("vec_id"), (-F.col("hit.m")).alias("score"))
