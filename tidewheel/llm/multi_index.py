@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewheel.llm._session import cut
+from tidewheel.llm._session import cut, partitions
 from tidewheel.llm.embedding_dedup import _matrix, usable
 
 SAMPLE_ROWS, ROUNDS = 20_000, 12
@@ -175,7 +175,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
                     out += [(int(shard), 1, -1, query, vec, bound) for shard in np.flatnonzero(np.cumsum(begins) > 0)]
                 yield pd.DataFrame(out, columns=["shard", "kind", "cell", "id", "vec", "bound"])
 
-    queries = base.where(is_query).select("id", "vec").repartition("id")
+    # the work of a row is far larger than its bytes, by which partitions would be coalesced
+    width = partitions(spark, 8)
+    queries = base.where(is_query).select("id", "vec").repartition(width, "id")
     probes = queries.mapInPandas(probe, "shard long, kind int, cell long, id long, vec array<double>, bound double")
     stored = placed.select(shard_of("id", "cell").alias("shard"), F.lit(0).alias("kind"), "cell", "id", "vec", F.lit(0.0).alias("bound"))
 
@@ -204,7 +206,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
                     rows.append((own, shard % GROUPS, *best(query, held[0][entry], held[1][entry], own, k)))
                 yield pd.DataFrame(rows, columns=["query_id", "part", "ids", "scores"])
 
-    met = stored.unionByName(probes).repartition("shard").sortWithinPartitions("shard", "kind", "cell")
+    met = stored.unionByName(probes).repartition(width, "shard").sortWithinPartitions("shard", "kind", "cell")
     lists = met.mapInPandas(rank, "query_id long, part int, ids array<long>, scores array<double>")
     # a query has a list of at most k a shard; the best k of several lists are in their union's.
     # Past GROUPS shards lists are merged in two steps, so that no row gathers them all.
