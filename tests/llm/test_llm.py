@@ -2,8 +2,10 @@
 
 import hashlib
 import io
+import math
 import random
 import string
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -456,6 +458,45 @@ def test_url_model_is_a_distribution():
     assert p.sum() == pytest.approx(1.0, abs=1e-5)
 
 
+def test_url_model_tells_digits_apart(spark):
+    urls = [f"http://example.com/en/{d}{k}" for d in "73" for k in range(100, 200)]
+    new = ["http://example.info/en/7155", "http://example.info/en/3155"]
+    pages = spark.createDataFrame(list(enumerate(urls + new)), "page_id long, url string")
+    out = {r.page_id: r for r in url_filter.judge(pages, queries.URL_RULES).collect()}
+    assert out[0].verdict == "allow" and out[100].verdict == "block"
+    assert out[200].verdict == "allow" and out[201].verdict == "block" and out[200].score > out[201].score
+
+
+def test_url_counts_are_exact(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "HOT", 40)  # most grams go through the join
+    rng = random.Random(1)
+    hosts = {"allow": "a.net/de/", "block": "a.com/en/"}
+    examples = [(v, f"http://{hosts[v]}" + "".join(rng.choice("aB0179-/é%") for _ in range(30))) for v in ("allow", "block") for _ in range(300)]
+    new = ["http://a.org/de/" + "".join(rng.choice("aB0179-/é%") for _ in range(30)) for _ in range(50)]
+    new += new[:5]
+    pages = spark.createDataFrame(list(enumerate([u for _, u in examples] + new)), "page_id long, url string")
+    fold = {r.url: r.fold for r in pages.select("url", F.pmod(F.xxhash64("url"), F.lit(5)).alias("fold")).distinct().collect()}
+    counts = {}
+    for verdict, url in examples:
+        if fold[url] in (1, 2, 3, 4):
+            raw = bytes(5) + url.lower().encode()
+            for i in range(5, len(raw)):
+                for k in range(6):
+                    symbols = counts.setdefault((verdict, raw[i - k : i]), Counter())
+                    symbols[raw[i]] += 1
+    out = {r.page_id: r for r in url_filter.judge(pages, queries.URL_RULES).collect()}
+    for i, url in enumerate(new, len(examples)):
+        raw, total = bytes(5) + url.lower().encode(), 0.0
+        for j in range(5, len(raw)):
+            for verdict, sign in (("allow", 1), ("block", -1)):
+                p = 1 / 256
+                for k in range(6):
+                    if symbols := counts.get((verdict, raw[j - k : j])):
+                        p = (symbols[raw[j]] + len(symbols) * p) / (symbols.total() + len(symbols))
+                total += sign * math.log(p)
+        assert out[i].score == pytest.approx(total / (len(raw) - 5), abs=1e-9)
+
+
 # 10
 
 

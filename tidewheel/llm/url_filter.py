@@ -7,13 +7,17 @@ accepted and one of rejected URLs (those that rules decide): Witten-Bell smoothi
 each order off to the next, and the log-likelihood difference per character is held
 against a threshold calibrated on labelled URLs that the models have not seen.
 
-Counts cover every labelled URL.  Contexts are hashed into ``CONTEXTS`` rows of
-``SYMBOLS`` columns, so the model has a fixed size whatever the input, and it is summed in
-two steps: dense in each partition, then by slot.
+Counts cover the labelled URLs outside one held-out fold.  They are exact and grow with
+the input: rows keyed by class and gram, a gram being a character with the ``ORDER`` before
+it packed into a long.  The counts of orders 0 and 1 fit 65,536 cells and are broadcast; all
+grams that share the two characters before the last meet in one group, which holds the whole
+contexts of orders 2 to 5, so the log ratio of every gram comes from one shuffle.  The ratios
+are joined to the URLs' characters; those of the ``HOT`` most frequent grams are added up
+before the join.
 
 Defined cases: a null URL or one without ``://`` has empty host and path, fits no rule and
-is allowed, as is every URL when either class has no examples; bytes beyond ASCII fall into
-one symbol; ties of score and threshold are allowed.
+is allowed, as is every URL when either class has no examples; every byte is a symbol but
+for the case of letters, which is ignored; ties of score and threshold are allowed.
 """
 
 from __future__ import annotations
@@ -26,7 +30,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ORDER, CONTEXTS, SYMBOLS = 5, 1 << 14, 64
+from tidewheel.llm._session import cut
+
+ORDER, SYMBOLS = 5, 256
+CONTEXTS = 1 << 14  # of the dense form
+FOLDS, JUDGED = 5, 10  # cells of a gram: 5 folds of rejected, 5 of accepted, then URLs to judge
+LEFT_OUT = (0,)  # models, by the fold that their counts leave out
+HOT, BUCKETS = 1 << 15, 1024
 BINS, REACH = 1024, 4.0
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -63,14 +73,10 @@ def longest_rule(rules: Sequence[Rule], host: Column, path: Column) -> tuple[Col
 
 
 def _symbols() -> np.ndarray:
-    """Byte -> symbol: 0 starts a URL, 1 is any digit, letters without case, then punctuation."""
-    to = np.full(256, SYMBOLS - 1, np.int64)
-    for b in range(ord("0"), ord("9") + 1):
-        to[b] = 1
-    for k, (a, b) in enumerate(zip(UPPER.encode(), LOWER.encode())):
-        to[a] = to[b] = 2 + k
-    for k, b in enumerate(b"/.:-_?=&#%+~@,;!*()[]$'|"):
-        to[b] = 28 + k
+    """Byte -> symbol: itself, letters without case; 0 starts a URL, so a zero byte takes a free one."""
+    to = np.arange(SYMBOLS)
+    to[list(UPPER.encode())] = list(LOWER.encode())
+    to[0] = ord("A")
     return to
 
 
@@ -78,7 +84,8 @@ SYMBOL = _symbols()
 
 
 def contexts(urls: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(slots by order (ORDER + 1, n), symbols (n), url number (n)) of all characters."""
+    """(slots by order (ORDER + 1, n), symbols (n), url number (n)) of all characters, in
+    the dense form: contexts hashed into a table, which small tests can hold."""
     raw = [u.encode() for u in urls]
     lengths = np.fromiter(map(len, raw), np.int64, len(raw))
     sym = SYMBOL[np.frombuffer(b"".join(raw), np.uint8)]
@@ -96,79 +103,147 @@ def contexts(urls: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return slots, sym, seq
 
 
-def fit(labelled: DataFrame) -> np.ndarray | None:
-    """(url, good boolean) -> counts (2, ORDER + 1, CONTEXTS, SYMBOLS); None if a class is empty."""
-    size = (ORDER + 1) * CONTEXTS * SYMBOLS
-
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = None
-        for frame in frames:
-            if table is None:
-                table = np.zeros((2, size), np.int64)
-            for good in (0, 1):
-                urls = frame["url"][frame["good"] == bool(good)].tolist()
-                if urls:
-                    slots, sym, _ = contexts(urls)
-                    table[good] += np.bincount((slots * SYMBOLS + sym).ravel(), minlength=size)
-        if table is not None:
-            at = np.flatnonzero(table)
-            for k in range(0, len(at), 100_000):
-                part = at[k : k + 100_000]
-                yield pd.DataFrame({"slot": part, "n": table.ravel()[part]})
-
-    # the grid is bounded by its shape (2 * 6.3 million cells) and sparse in practice
-    cells = labelled.mapInPandas(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(2 * size, np.float32)
-    counts[cells["slot"].to_numpy()] = cells["n"].to_numpy()
-    counts = counts.reshape(2, ORDER + 1, CONTEXTS, SYMBOLS)
-    return counts if (counts[:, 0].sum(axis=(1, 2)) > 0).all() else None
-
-
 class Ratio:
+    """Counts of the dense form (2, ORDER + 1, CONTEXTS, SYMBOLS)."""
+
     def __init__(self, counts: np.ndarray):
         self.counts = counts.reshape(2, -1, SYMBOLS)
         self.total = self.counts.sum(axis=2)
         self.kinds = (self.counts > 0).sum(axis=2).astype(np.float32)
 
-    def score(self, urls: Sequence[str]) -> np.ndarray:
-        """log P(url | accepted) - log P(url | rejected), per character; empty: 0."""
-        if not len(urls):
-            return np.zeros(0)
-        slots, sym, seq = contexts(urls)
-        ratio = np.zeros(len(sym))
-        for good, sign in ((1, 1.0), (0, -1.0)):
-            p = np.full(len(sym), 1.0 / SYMBOLS)
-            for k in range(ORDER + 1):
-                row = slots[k]
-                kinds, total = self.kinds[good, row].astype(float), self.total[good, row].astype(float)
-                seen = total > 0
-                p = np.where(seen, (self.counts[good, row, sym] + kinds * p) / np.where(seen, total + kinds, 1.0), p)
-            ratio += sign * np.log(p)
-        n = np.bincount(seq, minlength=len(urls))
-        return np.bincount(seq, weights=ratio, minlength=len(urls)) / np.maximum(n, 1)
+
+def grams(urls: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(gram, url number) of all characters: the symbol in the lowest byte, the one before it in the next."""
+    raw = [u.encode() for u in urls]
+    lengths = np.fromiter(map(len, raw), np.int64, len(raw))
+    sym = SYMBOL[np.frombuffer(b"".join(raw), np.uint8)]
+    seq = np.repeat(np.arange(len(raw)), lengths)
+    place = np.arange(len(sym)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    gram = sym.copy()
+    for k in range(1, min(ORDER, len(sym)) + 1):
+        gram[k:] |= np.where(place[k:] >= k, sym[:-k], 0) << (8 * k)
+    return gram, seq
+
+
+def _bucket(gram: np.ndarray) -> np.ndarray:
+    """By the two symbols before the last, so that a context of order 2 or more is in one bucket."""
+    return (((gram >> 8) & 0xFFFF) * 40503 & 0xFFFF) * BUCKETS >> 16
 
 
-_held: dict[int, Ratio] = {}
+def count(labelled: DataFrame) -> DataFrame:
+    """(url, cell) -> (bucket, key, n), key = gram * 16 + cell; checkpointed."""
 
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def merged():
+            keys, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+            return keys, np.bincount(at, weights=np.concatenate([n for _, n in held]), minlength=len(keys)).astype(np.int64)
 
-def _scores(model) -> Column:
-    @F.pandas_udf("double")
-    def score(urls: pd.Series) -> pd.Series:
-        key = model.id if hasattr(model, "id") else id(model)
-        if key not in _held:
-            _held.clear()
-            _held[key] = Ratio(model.value)
-        out = [_held[key].score(urls.iloc[k : k + 2000].fillna("").tolist()) for k in range(0, len(urls), 2000)]
-        return pd.Series(np.concatenate(out) if out else np.zeros(0))
+        def rows(keys, n):
+            for k in range(0, len(keys), 100_000):
+                part = keys[k : k + 100_000]
+                yield pd.DataFrame({"bucket": _bucket(part >> 4), "key": part, "n": n[k : k + 100_000]})
 
-    return score("url")
+        held, waiting = [], 0
+        for frame in frames:
+            for k in range(0, len(frame), 2000):
+                part = frame.iloc[k : k + 2000]
+                gram, seq = grams(part["url"].tolist())
+                held.append(np.unique(gram * 16 + part["cell"].to_numpy(np.int64)[seq], return_counts=True))
+                waiting += len(held[-1][0])
+                if waiting > 1_000_000:
+                    held = [merged()]
+                    waiting = 0
+                    if len(held[0][0]) > 1_000_000:
+                        yield from rows(*held[0])
+                        held = []
+        if held:
+            yield from rows(*merged())
+
+    cells = labelled.mapInPandas(run, "bucket int, key long, n long").repartition("bucket")
+    return cut(cells.groupBy("bucket", "key").agg(F.sum("n").alias("n")))
+
+
+def _by_model(cells: np.ndarray) -> np.ndarray:
+    """Counts (..., cells) -> (..., class, model)."""
+    by = cells[..., : 2 * FOLDS].reshape(*cells.shape[:-1], 2, FOLDS)
+    return np.stack([by.sum(axis=-1) - (0 if f is None else by[..., f]) for f in LEFT_OUT], axis=-1)
+
+
+def _smoothed(counts, total, kinds, p):
+    return np.where(total > 0, (counts + kinds * p) / np.where(total > 0, total + kinds, 1), p)
+
+
+def low_orders(cells: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(probabilities of order 1 (SYMBOLS * SYMBOLS, class, model), characters counted (class, model))."""
+    pair = F.expr(f"(key >> 4) & {SYMBOLS * SYMBOLS - 1}")
+    found = cells.groupBy(pair.alias("pair"), F.expr("key & 15").alias("cell")).agg(F.sum("n").alias("n")).toPandas()
+    table = np.zeros((SYMBOLS * SYMBOLS, JUDGED + 1))
+    table[found["pair"].to_numpy(int), found["cell"].to_numpy(int)] = found["n"].to_numpy()
+    one = _by_model(table).reshape(SYMBOLS, SYMBOLS, 2, len(LEFT_OUT))
+    none = one.sum(axis=0)
+    p = _smoothed(none, none.sum(axis=0), (none > 0).sum(axis=0), 1.0 / SYMBOLS)
+    p = _smoothed(one, one.sum(axis=1, keepdims=True), (one > 0).sum(axis=1, keepdims=True), p)
+    return p.reshape(-1, 2, len(LEFT_OUT)), none.sum(axis=0)
+
+
+def ratios(cells: DataFrame, low: np.ndarray) -> DataFrame:
+    """(gram, n, r0, ...): log P(symbol | context) of accepted minus rejected, by model; checkpointed."""
+    low = cells.sparkSession.sparkContext.broadcast(low)
+    names = [f"r{m}" for m in range(len(LEFT_OUT))]
+
+    def run(bucket: pd.DataFrame) -> pd.DataFrame:
+        key = bucket["key"].to_numpy()
+        gram, at = np.unique(key >> 4, return_inverse=True)
+        table = np.zeros((len(gram), JUDGED + 1))
+        table[at, key & 15] = bucket["n"].to_numpy()
+        counts, p = _by_model(table), low.value[gram & 0xFFFF]
+        for k in range(2, ORDER + 1):
+            order = np.argsort(gram & ((1 << 8 * (k + 1)) - 1), kind="stable")
+            short = gram[order] & ((1 << 8 * (k + 1)) - 1)
+            first = np.flatnonzero(np.diff(short, prepend=-1))
+            ck = np.add.reduceat(counts[order], first, axis=0)
+            context = np.diff(short[first] >> 8, prepend=-1) != 0
+            starts, of = np.flatnonzero(context), np.cumsum(context) - 1
+            total, kinds = np.add.reduceat(ck, starts, axis=0), np.add.reduceat((ck > 0).astype(float), starts, axis=0)
+            pk = _smoothed(ck, total[of], kinds[of], p[order[first]])
+            p = np.empty_like(p)
+            p[order] = np.repeat(pk, np.diff(first, append=len(gram)), axis=0)
+        ratio = np.log(p[:, 1]) - np.log(p[:, 0])
+        return pd.DataFrame({"gram": gram, "n": table.sum(axis=1).astype(np.int64)} | {c: ratio[:, m] for m, c in enumerate(names)})
+
+    return cut(cells.groupBy("bucket").applyInPandas(run, ", ".join(["gram long, n long", *[f"{c} double" for c in names]])))
+
+
+def scores(urls: DataFrame, ratio: DataFrame, hot) -> DataFrame:
+    """Distinct (url_key, url, model) -> (url_key, score): log P(url | accepted) - log P(url | rejected), per character."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, values = hot.value
+        for frame in frames:
+            for k in range(0, len(frame), 2000):
+                part = frame.iloc[k : k + 2000]
+                gram, seq = grams(part["url"].tolist())
+                key, model = part["url_key"].to_numpy(object), part["model"].to_numpy(np.int64)
+                at = np.minimum(np.searchsorted(known, gram), len(known) - 1)
+                held = known[at] == gram
+                sums = np.bincount(seq[held], weights=values[at[held], model[seq[held]]], minlength=len(part))
+                # a URL's own row has a negative number for a gram, so these rows spread over the join
+                yield pd.DataFrame({"url_key": key, "model": model, "gram": -1 - np.arange(len(part)), "times": 0, "held": sums, "n": np.bincount(seq, minlength=len(part))})
+                rest = pd.DataFrame({"seq": seq[~held], "gram": gram[~held]}).value_counts(sort=False).rename("times").reset_index()
+                yield pd.DataFrame({"url_key": key[rest["seq"]], "model": model[rest["seq"]], "gram": rest["gram"], "times": rest["times"], "held": 0.0, "n": 0})
+
+    spelt = urls.select("url_key", "url", "model").mapInPandas(run, "url_key binary, model int, gram long, times long, held double, n long")
+    value = F.col("held") + F.col("times") * F.coalesce(F.array(*[f"r{m}" for m in range(len(LEFT_OUT))])[F.col("model")], F.lit(0.0))
+    joined = spelt.join(ratio.drop("n"), "gram", "left").groupBy("url_key").agg(F.sum(value).alias("v"), F.sum("n").alias("n"))
+    # rounded, as the order of a sum varies
+    return joined.select("url_key", F.round(F.col("v") / F.greatest("n", F.lit(1)), 12).alias("score"))
 
 
 def calibrate(scored: DataFrame) -> float:
-    """(score, good) -> the threshold with the best balanced accuracy, from a histogram of
+    """(score, good, n rows) -> the threshold with the best balanced accuracy, from a histogram of
     all labelled scores; of equally good thresholds the middle one."""
     bin_ = F.floor((F.greatest(F.lit(-REACH), F.least(F.lit(REACH - 1e-9), "score")) + REACH) / (2 * REACH) * BINS).cast("int")
-    rows = scored.groupBy(bin_.alias("bin"), "good").count().collect()
+    rows = scored.groupBy(bin_.alias("bin"), "good").agg(F.sum("n").alias("count")).collect()
     n = np.zeros((2, BINS))
     for r in rows:
         n[int(r["good"]), r["bin"]] = r["count"]
@@ -185,13 +260,24 @@ def judge(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id") -> D
     host, path = split_url()
     pattern, by_rule = longest_rule(rules, F.col("host"), F.col("path"))
     base = pages.select(F.col(id_col), "url").withColumn("host", host).withColumn("path", path)
-    base = base.withColumn("rule", pattern).withColumn("by_rule", by_rule)
-    labelled = base.where("rule is not null").select("url", (F.col("by_rule") == "allow").alias("good"), F.pmod(F.xxhash64("url"), F.lit(5)).alias("fold"))
-    counts = fit(labelled.where("fold <> 0").select("url", "good"))
-    if counts is None:
-        return base.select(id_col, "host", "path", "rule", F.coalesce("by_rule", F.lit("allow")).alias("verdict"), F.lit(None).cast("double").alias("score"))
-    model = pages.sparkSession.sparkContext.broadcast(counts)
-    threshold = calibrate(labelled.where("fold = 0").select("good", _scores(model).alias("score")))
-    scored = base.withColumn("score", F.when(F.col("rule").isNull() & (F.col("host") != ""), _scores(model)))
-    verdict = F.coalesce("by_rule", F.when(F.col("score") < threshold, "block").otherwise("allow"))
-    return scored.select(id_col, "host", "path", "rule", verdict.alias("verdict"), "score")
+    base = base.withColumn("rule", pattern).withColumn("by_rule", by_rule).withColumn("url_key", F.unhex(F.md5("url")))
+    fold, good = F.pmod(F.xxhash64("url"), F.lit(FOLDS)).cast("int"), F.col("by_rule") == "allow"
+    labelled = base.where("rule is not null").select("url_key", "url", good.alias("good"), fold.alias("fold"))
+    open_ = F.col("rule").isNull() & (F.col("host") != "")
+    cell = F.when(open_, F.lit(JUDGED)).otherwise(F.when(good, F.lit(FOLDS)).otherwise(F.lit(0)) + fold)
+    cells = count(base.where(open_ | F.col("rule").isNotNull()).select("url", cell.alias("cell")))
+    low, counted = low_orders(cells)
+    settled = base.select(id_col, "host", "path", "rule", F.coalesce("by_rule", F.lit("allow")).alias("verdict"), F.lit(None).cast("double").alias("score"))
+    if not counted.all():
+        return settled
+    ratio = ratios(cells, low)
+    top = ratio.orderBy(F.desc("n"), "gram").limit(HOT).toPandas().sort_values("gram")
+    hot = pages.sparkSession.sparkContext.broadcast((top["gram"].to_numpy(), top[[f"r{m}" for m in range(len(LEFT_OUT))]].to_numpy()))
+    examples = labelled.where("fold = 0").groupBy("url_key", "good").agg(F.first("url").alias("url"), F.count("*").alias("n"))
+    scored = scores(examples.withColumn("model", F.lit(0)), ratio, hot)
+    threshold = calibrate(examples.select("url_key", "good", "n").join(scored, "url_key"))
+    asked = base.where(open_).groupBy("url_key").agg(F.first("url").alias("url")).withColumn("model", F.lit(0))
+    judged = base.where(open_).join(scores(asked, ratio, hot), "url_key", "left")
+    verdict = F.when(F.col("score") < threshold, "block").otherwise("allow")
+    judged = judged.select(id_col, "host", "path", "rule", verdict.alias("verdict"), "score")
+    return settled.where(~open_).union(judged)
