@@ -475,15 +475,13 @@ def test_url_counts_are_exact(spark, monkeypatch):
     new = ["http://a.org/de/" + "".join(rng.choice("aB0179-/é%") for _ in range(30)) for _ in range(50)]
     new += new[:5]
     pages = spark.createDataFrame(list(enumerate([u for _, u in examples] + new)), "page_id long, url string")
-    fold = {r.url: r.fold for r in pages.select("url", F.pmod(F.xxhash64("url"), F.lit(5)).alias("fold")).distinct().collect()}
     counts = {}
     for verdict, url in examples:
-        if fold[url] in (1, 2, 3, 4):
-            raw = bytes(5) + url.lower().encode()
-            for i in range(5, len(raw)):
-                for k in range(6):
-                    symbols = counts.setdefault((verdict, raw[i - k : i]), Counter())
-                    symbols[raw[i]] += 1
+        raw = bytes(5) + url.lower().encode()
+        for i in range(5, len(raw)):
+            for k in range(6):
+                symbols = counts.setdefault((verdict, raw[i - k : i]), Counter())
+                symbols[raw[i]] += 1
     out = {r.page_id: r for r in url_filter.judge(pages, queries.URL_RULES).collect()}
     for i, url in enumerate(new, len(examples)):
         raw, total = bytes(5) + url.lower().encode(), 0.0
@@ -496,6 +494,25 @@ def test_url_counts_are_exact(spark, monkeypatch):
                 total += sign * math.log(p)
         assert out[i].score == pytest.approx(total / (len(raw) - 5), abs=1e-9)
 
+def test_url_model_counts_every_fold(spark):
+    at = F.pmod(F.xxhash64("url"), F.lit(5)) == 0
+    lone = spark.createDataFrame([(f"http://site{k}.net/de/garten",) for k in range(40)], "url string").where(at).first().url
+    bad = [f"http://cheap-pills{k % 5}.com/en/buy-{k}" for k in range(100)]
+    # the one accepted URL is in fold 0, and repeated
+    urls = [lone] * 50 + bad + ["http://site.info/de/garten", "http://cheap-pills2.info/en/buy-99"]
+    out = {r.page_id: r for r in url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), queries.URL_RULES).collect()}
+    assert len(out) == 152 and out[0].verdict == "allow" and out[50].verdict == "block"
+    assert out[150].score > 0 > out[151].score and (out[150].verdict, out[151].verdict) == ("allow", "block")
+
+
+def test_url_threshold_uses_every_fold(spark, monkeypatch):
+    seen = []
+    calibrate = url_filter.calibrate
+    monkeypatch.setattr(url_filter, "calibrate", lambda scored: seen.append(scored.groupBy("good").agg(F.sum("n")).collect()) or calibrate(scored))
+    urls = [f"http://site{k % 7}.net/de/{k}-garten" for k in range(60)] * 2 + [f"http://cheap-pills{k % 5}.com/en/buy-{k}" for k in range(90)]
+    url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), queries.URL_RULES).count()
+    assert dict(seen[0]) == {True: 120, False: 90}
+
 
 # 10
 

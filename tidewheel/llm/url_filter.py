@@ -5,10 +5,10 @@ URL's path starts with the rule's, and the longest fitting rule decides.  URLs t
 rule fits are judged by two smoothed variable-order Markov models of characters, one of
 accepted and one of rejected URLs (those that rules decide): Witten-Bell smoothing backs
 each order off to the next, and the log-likelihood difference per character is held
-against a threshold calibrated on labelled URLs that the models have not seen.
+against a threshold calibrated by cross-fitting: each labelled URL is scored by models that
+leave out its fold, one of five by the URL's hash.
 
-Counts cover the labelled URLs outside one held-out fold.  They are exact and grow with
-the input: rows keyed by class and gram, a gram being a character with the ``ORDER`` before
+The models that judge count every labelled URL.  Counts are exact and grow with the input: rows keyed by class and gram, a gram being a character with the ``ORDER`` before
 it packed into a long.  The counts of orders 0 and 1 fit 65,536 cells and are broadcast; all
 grams that share the two characters before the last meet in one group, which holds the whole
 contexts of orders 2 to 5, so the log ratio of every gram comes from one shuffle.  The ratios
@@ -16,7 +16,8 @@ are joined to the URLs' characters; those of the ``HOT`` most frequent grams are
 before the join.
 
 Defined cases: a null URL or one without ``://`` has empty host and path, fits no rule and
-is allowed, as is every URL when either class has no examples; every byte is a symbol but
+is allowed, as is every URL when either class has no examples; a fold that holds all examples
+of a class is not used for the threshold, which is 0 when a class has none left; every byte is a symbol but
 for the case of letters, which is ignored; ties of score and threshold are allowed.
 """
 
@@ -35,7 +36,7 @@ from tidewheel.llm._session import cut
 ORDER, SYMBOLS = 5, 256
 CONTEXTS = 1 << 14  # of the dense form
 FOLDS, JUDGED = 5, 10  # cells of a gram: 5 folds of rejected, 5 of accepted, then URLs to judge
-LEFT_OUT = (0,)  # models, by the fold that their counts leave out
+LEFT_OUT = (*range(FOLDS), None)  # models, by the fold that their counts leave out; the last one judges
 HOT, BUCKETS = 1 << 15, 1024
 BINS, REACH = 1024, 4.0
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -268,15 +269,15 @@ def judge(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id") -> D
     cells = count(base.where(open_ | F.col("rule").isNotNull()).select("url", cell.alias("cell")))
     low, counted = low_orders(cells)
     settled = base.select(id_col, "host", "path", "rule", F.coalesce("by_rule", F.lit("allow")).alias("verdict"), F.lit(None).cast("double").alias("score"))
-    if not counted.all():
+    if not counted[:, -1].all():
         return settled
     ratio = ratios(cells, low)
     top = ratio.orderBy(F.desc("n"), "gram").limit(HOT).toPandas().sort_values("gram")
     hot = pages.sparkSession.sparkContext.broadcast((top["gram"].to_numpy(), top[[f"r{m}" for m in range(len(LEFT_OUT))]].to_numpy()))
-    examples = labelled.where("fold = 0").groupBy("url_key", "good").agg(F.first("url").alias("url"), F.count("*").alias("n"))
-    scored = scores(examples.withColumn("model", F.lit(0)), ratio, hot)
-    threshold = calibrate(examples.select("url_key", "good", "n").join(scored, "url_key"))
-    asked = base.where(open_).groupBy("url_key").agg(F.first("url").alias("url")).withColumn("model", F.lit(0))
+    fair = [f for f in range(FOLDS) if counted[:, f].all()]  # the others' models lack a class
+    examples = labelled.where(F.col("fold").isin(fair)).groupBy("url_key", "good", F.col("fold").alias("model")).agg(F.first("url").alias("url"), F.count("*").alias("n"))
+    threshold = calibrate(examples.select("url_key", "good", "n").join(scores(examples, ratio, hot), "url_key"))
+    asked = base.where(open_).groupBy("url_key").agg(F.first("url").alias("url")).withColumn("model", F.lit(FOLDS))
     judged = base.where(open_).join(scores(asked, ratio, hot), "url_key", "left")
     verdict = F.when(F.col("score") < threshold, "block").otherwise("allow")
     judged = judged.select(id_col, "host", "path", "rule", verdict.alias("verdict"), "score")
