@@ -1,5 +1,7 @@
 """Estimators on planted signals, and their distribution over panels, folds and candidates."""
 
+import math
+
 import numpy as np
 import pytest
 
@@ -10,6 +12,7 @@ from tidewheel.operators import diagnostics as D
 from tidewheel.operators.estimators import Direct, Ets, Lagged, Naive, Prepare, Sarima
 from tidewheel.operators.hmm import MarkovSwitching
 from tidewheel.operators.search import Choice, Features, Uniform, backward_selection, candidate_forecasts, forward_selection, tune, tune_ets, tune_lags, tune_sarima
+from tidewheel.plans import catalogue
 from tidewheel.plans import forecasting as P
 
 RNG = np.random.default_rng(3)
@@ -225,3 +228,18 @@ def test_importances_name_the_signal():
         y.append(0.9 * y[-3] + RNG.normal(0, 0.5))
     m = Lagged([1, 2, 3], prepare=Prepare(nonnegative=False)).fit(np.array(y)[:, None])
     assert max(m.importances(), key=lambda r: r[2])[1] == "y0_lag_3"
+
+
+def test_bartlett_bounds_of_a_cross_correlation(spark):
+    rng = np.random.default_rng(3)
+    x, y, n = rng.normal(size=40), rng.normal(size=40), 40
+    r = [((y[: n - k] - y.mean()) * (x[k:] - x.mean())).sum() / n / (x.std() * y.std()) * n / (n - k) for k in range(6)]
+    panel = spark.createDataFrame([("a", t, float(x[t]), float(y[t])) for t in range(n)], "series_id string, t int, x double, y double")
+    for row in D.cross_correlation(panel, 5, alpha=0.05, bartlett=True).collect():
+        se = math.sqrt((1 + 2 * sum(v * v for v in r[1 : row.lag])) / n) if row.lag else 0.0
+        assert (row.ccf, row.lower, row.upper) == pytest.approx((r[row.lag], r[row.lag] - 1.959963984540054 * se, r[row.lag] + 1.959963984540054 * se))
+
+
+def test_ccf_bartlett_has_bounds_at_every_lag(spark):
+    rows = catalogue.QUERIES["ccf_bartlett"](spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) == 7 and all(r.lower < r.ccf < r.upper if r.lag else r.lower == r.ccf == r.upper for r in rows)

@@ -33,8 +33,8 @@ def cross_correlation(panel: DataFrame, lags: int, x: str = "x", y: str = "y", a
     rows = F.array(*[F.struct(F.lit(k).alias("lag"), (F.try_divide(F.col(f"p{k}"), F.col("s")) * scale(k)).alias("ccf")) for k in range(lags + 1)])
     out = sums.select(*keys, "n", F.explode(rows).alias("r")).select(*keys, "n", "r.lag", "r.ccf")
     if alpha is not None:
-        squares = F.coalesce(F.sum(F.col("ccf") * F.col("ccf")).over(W.partitionBy(*keys).orderBy("lag").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
-        se = F.when(F.col("lag") == 0, 0.0).otherwise(F.sqrt((2.0 * squares - 1.0) / F.col("n"))) if bartlett else 1.0 / F.sqrt("n")
+        squares = F.coalesce(F.sum(F.when(F.col("lag") > 0, F.col("ccf") * F.col("ccf"))).over(W.partitionBy(*keys).orderBy("lag").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+        se = F.when(F.col("lag") == 0, 0.0).otherwise(F.sqrt((1.0 + 2.0 * squares) / F.col("n"))) if bartlett else 1.0 / F.sqrt("n")
         out = out.withColumn("lower", F.col("ccf") - z_value(alpha) * se).withColumn("upper", F.col("ccf") + z_value(alpha) * se)
     return out.drop("n")
 
