@@ -1,7 +1,7 @@
 """The corpus pipeline: four stages over ``documents``, each written and read back by the next.
 
 1. language_id     drops documents whose language is rejected (no letters, or a narrow margin)
-2. near_dedup      keeps the smallest id of every SimHash class
+2. near_dedup      keeps one document of every SimHash class (op2's link rule), that of the smallest id
 3. mix             repeats each document as the source targets ask
 4. encode          byte-level BPE ids of every document, decoded again for a digest
 
@@ -24,7 +24,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs)
+    return simhash.keep_one_row(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

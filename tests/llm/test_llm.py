@@ -168,6 +168,20 @@ def test_near_duplicates_edges(spark):
     assert sorted(kept.doc_id.dropna().astype(int)) == [1, 3, 3, 4, 6, 8] and kept.doc_id.isna().sum() == 1
 
 
+def test_pipeline_keeps_one_row_of_a_class(spark):
+    import corpus_pipeline
+
+    docs = awkward(spark).unionByName(documents(spark, [
+        (None, "no id here at all", None, "b"), (None, "no id here at all", "en", "b"), (3, "a text of its own with a repeated id", None, None), (9, "THE same text again and again", "en", "a"),
+        (10, None, None, None), (6, "x" * 5000, "de", "c"), (None, "12 34 !!", None, None),
+    ]))
+    kept = corpus_pipeline.near_dedup(spark, docs, "").toPandas()
+    assert sorted(kept.doc_id.dropna().astype(int)) == [1, 3, 3, 4, 6, 8] and kept.doc_id.isna().sum() == 1
+    assert sorted(kept[kept.doc_id == 3].text) == ["a text of its own with a repeated id", "the same text again and again"]
+    assert list(kept.columns) == docs.columns and (kept["score"] == "z").all()
+    assert corpus_pipeline.near_dedup(spark, docs.limit(0), "").count() == 0
+
+
 def test_planted_copies(spark):
     rng = random.Random(0)
     words = ["".join(rng.choices(string.ascii_lowercase, k=6)) for _ in range(500)]

@@ -222,3 +222,18 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     lead = near_duplicates(docs, id_col, **how).where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__tw_lead"))
     ids = docs[id_col]
     return docs.join(lead.distinct(), ids == F.col("__tw_lead"), "left_semi").unionByName(docs.where(ids.isNull()))
+
+
+def keep_one_row(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
+    """One document of every class: that of the smallest id, null ids last.  Rows that share
+    this id are told apart by digests of their content, and of equal rows one stays."""
+    text, whole = F.unhex(F.md5(F.coalesce("text", F.lit("")))), F.xxhash64(*[docs[f"`{c}`"] for c in docs.columns])
+    key = F.struct(docs[id_col].isNull().alias("none"), docs[id_col].alias("id"), text.alias("text"), whole.alias("whole"))
+    per = near_duplicates(docs.select(key.alias("__tw_key"), "text"), "__tw_key", **how)
+    lead = per.where("__tw_key.text = component_id.text and __tw_key.whole = component_id.whole")
+    lead = cut(lead.groupBy(F.col("__tw_key.text").alias("__tw_text"), F.col("__tw_key.whole").alias("__tw_whole")).agg(F.count("*").alias("__tw_n")))
+    held = docs.select(F.struct("*").alias("__tw_row"), text.alias("__tw_text"), whole.alias("__tw_whole"))
+    named = ["__tw_text", "__tw_whole"]
+    single = held.join(lead.where("__tw_n = 1"), named, "left_semi")
+    repeated = held.join(lead.where("__tw_n > 1"), named, "left_semi").groupBy(*named).agg(F.first("__tw_row").alias("__tw_row"))
+    return single.select("__tw_row.*").unionByName(repeated.select("__tw_row.*"))
