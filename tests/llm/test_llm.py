@@ -533,50 +533,84 @@ def test_url_threshold_uses_every_fold(spark, monkeypatch):
 
 def test_walk_is_in_order_and_enough():
     rng = np.random.default_rng(0)
-    for enough in (1, 50, 400, 10**6):
-        a, b, sizes = rng.normal(size=12), rng.normal(size=9), rng.integers(0, 9, (12, 9))
-        bound = multi_index.walk(a, b, sizes, enough)
-        held = sizes[(a[:, None] + b[None, :]) <= bound].sum()
-        assert held >= min(enough, sizes.sum())
+    for shape in ((12, 9), (70, 41), (1, 1)):
+        a, b, sizes = rng.normal(size=shape[0]), rng.normal(size=shape[1]), rng.integers(0, 9, shape)
+        sums = a[:, None] + b[None, :]
+        steps = list(multi_index.walk(a, b, sizes))
+        assert [s for s, _ in steps] == sorted(s for s, _ in steps) and steps[-1] == (np.inf, sizes.sum())
+        for reached, held in steps:
+            assert held >= sizes[sums < reached].sum()
+        cells = rng.integers(0, sums.size, 20)
+        for cell, rows in zip(cells, multi_index.needed(a, b, sizes, cells)):
+            assert sums.ravel()[cell] <= multi_index.bound(a, b, sizes, int(rows))
+        assert multi_index.bound(a, b, sizes, 10**6) == np.inf
+
+
+def brute_nearest(x, ids, own, query, k):
+    score = x @ query
+    return [int(ids[i]) for i in np.lexsort((ids, -np.round(score, 12))) if ids[i] != own][:k]
 
 
 def test_multi_index_is_exact_when_it_walks_everything(spark):
     x, _ = near_vectors(400, 10, 3)
-    df = spark.createDataFrame([(k, v, 1.0, 2) for k, v in enumerate(x)] + [(None, x[0], 1.0, 2)], "vec_id long, embedding array<double>, score double, rank int")
-    out = multi_index.search(df, F.col("id") % 20 == 0, k=7).toPandas()
+    df = spark.createDataFrame([(k, v, 1.0, 2, "h") for k, v in enumerate(x)] + [(None, x[0], 1.0, 2, "h")], "vec_id long, embedding array<double>, score double, rank int, h1 string")
+    out = multi_index.search(df, F.col("id") % 20 == 0, k=7, recall=1.0).toPandas()
     d = max(len(v) for v in x if v is not None)
-    full = np.zeros((400, d))
-    good = np.array([v is not None and all(np.isfinite(v)) and any(v) for v in x])
-    for k, v in enumerate(x):
-        if good[k]:
-            full[k, : len(v)] = v
+    good = [k for k, v in enumerate(x) if v is not None and all(np.isfinite(v)) and any(v)]
+    full = np.array([np.pad(x[k], (0, d - len(x[k]))) for k in good])
     for q in range(0, 400, 20):
         rows = out[out.query_id == q].sort_values("rank")
-        score = full @ full[q]
-        order = [int(k) for k in np.lexsort((np.arange(400), -np.round(score, 12))) if good[k] and k != q][:7]
-        assert list(rows.vec_id) == order and list(rows["rank"]) == list(range(1, 8)) and list(rows.score) == pytest.approx(list(score[order]))
+        if q not in good:
+            assert not len(rows)
+            continue
+        own = full[good.index(q)]
+        assert list(rows.vec_id) == brute_nearest(full, np.array(good), q, own, 7) and list(rows["rank"]) == list(range(1, 8))
+        assert list(rows.score) == pytest.approx([full[good.index(v)] @ own for v in rows.vec_id])
 
 
-def test_multi_index_ties_copies_and_recall(spark, monkeypatch):
+def test_multi_index_ties_and_repeats(spark):
+    shape = "vec_id long, embedding array<float>"
     same = [(k, [1.0, 2.0, 3.0]) for k in range(200)] + [(500, [1.0, 0.0, 0.0])]
-    out = multi_index.search(spark.createDataFrame(same, "vec_id long, embedding array<float>"), F.col("id") == 100, k=5).orderBy("rank").collect()
+    out = multi_index.search(spark.createDataFrame(same, shape), F.col("id") == 100, k=5).orderBy("rank").collect()
     assert [r.vec_id for r in out] == [0, 1, 2, 3, 4]
-    shape = "vec_id long, embedding array<float>"
     assert multi_index.search(spark.createDataFrame([], shape), F.col("id") == 0).count() == 0
     assert multi_index.search(spark.createDataFrame([(0, [1.0])], shape), F.col("id") == 0).count() == 0
     twice = [(0, [1.0]), (7, [0.5]), (7, [0.5]), (8, [0.1])]
     assert [r.vec_id for r in multi_index.search(spark.createDataFrame(twice, shape), F.col("id") == 0).orderBy("rank").collect()] == [7, 7, 8]
-    monkeypatch.setattr(multi_index, "SHARD", 300)
-    monkeypatch.setattr(multi_index, "GROUPS", 3)
+    # rows that repeat the query's own id push no other id out, and ask once
+    own = [(100, [1.0, 0.0])] * 8 + [(200, [1.0, 0.0]), (300, [0.5, 0.0])]
+    out = multi_index.search(spark.createDataFrame(own, shape), F.col("id") == 100, k=5).orderBy("rank").collect()
+    assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in out] == [(100, 1, 200, 1.0), (100, 2, 300, 0.5)]
+    # one id with two vectors asks once each
+    both = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [2.0, 0.0]), (3, [0.0, 3.0])]
+    out = multi_index.search(spark.createDataFrame(both, shape), F.col("id") == 1, k=1).collect()
+    assert sorted((r.vec_id, r.score) for r in out) == [(2, 2.0), (3, 3.0)]
+
+
+@pytest.mark.parametrize("bytes_,groups,dense", [(None, None, None), (300 * 64 * 8, 3, 0.05), (300 * 64 * 8, 3, 2.0)])
+def test_multi_index_recall_with_registered_settings(spark, monkeypatch, bytes_, groups, dense):
+    if bytes_:
+        monkeypatch.setattr(multi_index, "SHARD_BYTES", bytes_)
+        monkeypatch.setattr(multi_index, "GROUPS", groups)
+        monkeypatch.setattr(multi_index, "DENSE", dense)
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
-    x = np.array(df.orderBy("vec_id").toPandas().embedding.tolist(), float)
-    got = multi_index.search(df, F.col("id") % 20 == 0, share=0.6, least=100).toPandas().groupby("query_id").vec_id.apply(set)
-    hits = []
-    for q, found in got.items():
-        score = x @ x[q]
-        score[q] = -9
-        hits.append(len(found & set(np.argsort(-score, kind="stable")[:20].tolist())) / 20)
-    assert np.mean(hits) >= 0.9
+    pdf = df.toPandas()
+    x, ids = np.array(pdf.embedding.tolist(), float), pdf.vec_id.to_numpy()
+    got = queries.op10_multi_index(spark, "/root/testdata/sf0.1").toPandas().groupby("query_id").vec_id.apply(set)
+    hits = [len(found & set(brute_nearest(x, ids, q, x[ids == q][0], 20))) / 20 for q, found in got.items()]
+    assert np.mean(hits) >= 0.9 and len(got) == (ids % 20 == 0).sum()
+
+
+def test_multi_index_reads_little_of_clustered_vectors(spark, monkeypatch, tmp_path):
+    rng, n = np.random.default_rng(5), 50_000
+    x = (rng.normal(size=(500, 24))[rng.integers(0, 500, n)] + rng.normal(0, 0.25, (n, 24))).astype(np.float32)
+    pd.DataFrame({"vec_id": np.arange(n), "embedding": list(x)}).to_parquet(tmp_path / "v.parquet")
+    walked, enough = [], multi_index._enough
+    monkeypatch.setattr(multi_index, "_enough", lambda *a: walked.append(enough(*a)) or walked[-1])
+    got = multi_index.search(spark.read.parquet(str(tmp_path / "v.parquet")), F.col("id") % 2000 == 0).toPandas().groupby("query_id").vec_id.apply(set)
+    full = x.astype(float)
+    hits = [len(found & set(brute_nearest(full, np.arange(n), q, full[q], 20))) / 20 for q, found in got.items()]
+    assert np.mean(hits) >= 0.9 and walked[0] < 0.05 * n
 
 
 # the pipeline
