@@ -2,8 +2,8 @@
 
 Edges live in DataFrames throughout; nothing is collected but two numbers a round.
 A node's neighbours are never gathered: only their minimum is aggregated (with
-map-side combine), so a hub with a third of all edges stays a combine-friendly key
-on the aggregate and a splittable one on the join.
+map-side combine), and the edges of a hub with a large share of all edges stay where they
+are when they are joined with it.
 """
 
 from __future__ import annotations
@@ -12,18 +12,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewheel.llm._session import cut
+from tidewheel.llm._skew import attach
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _lowest(edges: DataFrame) -> DataFrame:
+    return edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+
+
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    low = _lowest(both).withColumn("m", F.least("a", "m"))
+    return attach(both, low, ["a"], "n", 2 * total).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    low = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    low = _lowest(down)
+    moved = attach(down, low, ["a"], "n", total).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(low.select("a", F.col("m").alias("b")))
 
 
@@ -39,7 +44,8 @@ def components(edges: DataFrame) -> DataFrame:
     edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = _mark(edges)
     while before[0]:
-        edges = cut(_small_star(_large_star(edges).distinct()).where("a <> b").distinct())
+        starred = cut(_large_star(edges, before[0]).distinct())
+        edges = cut(_small_star(starred, before[0]).where("a <> b").distinct())
         after = _mark(edges)
         if after == before:
             break

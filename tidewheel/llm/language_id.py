@@ -4,15 +4,23 @@ Each language is a Zstandard raw-content dictionary of its labelled text.  A tex
 reduced to lower-case letters with single blanks between, cut into blocks, every block is
 compressed alone with each language's dictionary, and the language whose blocks sum to the
 fewest bytes wins.  The bytes saved against the runner-up, relative to its size, are the
-margin; narrow margins are rejected, except under ``MIN_EVIDENCE`` bytes, where sizes are
-too coarse for a margin to mean anything.
+margin.
 
-Fitting reads a bounded sample of labelled rows (``SAMPLE_ROWS`` a language, by hash of the
-id, ``SNIPPET`` characters from each); predictions read whole texts and nothing else.
+A margin below ``MIN_MARGIN`` is narrow, at any length; whole bytes then say little.  Such a
+text is weighed again: its blocks are compressed behind ``PASSAGES`` passages of each
+dictionary's content, so that its letters are coded with the language's statistics, and the
+bytes they add are averaged.  It is rejected unless the saving against the runner-up is at
+least ``MIN_SIGNAL`` standard errors of these weighings, so the noise that decides is measured
+on the text itself.
+
+Fitting reads whole texts of a bounded sample of labelled rows: about ``SAMPLE_ROWS`` distinct
+texts a language, chosen by hash of the text at the rate that gives that many.  Predictions
+read whole texts and nothing else.
 
 Defined cases: null text or text with no letter is ``und`` with score 0 and is rejected; ties
-go to the language first in code-point order; with no labelled rows at all every text is
-``und``; a language with little text has a shorter dictionary.
+go to the language first in code-point order and are rejected; with no labelled rows at all
+every text is ``und``; a language with little text has a shorter dictionary; a single learned
+language takes every text with letters; repeated rows are each judged alike.
 """
 
 from __future__ import annotations
@@ -23,14 +31,15 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-SAMPLE_ROWS, SNIPPET = 256, 1500
+SAMPLE_ROWS = 256
 BLOCK, LEVEL = 4096, 6
 UNDETERMINED = "und"
-#: Margins below this share of the runner-up's size are rejected.
-MIN_MARGIN, MIN_EVIDENCE = 0.01, 256
+#: Margins below this share of the runner-up's size are narrow; standard errors a narrow text must win by.
+MIN_MARGIN, MIN_SIGNAL = 0.01, 2.0
+#: Weighings of a narrow text at least, and bytes of the passages they stand behind.
+PASSAGES, PASSAGE_BYTES = 16, 4000
 
 
 @lru_cache(maxsize=1)
@@ -50,15 +59,21 @@ def held_out(id_col: str = "doc_id", folds: int = 5) -> Column:
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id") -> tuple[tuple[str, bytes], ...]:
-    """(language, dictionary content) pairs, at most SAMPLE_ROWS * SNIPPET characters each."""
-    rows = labelled.where("lang is not null and text is not null and text rlike '\\\\p{L}'")
-    pick = W.partitionBy("lang").orderBy(F.xxhash64(F.col(id_col).cast("string")), F.col(id_col))
-    start = F.greatest(F.lit(1), F.floor((F.length("text") - SNIPPET) / 2) + 1).cast("int")
-    ids = rows.select("lang", F.substring(F.col("text"), start, F.lit(SNIPPET)).alias("snippet"), F.row_number().over(pick).alias("r"))
-    found = ids.where(F.col("r") <= SAMPLE_ROWS).collect()
+    """(language, dictionary content) pairs of about SAMPLE_ROWS whole texts each.  The rate is per
+    language, so a map task sends its share of the sample whatever their number; repeats of a
+    text are one, and combine before they move."""
+    rows = labelled.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("text").alias("h"))
+    whole = 1 << 40
+    kinds = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()  # a row per language
+    if not kinds:
+        return ()
+    shares = [(r["lang"], min(whole, whole * SAMPLE_ROWS // max(1, r["n"]))) for r in kinds]
+    share = labelled.sparkSession.createDataFrame(shares, "lang string, share long")
+    picked = rows.join(F.broadcast(share), "lang").where(F.pmod("h", F.lit(whole)) < F.col("share")).where("text rlike '\\\\p{L}'")
+    found = picked.groupBy("lang", "h").agg(F.any_value("text").alias("text")).collect()
     content: dict[str, list] = {}
-    for row in sorted(found, key=lambda r: (r["lang"], r["r"])):
-        content.setdefault(row["lang"], []).append(reduce_text(row["snippet"]))
+    for row in sorted(found, key=lambda r: (r["lang"], r["h"])):
+        content.setdefault(row["lang"], []).append(reduce_text(row["text"]))
     return tuple((lang, " ".join(parts).encode()) for lang, parts in sorted(content.items()))
 
 
@@ -68,31 +83,53 @@ class Classifier:
         import zstandard
 
         self.names = [name for name, _ in model]
-        self.coders = []
+        self.coders, self.passages = [], []
+        self.plain = zstandard.ZstdCompressor(level=level, write_content_size=False, write_checksum=False)
         for _, content in model:
             held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             held.precompute_compress(level=level)
             self.coders.append(zstandard.ZstdCompressor(level=level, dict_data=held, write_content_size=False, write_checksum=False))
+            starts = [k * len(content) // PASSAGES for k in range(PASSAGES)]
+            parts = [content[at : at + PASSAGE_BYTES] + b" " for at in starts]
+            self.passages.append([(part, len(self.plain.compress(part))) for part in parts])
         self.letter = regex.compile(r"\p{L}")
 
-    def sizes(self, text: str) -> list[int]:
-        data = reduce_text(text).encode()
-        blocks = [data[at : at + BLOCK] for at in range(0, len(data), BLOCK)]
+    def sizes(self, blocks: list[bytes]) -> list[int]:
         return [sum(len(c.compress(b)) for b in blocks) for c in self.coders]
 
-    def predict(self, text: str | None) -> tuple[str, float, float]:
-        """(language, score, margin)."""
+    def weighings(self, blocks: list[bytes]) -> np.ndarray:
+        """Bytes that a block adds behind a passage: (languages, weighings), at least PASSAGES
+        of them, dealt over the blocks."""
+        each = -(-PASSAGES // len(blocks))
+        pairs = [(b, (k * each + c) % PASSAGES) for k, b in enumerate(blocks) for c in range(each)]
+        return np.array([[len(self.plain.compress(parts[c][0] + b)) - parts[c][1] for b, c in pairs] for parts in self.passages], float)
+
+    def predict(self, text: str | None) -> tuple[str, float, float, bool]:
+        """(language, score, margin, rejected)."""
         if text is None or not self.names or not self.letter.search(text):
-            return UNDETERMINED, 0.0, 0.0
-        sizes = self.sizes(text)
-        best = int(np.argmin(sizes))
-        rest = [s for k, s in enumerate(sizes) if k != best]
-        if not rest:
-            return self.names[best], 1.0, 1.0
-        margin = (min(rest) - sizes[best]) / min(rest)
+            return UNDETERMINED, 0.0, 0.0, True
+        data = reduce_text(text).encode()
+        blocks = [data[at : at + BLOCK] for at in range(0, len(data), BLOCK)]
+        sizes = np.array(self.sizes(blocks), float)
+        if len(sizes) == 1:
+            return self.names[0], 1.0, 1.0, False
+        best, margin = _winner(sizes)
+        rejected = False
+        if margin < MIN_MARGIN:
+            weighed = self.weighings(blocks)
+            sizes = weighed.mean(axis=1)
+            best, margin = _winner(sizes)
+            saved = weighed[np.argsort(sizes, kind="stable")[1]] - weighed[best]
+            rejected = bool(saved.mean() <= 0 or saved.mean() < MIN_SIGNAL * saved.std(ddof=1) / math.sqrt(len(saved)))
         # code lengths as probabilities: a byte saved is eight bits of evidence
-        score = 1.0 / (1.0 + sum(math.exp2(-min(8.0 * (s - sizes[best]), 1000.0)) for s in rest))
-        return self.names[best], score, margin
+        score = 1.0 / float(np.exp2(-np.minimum(8.0 * (sizes - sizes[best]), 1000.0)).sum())
+        return self.names[best], score, margin, rejected
+
+
+def _winner(sizes: np.ndarray) -> tuple[int, float]:
+    """(the smallest, the saving against the next relative to it)."""
+    best, after = np.argsort(sizes, kind="stable")[:2]
+    return int(best), float((sizes[after] - sizes[best]) / max(sizes[after], 1.0))
 
 
 @lru_cache(maxsize=2)
@@ -100,24 +137,21 @@ def _classifier(model: tuple[tuple[str, bytes], ...]) -> Classifier:
     return Classifier(model)
 
 
-def identify(docs: DataFrame, model: tuple[tuple[str, bytes], ...], min_margin: float = MIN_MARGIN) -> DataFrame:
+def identify(docs: DataFrame, model: tuple[tuple[str, bytes], ...]) -> DataFrame:
     """Input columns plus lang_pred, score, margin, rejected (columns of those names are replaced)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double, margin double")
+    @F.pandas_udf("lang_pred string, score double, margin double, rejected boolean")
     def predict(texts: pd.Series) -> pd.DataFrame:
         of = _classifier(shared.value)
-        return pd.DataFrame([of.predict(t) for t in texts], columns=["lang_pred", "score", "margin"])
+        return pd.DataFrame([of.predict(t) for t in texts], columns=["lang_pred", "score", "margin", "rejected"])
 
-    names = ("lang_pred", "score", "margin", "rejected", "__tw_pred", "__tw_long")
+    names = ("lang_pred", "score", "margin", "rejected", "__tw_pred")
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in names]
-    pred = docs.drop(*names).withColumn("__tw_pred", predict("text"))
-    long_ = F.octet_length("text") >= MIN_EVIDENCE
-    out = pred.select(*kept, "__tw_pred.*", F.coalesce(long_, F.lit(False)).alias("__tw_long"))
-    return out.withColumn("rejected", (F.col("lang_pred") == UNDETERMINED) | (F.col("margin") < min_margin) & F.col("__tw_long")).drop("__tw_long")
+    return docs.drop(*names).withColumn("__tw_pred", predict("text")).select(*kept, "__tw_pred.*")
 
 
-def keep_identified(docs: DataFrame, model: tuple[tuple[str, bytes], ...], min_margin: float = MIN_MARGIN) -> DataFrame:
+def keep_identified(docs: DataFrame, model: tuple[tuple[str, bytes], ...]) -> DataFrame:
     """The documents whose language is not rejected, with all their columns and no others."""
     rows = docs.select(F.struct("*").alias("__tw_row"), "text")
-    return identify(rows, model, min_margin).where("not rejected").select("__tw_row.*")
+    return identify(rows, model).where("not rejected").select("__tw_row.*")

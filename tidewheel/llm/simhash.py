@@ -30,9 +30,12 @@ from pyspark.sql import functions as F
 
 from tidewheel.llm._graph import components
 from tidewheel.llm._session import cut
+from tidewheel.llm._skew import attach
 
 BLOCK = 4096
 PACK = 512
+#: Keys of rows that go, up to which they are broadcast (24 bytes of content each).
+BROADCAST_KEYS = 1_000_000
 LANES = 8  # uint64 words per block of the kernel: 512 fingerprints
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -209,31 +212,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", radius: int = 4, wi
     """One row per document: id, fingerprint (16 hex digits), component_id, class_size."""
     prints = cut(fingerprints(docs, id_col, width))
     per = cut(prints.groupBy("fp").agg(F.min(id_col).alias("low"), F.count("*").alias("n")))
-    class_of = components(links(per.select("fp"), radius)).withColumnRenamed("node", "fp")
-    per = per.join(class_of, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    whole = per.groupBy("component").agg(F.min("low").alias("component_id"), F.sum("n").alias("class_size"))
-    per = per.select("fp", "component").join(whole, "component").select("fp", "component_id", "class_size")
-    return prints.join(per, "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "class_size")
+    # only fingerprints with a link have a class beside themselves
+    linked = cut(per.join(components(links(per.select("fp"), radius)).withColumnRenamed("node", "fp"), "fp"))
+    whole = linked.groupBy("component").agg(F.min("low").alias("component_id"), F.sum("n").alias("class_size"), F.count("*").alias("fps"))
+    classes = attach(linked.select("fp", "n", "component"), whole, ["component"], "fps", linked.count())
+    columns = ["fp", "component_id", "class_size", "n"]
+    single = per.join(linked.select("fp"), "fp", "left_anti").select("fp", F.col("low").alias("component_id"), F.col("n").alias("class_size"), "n")
+    found = attach(prints, classes.select(*columns).unionByName(single), ["fp"], "n", prints.count())
+    return found.select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "class_size")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """The documents that hold the smallest id of their class; rows with a null id, which
-    no class can name as its survivor, are all kept."""
-    lead = near_duplicates(docs, id_col, **how).where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__tw_lead"))
-    ids = docs[id_col]
-    return docs.join(lead.distinct(), ids == F.col("__tw_lead"), "left_semi").unionByName(docs.where(ids.isNull()))
-
-
-def keep_one_row(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     """One document of every class: that of the smallest id, null ids last.  Rows that share
-    this id are told apart by digests of their content, and of equal rows one stays."""
+    this id are told apart by digests of their content, and of equal rows one stays.
+
+    Rows are told to go by key: while the keys that go (and those of repeated rows) fit a
+    broadcast, texts are read where they lie and never shuffled."""
     text, whole = F.unhex(F.md5(F.coalesce("text", F.lit("")))), F.xxhash64(*[docs[f"`{c}`"] for c in docs.columns])
     key = F.struct(docs[id_col].isNull().alias("none"), docs[id_col].alias("id"), text.alias("text"), whole.alias("whole"))
     per = near_duplicates(docs.select(key.alias("__tw_key"), "text"), "__tw_key", **how)
-    lead = per.where("__tw_key.text = component_id.text and __tw_key.whole = component_id.whole")
-    lead = cut(lead.groupBy(F.col("__tw_key.text").alias("__tw_text"), F.col("__tw_key.whole").alias("__tw_whole")).agg(F.count("*").alias("__tw_n")))
+    leads = (F.col("__tw_key.text") == F.col("component_id.text")) & (F.col("__tw_key.whole") == F.col("component_id.whole"))
+    marks = per.groupBy(F.col("__tw_key.text").alias("__tw_text"), F.col("__tw_key.whole").alias("__tw_whole"))
+    marks = cut(marks.agg(F.max(leads).alias("lead"), F.count("*").alias("n")).where("not lead or n > 1"))
+    goes, repeats = marks.where("not lead").drop("lead", "n"), marks.where("lead").drop("lead", "n")
+    count, again = marks.agg(F.count("*"), F.count(F.when(F.col("lead"), 1))).first()
+    small = F.broadcast if count <= BROADCAST_KEYS else (lambda keys: keys)
     held = docs.select(F.struct("*").alias("__tw_row"), text.alias("__tw_text"), whole.alias("__tw_whole"))
     named = ["__tw_text", "__tw_whole"]
-    single = held.join(lead.where("__tw_n = 1"), named, "left_semi")
-    repeated = held.join(lead.where("__tw_n > 1"), named, "left_semi").groupBy(*named).agg(F.first("__tw_row").alias("__tw_row"))
-    return single.select("__tw_row.*").unionByName(repeated.select("__tw_row.*"))
+    single = held.join(small(marks.select(*named) if again else goes), named, "left_anti").select("__tw_row.*")
+    if not again:
+        return single
+    first = held.join(small(repeats), named, "left_semi").groupBy(*named).agg(F.first("__tw_row").alias("__tw_row"))
+    return single.unionByName(first.select("__tw_row.*"))

@@ -1,19 +1,24 @@
 """WARC archives compressed with a shared Zstandard dictionary.
 
-A dictionary is trained on a bounded sample of the records, stands in a leading skippable
+A dictionary is trained on a bounded sample of whole records, stands in a leading skippable
 frame of every archive, and each record is a frame of its own compressed with it, so any
-record can be read alone.  Records with equal payloads of at least ``min_bytes`` are
+record can be read alone.  Where the sample is too little to train on, the dictionary is
+empty and so is the frame.  Records with equal payloads of at least ``min_bytes`` are
 written once as a response; the others are revisits that name it.
 
-Payloads are digested in the JVM to find the repeats (only digests and ids are shuffled),
-frames are compressed before they move, and each task writes archives of bounded size
-into the shared folder, under names of its own attempt; the manifest that is kept lists
-the files that count, so a lost or repeated task leaves nothing half-read.
+Payloads are digested in the JVM first, so only digests and ids are grouped, and only
+responses are compressed.  While the repeated digests fit a broadcast (``BROADCAST_DIGESTS``
+of them) no payload moves at all; beyond that compressed frames do, those of the few most
+repeated digests excepted.  Each task writes archives of bounded size into the shared folder,
+under names of its own attempt; the manifest that is kept lists the files that count, so a
+lost or repeated task leaves nothing half-read.
 
 Defined cases: null html is an empty payload; null URLs write no target; rows with a null
 id can be a response only when no row with an id has their payload; rows that share the
 smallest id of a payload are all responses; an empty table writes no archive.  Control
-characters in URLs are percent-encoded in headers.
+characters in URLs are percent-encoded in headers.  A payload of any length is one record,
+held by one task while it is written, and may exceed an archive's size, which then holds it
+alone.  Further columns of the table are ignored.
 """
 
 from __future__ import annotations
@@ -33,14 +38,18 @@ from pyspark.sql import functions as F
 
 from tidewheel.llm._files import opened, written
 from tidewheel.llm._session import cut, fresh_folder, partitions
+from tidewheel.llm._skew import attach
 
 #: Fixed values of the formats.
 SKIPPABLE_MAGIC = 0x184D2A5D
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the RFC's for URLs
 
-SAMPLE_RECORDS, SAMPLE_CHARS, DICTIONARY_BYTES, LEVEL = 512, 8192, 65536, 3
+#: Records (about), and their bytes (about), that the dictionary is trained on.
+SAMPLE_RECORDS, SAMPLE_BYTES, DICTIONARY_BYTES, LEVEL = 512, 32 << 20, 65536, 3
 ARCHIVE_BYTES = 64 << 20
+#: Repeated digests that are broadcast at most (about a hundred bytes each).
+BROADCAST_DIGESTS = 500_000
 DATE = "1970-01-01T00:00:00Z"
 
 
@@ -81,29 +90,30 @@ def parse_record(data: bytes) -> dict:
     return {"headers": headers, "http": dict(x.split(": ", 1) for x in http.decode().split("\r\n")[1:]), "payload": payload}
 
 
-def train_dictionary(pages: DataFrame, id_col: str = "page_id") -> bytes:
-    """From about SAMPLE_RECORDS pages, chosen by hash of the id at the rate that gives that
-    many (so no partition sends more than its share), and at most SAMPLE_CHARS characters of each."""
+def train_dictionary(pages: DataFrame, records: int, size: int) -> bytes:
+    """From a sample of whole pages (of ``records``, ``size`` bytes in all), drawn by row at the rate
+    that gives about SAMPLE_RECORDS of them or SAMPLE_BYTES; empty where they are too few."""
     import zstandard
 
-    sample = pages.select(F.col(id_col), "url", F.substring("html", 1, SAMPLE_CHARS).alias("html"))
-    share = F.lit(int((1 << 30) * SAMPLE_RECORDS / max(SAMPLE_RECORDS, pages.count())))
-    rows = sample.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30)) < share).collect()
+    rate = min(1.0, SAMPLE_RECORDS / max(1, records), SAMPLE_BYTES / max(1, size))
+    rows = pages.where(F.rand(7) < rate).select("page_id", "url", "html").collect()
     rows.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1] or "", r[2] or ""))
-    records = []
+    samples = []
     for page_id, url, html in rows:
-        payload = (html or "").encode()
-        records.append(build_record("response", page_id, url, sha1_base32(payload), len(payload), payload))
+        payload = html.encode()
+        samples.append(build_record("response", page_id, url, sha1_base32(payload), len(payload), payload))
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, records).as_bytes()
-    except zstandard.ZstdError:  # too few records to train on: their text itself is the dictionary
-        return b"".join(records)[-DICTIONARY_BYTES:]
+        return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
+    except zstandard.ZstdError:  # too few records to train on
+        return b""
 
 
 @lru_cache(maxsize=4)
 def _codec(dictionary: bytes):
     import zstandard
 
+    if not dictionary:
+        return zstandard.ZstdCompressor(level=LEVEL), zstandard.ZstdDecompressor()
     held = zstandard.ZstdCompressionDict(dictionary)
     held.precompute_compress(level=LEVEL)
     return zstandard.ZstdCompressor(level=LEVEL, dict_data=held), zstandard.ZstdDecompressor(dict_data=held)
@@ -112,27 +122,34 @@ def _codec(dictionary: bytes):
 def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, id_col: str = "page_id") -> DataFrame:
     """(id, url, html) -> manifest of the archives written: path, records, bytes."""
     pages = pages.select(F.col(id_col).cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
-    shared = pages.sparkSession.sparkContext.broadcast(train_dictionary(pages, "page_id"))
     pages = pages.withColumn("sha1", F.sha1(F.encode("html", "UTF-8")))
-    digests = pages.select("page_id", "sha1", F.octet_length("html").alias("n")).where(F.col("n") >= min_bytes)
-    repeated = digests.groupBy("sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("times")).where("times > 1").drop("times")
+    digests = cut(pages.select("page_id", "sha1", F.octet_length("html").cast("long").alias("n")))
+    records, size = digests.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    shared = pages.sparkSession.sparkContext.broadcast(train_dictionary(pages, records, size))
+    repeated = digests.where(F.col("n") >= min_bytes).groupBy("sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("times"))
+    repeated = cut(repeated.where("times > 1 and first is not null"))
+    refers_to = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to")
 
     def compress(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = _codec(shared.value)[0]
         for frame in frames:
             rows = []
-            for page_id, url, html, sha1 in zip(frame["page_id"], frame["url"], frame["html"], frame["sha1"]):
+            for page_id, url, html, sha1, first in zip(*(frame[c] for c in ("page_id", "url", "html", "sha1", "refers_to"))):
                 page_id = None if pd.isna(page_id) else int(page_id)
-                payload = html.encode()
-                digest = base64.b32encode(bytes.fromhex(sha1)).decode()
-                record = build_record("response", page_id, url, digest, len(payload), payload)
-                rows.append((page_id, url, sha1, len(payload), coder.compress(record)))
-            yield pd.DataFrame(rows, columns=["page_id", "url", "sha1", "n", "frame"]).astype({"page_id": "Int64"})
-
-    ready = pages.mapInPandas(compress, "page_id long, url string, sha1 string, n long, frame binary")
-    marked = ready.join(repeated, "sha1", "left").withColumn(
-        "refers_to", F.when((F.col("n") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
-    ).withColumn("frame", F.when(F.col("refers_to").isNull(), F.col("frame")))
+                payload, data = html.encode(), None
+                if pd.isna(first):
+                    digest = base64.b32encode(bytes.fromhex(sha1)).decode()
+                    data = coder.compress(build_record("response", page_id, url, digest, len(payload), payload))
+                rows.append((page_id, url, sha1, len(payload), data, None if pd.isna(first) else int(first)))
+            yield pd.DataFrame(rows, columns=["page_id", "url", "sha1", "n", "frame", "refers_to"]).astype({"page_id": "Int64", "refers_to": "Int64"})
+
+    shape = "page_id long, url string, sha1 string, n long, frame binary, refers_to long"
+    if repeated.count() <= BROADCAST_DIGESTS:
+        known = pages.join(F.broadcast(repeated.drop("times")), "sha1", "left").select("page_id", "url", "html", "sha1", refers_to)
+        marked = known.mapInPandas(compress, shape)
+    else:
+        ready = pages.withColumn("refers_to", F.lit(None).cast("long")).mapInPandas(compress, shape).drop("refers_to")
+        marked = attach(ready, repeated, ["sha1"], "times", records, "left").select("page_id", "url", "sha1", "n", "frame", refers_to)
 
     def store(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder, head = _codec(shared.value)[0], struct.pack("<II", SKIPPABLE_MAGIC, len(shared.value)) + shared.value
@@ -159,8 +176,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, id_col: st
                     data = next(records, None)
             yield pd.DataFrame([(uri, count, size)], columns=["path", "records", "bytes"])
 
-    columns = ["page_id", "url", "sha1", "n", "frame", "refers_to"]
-    return cut(marked.select(*columns).mapInPandas(store, "path string, records long, bytes long"))
+    return cut(marked.mapInPandas(store, "path string, records long, bytes long"))
 
 
 def frames_of(source: io.BufferedIOBase) -> tuple[bytes, Iterator[bytes]]:
