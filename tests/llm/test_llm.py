@@ -291,6 +291,29 @@ def test_embedding_dedup_edges(spark):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], shape)).count() == 0
 
 
+def test_embedding_dedup_labels_of_any_type(spark):
+    rows = [(1, [1.0, 0.0], "a"), (2, [1.0, 0.01], "a"), (3, [1.0, 0.0], "b"), (4, [1.0, 0.0], None)]
+    out = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string")).collect()
+    assert {(r.vec_id, r.component_id) for r in out} == {(1, 1), (2, 1), (3, 3), (4, 4)}
+
+
+def test_embedding_dedup_of_long_vectors(spark, monkeypatch):
+    """Beyond FULL_SCATTER dimensions the axes come from an iterated subspace: still principal."""
+    x, labels = near_vectors()
+    df = spark.createDataFrame([(k, v, lab) for k, (v, lab) in enumerate(zip(x, labels))], "vec_id long, embedding array<double>, label int")
+    rows = df.where(embedding_dedup.usable("embedding")).select(F.col("embedding").alias("vec"))
+    whole = embedding_dedup.principal_axes(rows, 18)
+    monkeypatch.setattr(embedding_dedup, "FULL_SCATTER", 4)
+    part = embedding_dedup.principal_axes(rows, 18)
+    unit = np.array([np.pad(np.array(r.vec) / np.linalg.norm(r.vec), (0, 18 - len(r.vec))) for r in rows.collect()])
+    spread = lambda axes: float(((unit - unit.mean(axis=0)) @ axes.T).var(axis=0).sum())
+    assert part.shape == whole.shape and np.allclose(part @ part.T, np.eye(len(part))) and spread(part) > 0.97 * spread(whole)
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 16)
+    monkeypatch.setattr(embedding_dedup, "GUESTS", 2)
+    out = embedding_dedup.near_duplicates(df).toPandas().sort_values("vec_id")
+    assert list(out.n_links) == list(brute_links(x, labels).sum(axis=1))
+
+
 # 5
 
 

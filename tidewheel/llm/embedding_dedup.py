@@ -4,8 +4,8 @@ Vectors are scaled to length one, so a cosine bound is a distance bound epsilon.
 sorted by label and by the grid cells (side epsilon) of their leading principal
 coordinates; the sorted sequence is cut into blocks, each with its bounding box in those
 coordinates.  Pairs of blocks come from an equi-join on shared or neighbouring cells of
-the first coordinate, and those whose boxes lie farther apart than epsilon are skipped.
-What is left is joined recursively: the longer interval is halved, halves too distant are
+as many coordinates as blocks are narrow in, and those whose boxes lie farther apart than epsilon are skipped.
+What is left is dealt to tasks by host block and a bounded group of its guests, and joined recursively: the longer interval is halved, halves too distant are
 skipped, and small intervals are compared by one matrix product in double precision.
 
 Identical vectors of a label collapse to one class first, so a group of copies is one row
@@ -16,7 +16,8 @@ Defined cases: vectors that are null, zero or hold null or non-finite components
 vectors without a label, link with nothing and are their own component; vectors of
 different lengths compare as if the shorter were padded with zeros; rows that repeat an id
 and vector link to one another and count as separate rows; rows with a null id take part
-and get the smallest non-null id of their component, with kept false.
+and get the smallest non-null id of their component, with kept false; labels of any type
+are compared as they are; further columns of the table are ignored.
 """
 
 from __future__ import annotations
@@ -31,12 +32,15 @@ from pyspark.sql import functions as F
 
 from tidewheel.llm._graph import components
 from tidewheel.llm._session import cut, partitions
+from tidewheel.llm._skew import attach
 from tidewheel.llm.simhash import forest
 
-#: Principal coordinates of the grid; vectors in a block; rows compared by one product.
-AXES, BLOCK, LEAF = 6, 1024, 256
-#: Slack for rounding in bounds; scatter matrices of longer vectors keep their diagonal only.
-SLACK, FULL_SCATTER = 1e-9, 512
+#: Principal coordinates of the grid; vectors in a block; rows compared by one product; guests a host meets in one task.
+AXES, BLOCK, LEAF, GUESTS = 6, 1024, 256, 64
+#: Slack for rounding in bounds.
+SLACK = 1e-9
+#: Dimensions up to which the whole scatter matrix is summed; beyond, passes over a subspace of AXES + SPARE.
+FULL_SCATTER, SPARE, PASSES = 512, 6, 4
 
 
 def _matrix(rows: pd.Series, dim: int) -> np.ndarray:
@@ -58,35 +62,49 @@ def usable(vector: str):
 
 
 def principal_axes(classes: DataFrame, dim: int) -> np.ndarray:
-    """(AXES, dim) leading eigenvectors of the covariance over all vectors, summed per
-    partition, then in groups of partitions, then here: numbers bounded by dim squared."""
-    full = dim <= FULL_SCATTER
-
-    def scatter(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
-
-        n, total, square = 0, np.zeros(dim), np.zeros((dim, dim) if full else dim)
-        for frame in frames:
-            for at in range(0, len(frame), 4096):
-                x = _unit(_matrix(frame["vec"].iloc[at : at + 4096], dim))
-                n, total, square = n + len(x), total + x.sum(axis=0), square + (x.T @ x if full else (x * x).sum(axis=0))
-        if n:
-            yield pd.DataFrame([(TaskContext.get().partitionId() % 64, np.concatenate(([n], total, square.ravel())).tobytes())], columns=["g", "sums"])
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(b) for b in pdf["sums"])
-        return pd.DataFrame([(total.tobytes(),)], columns=["sums"])
-
-    rows = classes.select("vec").mapInPandas(scatter, "g long, sums binary").groupBy("g").applyInPandas(add, "sums binary").collect()
-    if not rows:
-        return np.zeros((0, dim))
-    total = sum(np.frombuffer(r["sums"]) for r in rows)
-    n, mean, square = total[0], total[1 : dim + 1] / total[0], total[dim + 1 :]
-    if not full:
-        order = np.argsort(-(square / n - mean * mean), kind="stable")[:AXES]
-        return np.eye(dim)[order]
-    values, vectors = np.linalg.eigh(square.reshape(dim, dim) / n - np.outer(mean, mean))
-    return np.ascontiguousarray(vectors[:, ::-1].T[:AXES])
+    """(AXES, dim) leading eigenvectors of the covariance over all vectors.  Sums are added per
+    partition, then in groups of partitions, then here.  Up to FULL_SCATTER dimensions the
+    scatter matrix is summed in one pass; beyond, a subspace of bounded width is iterated."""
+    m, size = min(dim, AXES + SPARE), (dim * dim if dim <= FULL_SCATTER else dim * min(dim, AXES + SPARE))
+
+    def passed(basis: np.ndarray | None) -> tuple[float, np.ndarray, np.ndarray] | None:
+        """(n, mean, covariance times the basis, or the covariance)."""
+
+        def scatter(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            from pyspark import TaskContext
+
+            n, total, square = 0, np.zeros(dim), 0.0
+            for frame in frames:
+                for at in range(0, len(frame), 4096):
+                    x = _unit(_matrix(frame["vec"].iloc[at : at + 4096], dim))
+                    n, total, square = n + len(x), total + x.sum(axis=0), square + x.T @ (x if basis is None else x @ basis)
+            if n:
+                yield pd.DataFrame([(TaskContext.get().partitionId() % 64, np.concatenate(([n], total, square.ravel())).tobytes())], columns=["g", "sums"])
+
+        def add(pdf: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame([(sum(np.frombuffer(b) for b in pdf["sums"]).tobytes(),)], columns=["sums"])
+
+        rows = classes.select("vec").mapInPandas(scatter, "g long, sums binary").groupBy("g").applyInPandas(add, "sums binary").collect()
+        if not rows:
+            return None
+        total = sum(np.frombuffer(r["sums"]) for r in rows)
+        mean, square = total[1 : dim + 1] / total[0], total[dim + 1 :].reshape(dim, -1) / total[0]
+        return total[0], mean, square - np.outer(mean, mean if basis is None else mean @ basis)
+
+    if dim <= FULL_SCATTER:
+        found = passed(None) if size else None
+        if found is None:
+            return np.zeros((0, dim))
+        return np.ascontiguousarray(np.linalg.eigh(found[2])[1][:, ::-1].T[:AXES])
+    basis = np.linalg.qr(np.random.default_rng(0).normal(size=(dim, m)))[0]
+    for turn in range(PASSES):
+        found = passed(basis)
+        if found is None:
+            return np.zeros((0, dim))
+        if turn == PASSES - 1:  # the subspace's own eigenvectors
+            inside = basis.T @ found[2]
+            return np.ascontiguousarray((basis @ np.linalg.eigh((inside + inside.T) / 2)[1][:, ::-1]).T[:AXES])
+        basis = np.linalg.qr(found[2])[0]
 
 
 def _apart(a: np.ndarray, b: np.ndarray) -> float:
@@ -137,7 +155,7 @@ def _blocks(classes: DataFrame, dim: int, axes: np.ndarray, epsilon: float) -> D
             yield out
 
     cells = [f"c{d}" for d in range(k)]
-    shape = "label long, node long, n long, unit binary, place binary"
+    shape = "label string, node long, n long, unit binary, place binary"
     placed = classes.select("label", "node", "n", "vec").mapInPandas(place, shape + "".join(f", {c} long" for c in cells))
     order = ["label", *cells, "node"]
     spread = placed.repartitionByRange(partitions(classes.sparkSession), *order).sortWithinPartitions(*order)
@@ -170,18 +188,24 @@ def _block_pairs(rows: DataFrame, axes: int, epsilon: float) -> DataFrame:
             begin = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
             yield pd.DataFrame({"block": block[begin], "label": frame["label"].to_numpy()[begin], "lo": list(np.minimum.reduceat(at, begin)), "hi": list(np.maximum.reduceat(at, begin))})
 
-    part = rows.select("block", "label", "place").mapInPandas(box, "block long, label long, lo array<double>, hi array<double>")
+    part = rows.select("block", "label", "place").mapInPandas(box, "block long, label string, lo array<double>, hi array<double>")
     ends = [F.min(F.col("lo")[d]).alias(f"lo{d}") for d in range(axes)] + [F.max(F.col("hi")[d]).alias(f"hi{d}") for d in range(axes)]
-    boxes = part.groupBy("block", "label").agg(*ends)
-    # a block stands in every cell of its first coordinate, and in the next one up
-    first, last = F.floor(F.col("lo0") / epsilon), F.floor(F.col("hi0") / epsilon) + 1
-    boxes = cut(boxes.withColumn("first", first).withColumn("cell", F.explode(F.sequence(first, last))))
+    boxes = cut(part.groupBy("block", "label").agg(*ends))
+    # a block stands in every cell of its leading coordinates, and in the next one up; blocks are
+    # narrow in as many of these as it takes for there to be so many
+    lead = range(max(1, min(axes, 4, int(math.log(max(1, boxes.count()), 6)))))
+    for d in lead:
+        boxes = boxes.withColumn(f"first{d}", F.floor(F.col(f"lo{d}") / epsilon)).withColumn(f"last{d}", F.floor(F.col(f"hi{d}") / epsilon) + 1)
+    for d in lead:
+        boxes = boxes.withColumn(f"cell{d}", F.explode(F.sequence(f"first{d}", f"last{d}")))
+    boxes = cut(boxes)
     a, b = boxes.alias("a"), boxes.alias("b")
     gaps = [F.greatest(F.lit(0.0), F.col(f"a.lo{d}") - F.col(f"b.hi{d}"), F.col(f"b.lo{d}") - F.col(f"a.hi{d}")) for d in range(axes)]
     near = sum((g * g for g in gaps), F.lit(0.0)) <= epsilon * epsilon
-    met = (F.col("a.label") == F.col("b.label")) & (F.col("a.cell") == F.col("b.cell")) & (F.col("a.block") <= F.col("b.block"))
-    once = F.col("a.cell") == F.greatest("a.first", "b.first")
-    return a.join(b, met & once & near).select(F.col("a.block").alias("a"), F.col("b.block").alias("b"))
+    met = (F.col("a.label") == F.col("b.label")) & (F.col("a.block") <= F.col("b.block"))
+    for d in lead:  # once: in the first cell that both stand in
+        met = met & (F.col(f"a.cell{d}") == F.col(f"b.cell{d}")) & (F.col(f"a.cell{d}") == F.greatest(f"a.first{d}", f"b.first{d}"))
+    return a.join(b, met & near).select(F.col("a.block").alias("a"), F.col("b.block").alias("b"))
 
 
 def links(classes: DataFrame, dim: int, least: float) -> DataFrame:
@@ -197,9 +221,11 @@ def links(classes: DataFrame, dim: int, least: float) -> DataFrame:
     # either block of a pair hosts it, by parity, so that hosts are evenly loaded
     even = (F.col("a") + F.col("b")) % 2 == 0
     pairs = cut(pairs.select(F.when(even, F.col("a")).otherwise(F.col("b")).alias("host"), F.when(even, F.col("b")).otherwise(F.col("a")).alias("block")))
-    hosts = pairs.select("host").distinct().withColumn("block", F.col("host")).withColumn("side", F.lit(0))
-    guests = pairs.withColumn("side", F.lit(1))
-    sent = hosts.unionByName(guests.select("host", "block", "side")).join(rows, "block").select("host", "side", "block", "node", "n", "unit", "place")
+    guests = pairs.groupBy("host").agg(F.count("*").alias("guests"))
+    group = F.pmod(F.xxhash64("block"), F.ceil(F.col("guests") / F.lit(GUESTS))).cast("int").alias("part")
+    guests = pairs.join(guests, "host").select("host", group, F.lit(1).alias("side"), "block")
+    hosts = guests.select("host", "part").distinct().select("host", "part", F.lit(0).alias("side"), F.col("host").alias("block"))
+    sent = hosts.unionByName(guests).join(rows, "block").select("host", "part", "side", "block", "node", "n", "unit", "place")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         home: list = [None, None, None, None, None]  # host, nodes, n, unit, place
@@ -238,7 +264,7 @@ def links(classes: DataFrame, dim: int, least: float) -> DataFrame:
         held: list[pd.DataFrame] = []
         last = None
         for frame in frames:
-            keys = frame[["host", "side", "block"]].to_numpy()
+            keys = frame[["host", "part", "side", "block"]].to_numpy()
             begin = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1)))) if len(keys) else []
             for at, to in zip(begin, [*begin[1:], len(frame)]):
                 key = tuple(keys[at])
@@ -250,27 +276,30 @@ def links(classes: DataFrame, dim: int, least: float) -> DataFrame:
         if held:
             yield from close(pd.concat(held))
 
-    order = ["host", "side", "block", "node"]
-    return cut(sent.repartition("host").sortWithinPartitions(*order).mapInPandas(run, shape))
+    order = ["host", "part", "side", "block", "node"]
+    return cut(sent.repartition("host", "part").sortWithinPartitions(*order).mapInPandas(run, shape))
 
 
 def near_duplicates(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
     """One row per vector: id, n_links, component_id, kept."""
-    base = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label).cast("long").alias("label"), F.col(vector).cast("array<double>").alias("vec"))
+    base = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label).cast("string").alias("label"), F.col(vector).cast("array<double>").alias("vec"))
     ok = usable("vec") & F.col("label").isNotNull()
     # two 64-bit hashes with different seeds name a class of identical vectors of a label
     sound = base.where(ok).withColumn("h1", F.xxhash64("label", "vec")).withColumn("h2", F.xxhash64(F.lit(1), "vec", "label"))
-    classes = sound.groupBy("label", "h1", "h2").agg(F.min("id").alias("low"), F.count("*").alias("n"), F.any_value("vec").alias("vec"))
+    named = ["label", "h1", "h2"]
+    classes = sound.groupBy(*named).agg(F.min("id").alias("low"), F.count("*").alias("n"), F.any_value("vec").alias("vec"))
     classes = cut(classes.withColumn("node", F.monotonically_increasing_id()))
-    dim = classes.agg(F.max(F.size("vec"))).first()[0] or 0
+    dim, total = classes.agg(F.coalesce(F.max(F.size("vec")), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
     found = links(classes, dim, least)
     counts = found.where("other is null").groupBy("node").agg(F.sum("n").alias("others"))
     where = components(found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
-    known = classes.select("label", "h1", "h2", "node", "low", "n").join(counts, "node", "left").join(where, "node", "left")
-    known = known.withColumn("component", F.coalesce("component", "node"))
-    lowest = known.groupBy("component").agg(F.min("low").alias("component_id"))
-    known = known.join(lowest, "component").select("h1", "h2", F.col("label").alias("l"), (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
-    members = sound.select("id", "label", "h1", "h2").join(known.withColumnRenamed("l", "label"), ["label", "h1", "h2"]).select("id", "n_links", "component_id")
+    known = classes.select(*named, "node", "low", "n").join(counts, "node", "left").join(where, "node", "left")
+    known = cut(known.withColumn("n_links", F.coalesce("others", F.lit(0)) + F.col("n") - 1))
+    single = known.where("component is null").select(*named, "n", "n_links", F.col("low").alias("component_id"))
+    linked = known.where("component is not null")
+    lowest = linked.groupBy("component").agg(F.min("low").alias("component_id"), F.count("*").alias("nodes"))
+    linked = attach(linked, lowest, ["component"], "nodes", linked.count()).select(*single.columns)
+    members = attach(sound.select("id", *named), linked.unionByName(single), named, "n", total).select("id", "n_links", "component_id")
     alone = base.where(~ok).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     every = members.unionByName(alone)
     return every.select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
