@@ -15,7 +15,8 @@ from token to token, so characters split between tokens come out whole; ill-form
 gives one U+FFFD per maximal ill-formed part.
 
 Defined cases: null text encodes as empty; a pre-token of any length is read in one
-stream; no special tokens exist; ids outside the vocabulary raise.
+stream; no special tokens exist; ids outside the vocabulary raise; repeated rows and null
+ids keep a row each; further columns of the table are ignored.
 """
 
 from __future__ import annotations
@@ -316,17 +317,20 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str, id_col: str =
     return encoded.select(F.col(id_col), text("ids").alias("text"))
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id") -> DataFrame:
-    """id, n_tokens, ids_sha256 and decoded_sha256 in one pass: encode, then decode the ids."""
+def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", keep_ids: bool = False) -> DataFrame:
+    """id, n_tokens, ids_sha256 and decoded_sha256 in one pass: encode, then decode the ids.
+    ``keep_ids`` adds ids (array<int>)."""
+    fields = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
 
-    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    @F.pandas_udf(fields)
     def digest(texts: pd.Series) -> pd.DataFrame:
         encoder, decoder, split = codec(path, pattern)
         rows = []
         for t in texts:
             ids = encoder.encode(split.findall(t or ""))
-            back = decoder.decode(np.frombuffer(ids, "<u4").tolist())
-            rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back.encode()).hexdigest()))
-        return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+            numbers = np.frombuffer(ids, "<u4")
+            back = decoder.decode(numbers.tolist())
+            rows.append((len(numbers), hashlib.sha256(ids).hexdigest(), hashlib.sha256(back.encode()).hexdigest()) + (numbers.astype(np.int32),) * keep_ids)
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in fields.split(", ")])
 
     return docs.select(F.col(id_col), digest("text").alias("d")).select(id_col, "d.*")

@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidewheel.llm._session import cut
+
 WORD = r"[^\x20\x09-\x0D]+"
 #: Per-source rows up to which the target table is broadcast (a few dozen bytes each).
 BROADCAST_SOURCES = 10_000
@@ -30,33 +32,39 @@ def word_count(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def _ranked(per: DataFrame) -> DataFrame:
+    """``per`` with ``place``, the number of its source in code-point order from 0, null last: sources
+    are dealt by range, counted per range, and numbered within each."""
+    ranges = cut(per.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("range", F.spark_partition_id()))
+    counts = sorted((r["range"], r["count"]) for r in ranges.groupBy("range").count().collect())  # a row per partition
+    before, start = {}, 0
+    for number, count in counts:
+        before[number], start = start, start + count
+    starts = F.create_map(*[F.lit(v) for pair in before.items() for v in pair])
+    within = F.row_number().over(W.partitionBy("range").orderBy(F.col("source").asc_nulls_last())) - 1
+    return ranges.withColumn("place", starts[F.col("range")] + within).drop("range")
+
+
 def source_targets(sizes: DataFrame, weights: Sequence[float] = (1, 2, 3), max_repeats: int = 3) -> DataFrame:
     """(source, size) -> one row per source: source, source_size, weight, target.
 
-    The water level is found in closed form: with sources ordered by the level at which
-    each hits its cap, all before the first that stays below are capped and the rest
-    split what is left by weight.  The global windows run over one row per source.
-    """
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    order = W.orderBy(F.col("source").asc_nulls_last())
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1).cast("int"))
-    per = per.withColumn("weight", weight).withColumn("cap", (F.col("source_size") * max_repeats).cast("double"))
-    by_level = W.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    before = by_level.rowsBetween(W.unboundedPreceding, -1)
-    everything = W.partitionBy()
-    level = (
-        per.withColumn("k", F.row_number().over(by_level))
-        .withColumn("cap_before", F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
-        .withColumn("weight_before", F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-        .withColumn("total", F.sum("source_size").over(everything).cast("double"))
-        .withColumn("weights", F.sum("weight").over(everything))
-        .withColumn("level", (F.col("total") - F.col("cap_before")) / (F.col("weights") - F.col("weight_before")))
-        .withColumn("below", F.col("level") * F.col("weight") <= F.col("cap"))
-        .withColumn("first", F.min(F.when(F.col("below"), F.col("k"))).over(everything))
-        .withColumn("water", F.min(F.when(F.col("k") == F.col("first"), F.col("level"))).over(everything))
-    )
-    target = F.when(F.col("k") < F.col("first"), F.col("cap")).otherwise(F.col("water") * F.col("weight"))
-    return level.select("source", "source_size", "weight", F.coalesce(target, F.lit(0.0)).alias("target"))
+    The water level starts at the total over all weights; sources it lifts above their cap are
+    taken out with what the cap leaves, and the level is raised for the rest, until it lifts no
+    further source above its cap.  A round is one sum over the sources, which may be many."""
+    per = cut(sizes.groupBy("source").agg(F.sum("size").alias("source_size")))
+    if per.isEmpty():
+        return per.select("source", "source_size", F.lit(0.0).alias("weight"), F.lit(0.0).alias("target"))
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod("place", F.lit(len(weights))) + 1).cast("int"))
+    per = cut(_ranked(per).withColumn("weight", weight).withColumn("cap", (F.col("source_size") * max_repeats).cast("double")).drop("place"))
+    total = float(per.agg(F.sum("source_size")).first()[0] or 0)
+    level, open_ = 0.0, None
+    while True:
+        above = F.col("weight") * level > F.col("cap")
+        taken, rest, count = per.agg(F.coalesce(F.sum(F.when(above, F.col("cap"))), F.lit(0.0)), F.sum(F.when(~above, F.col("weight"))), F.count(F.when(~above, 1))).first()
+        if count == open_ or not count:
+            break
+        level, open_ = (total - taken) / rest, count
+    return per.select("source", "source_size", "weight", F.least("cap", F.col("weight") * level).alias("target"))
 
 
 def draw(id_col: str, seed: int) -> Column:
@@ -70,7 +78,7 @@ def plan(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), max_repeats: int
     docs = docs.drop(*OWN)
     sized = docs.withColumn("size", word_count())
     targets = source_targets(sized.select("source", "size"), weights, max_repeats).drop("weight").withColumnRenamed("source", "__tw_source")
-    bounded = docs.select("source").distinct().limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
+    bounded = targets.count() <= BROADCAST_SOURCES
     joined = sized.join(F.broadcast(targets) if bounded else targets, F.col("source").eqNullSafe(F.col("__tw_source")), "left").drop("__tw_source")
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(max_repeats)))).otherwise(0.0)
     copies = F.floor("rate") + F.when(draw(id_col, seed) < F.col("rate") - F.floor("rate"), 1).otherwise(0)

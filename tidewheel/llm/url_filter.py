@@ -8,17 +8,21 @@ each order off to the next, and the log-likelihood difference per character is h
 against a threshold calibrated by cross-fitting: each labelled URL is scored by models that
 leave out its fold, one of five by the URL's hash.
 
-The models that judge count every labelled URL.  Counts are exact and grow with the input: rows keyed by class and gram, a gram being a character with the ``ORDER`` before
-it packed into a long.  The counts of orders 0 and 1 fit 65,536 cells and are broadcast; all
-grams that share the two characters before the last meet in one group, which holds the whole
-contexts of orders 2 to 5, so the log ratio of every gram comes from one shuffle.  The ratios
-are joined to the URLs' characters; those of the ``HOT`` most frequent grams are added up
-before the join.
+The models that judge count every labelled URL.  Counts are exact and grow with the input: rows
+keyed by class and gram, a gram being a character with the ``ORDER`` before it packed into a
+long.  The counts of orders 0 and 1 fit 65,536 cells and are broadcast; those of each higher
+order are sums of the next one's, joined with their context (at most 256 grams have one in
+common) and with the probability of the order below (again at most 256), so no group and no
+key grows with the input.  The log ratios are joined to the URLs' characters; those of the
+``HOT`` most frequent grams are added up before the join.
 
 Defined cases: a null URL or one without ``://`` has empty host and path, fits no rule and
 is allowed, as is every URL when either class has no examples; a fold that holds all examples
 of a class is not used for the threshold, which is 0 when a class has none left; every byte is a symbol but
-for the case of letters, which is ignored; ties of score and threshold are allowed.
+for the case of letters, which is ignored; ties of score and threshold are allowed; repeated
+URLs count each and are scored once; URLs of any length are scored whole, a batch of them in
+memory; null ids are carried through; further columns of the table (also ones named host,
+path, rule or verdict) are ignored.
 """
 
 from __future__ import annotations
@@ -34,11 +38,10 @@ from pyspark.sql import functions as F
 from tidewheel.llm._session import cut
 
 ORDER, SYMBOLS = 5, 256
-CONTEXTS = 1 << 14  # of the dense form
 FOLDS, JUDGED = 5, 10  # cells of a gram: 5 folds of rejected, 5 of accepted, then URLs to judge
 LEFT_OUT = (*range(FOLDS), None)  # models, by the fold that their counts leave out; the last one judges
-HOT, BUCKETS = 1 << 15, 1024
-BINS, REACH = 1024, 4.0
+HOT = 1 << 15
+BINS, REACH = 4096, 16.0  # of the scores' histogram
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -84,35 +87,6 @@ def _symbols() -> np.ndarray:
 SYMBOL = _symbols()
 
 
-def contexts(urls: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(slots by order (ORDER + 1, n), symbols (n), url number (n)) of all characters, in
-    the dense form: contexts hashed into a table, which small tests can hold."""
-    raw = [u.encode() for u in urls]
-    lengths = np.fromiter(map(len, raw), np.int64, len(raw))
-    sym = SYMBOL[np.frombuffer(b"".join(raw), np.uint8)]
-    seq = np.repeat(np.arange(len(raw)), lengths)
-    place = np.arange(len(sym)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    slots = np.zeros((ORDER + 1, len(sym)), np.int64)
-    h = np.zeros(len(sym), np.uint64)
-    for k in range(1, ORDER + 1):
-        before = np.zeros(len(sym), np.int64)
-        before[k:] = sym[:-k] if k <= len(sym) else 0
-        before[place < k] = 0
-        h = (h + before.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-        slots[k] = (h % np.uint64(CONTEXTS)).astype(np.int64) + k * CONTEXTS
-    return slots, sym, seq
-
-
-class Ratio:
-    """Counts of the dense form (2, ORDER + 1, CONTEXTS, SYMBOLS)."""
-
-    def __init__(self, counts: np.ndarray):
-        self.counts = counts.reshape(2, -1, SYMBOLS)
-        self.total = self.counts.sum(axis=2)
-        self.kinds = (self.counts > 0).sum(axis=2).astype(np.float32)
-
-
 def grams(urls: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
     """(gram, url number) of all characters: the symbol in the lowest byte, the one before it in the next."""
     raw = [u.encode() for u in urls]
@@ -126,13 +100,8 @@ def grams(urls: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
     return gram, seq
 
 
-def _bucket(gram: np.ndarray) -> np.ndarray:
-    """By the two symbols before the last, so that a context of order 2 or more is in one bucket."""
-    return (((gram >> 8) & 0xFFFF) * 40503 & 0xFFFF) * BUCKETS >> 16
-
-
 def count(labelled: DataFrame) -> DataFrame:
-    """(url, cell) -> (bucket, key, n), key = gram * 16 + cell; checkpointed."""
+    """(url, cell) -> (key, n), key = gram * 16 + cell; checkpointed."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def merged():
@@ -142,7 +111,7 @@ def count(labelled: DataFrame) -> DataFrame:
         def rows(keys, n):
             for k in range(0, len(keys), 100_000):
                 part = keys[k : k + 100_000]
-                yield pd.DataFrame({"bucket": _bucket(part >> 4), "key": part, "n": n[k : k + 100_000]})
+                yield pd.DataFrame({"key": part, "n": n[k : k + 100_000]})
 
         held, waiting = [], 0
         for frame in frames:
@@ -160,8 +129,7 @@ def count(labelled: DataFrame) -> DataFrame:
         if held:
             yield from rows(*merged())
 
-    cells = labelled.mapInPandas(run, "bucket int, key long, n long").repartition("bucket")
-    return cut(cells.groupBy("bucket", "key").agg(F.sum("n").alias("n")))
+    return cut(labelled.mapInPandas(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
 
 
 def _by_model(cells: np.ndarray) -> np.ndarray:
@@ -189,30 +157,30 @@ def low_orders(cells: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def ratios(cells: DataFrame, low: np.ndarray) -> DataFrame:
     """(gram, n, r0, ...): log P(symbol | context) of accepted minus rejected, by model; checkpointed."""
-    low = cells.sparkSession.sparkContext.broadcast(low)
-    names = [f"r{m}" for m in range(len(LEFT_OUT))]
-
-    def run(bucket: pd.DataFrame) -> pd.DataFrame:
-        key = bucket["key"].to_numpy()
-        gram, at = np.unique(key >> 4, return_inverse=True)
-        table = np.zeros((len(gram), JUDGED + 1))
-        table[at, key & 15] = bucket["n"].to_numpy()
-        counts, p = _by_model(table), low.value[gram & 0xFFFF]
-        for k in range(2, ORDER + 1):
-            order = np.argsort(gram & ((1 << 8 * (k + 1)) - 1), kind="stable")
-            short = gram[order] & ((1 << 8 * (k + 1)) - 1)
-            first = np.flatnonzero(np.diff(short, prepend=-1))
-            ck = np.add.reduceat(counts[order], first, axis=0)
-            context = np.diff(short[first] >> 8, prepend=-1) != 0
-            starts, of = np.flatnonzero(context), np.cumsum(context) - 1
-            total, kinds = np.add.reduceat(ck, starts, axis=0), np.add.reduceat((ck > 0).astype(float), starts, axis=0)
-            pk = _smoothed(ck, total[of], kinds[of], p[order[first]])
-            p = np.empty_like(p)
-            p[order] = np.repeat(pk, np.diff(first, append=len(gram)), axis=0)
-        ratio = np.log(p[:, 1]) - np.log(p[:, 0])
-        return pd.DataFrame({"gram": gram, "n": table.sum(axis=1).astype(np.int64)} | {c: ratio[:, m] for m, c in enumerate(names)})
-
-    return cut(cells.groupBy("bucket").applyInPandas(run, ", ".join(["gram long, n long", *[f"{c} double" for c in names]])))
+    models = [(y, m) for y in range(2) for m in range(len(LEFT_OUT))]
+    name = lambda kind, y, m: f"{kind}{y}_{m}"
+    in_cells = lambda numbers: F.sum(F.when((F.col("key").bitwiseAND(F.lit(15))).isin(numbers), F.col("n")).otherwise(0))
+    kept = lambda y, m: [y * FOLDS + f for f in range(FOLDS) if f != LEFT_OUT[m]]
+    by_gram = cells.groupBy(F.shiftright("key", 4).alias("gram"))
+    orders = {ORDER: cut(by_gram.agg(F.sum("n").alias("times"), *[in_cells(kept(y, m)).alias(name("n", y, m)) for y, m in models]))}
+    for k in range(ORDER - 1, 1, -1):
+        short = F.col("gram").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1)).alias("gram")
+        orders[k] = orders[k + 1].groupBy(short).agg(*[F.sum(name("n", y, m)).alias(name("n", y, m)) for y, m in models])
+    pairs = pd.DataFrame({"below": np.arange(SYMBOLS * SYMBOLS)} | {name("q", y, m): low[:, y, m] for y, m in models})
+    below = F.broadcast(cells.sparkSession.createDataFrame(pairs))  # 65,536 rows
+    for k in range(2, ORDER + 1):
+        grams_ = orders[k].withColumn("context", F.shiftright("gram", 8)).withColumn("below", F.col("gram").bitwiseAND(F.lit((1 << 8 * k) - 1)))
+        totals = [F.sum(name("n", y, m)).alias(name("t", y, m)) for y, m in models]
+        kinds = [F.count(F.when(F.col(name("n", y, m)) > 0, 1)).alias(name("k", y, m)) for y, m in models]
+        joined = grams_.join(grams_.groupBy("context").agg(*totals, *kinds), "context").join(below, "below")
+
+        def smoothed(y, m):
+            n, t, kind, q = (F.col(name(c, y, m)) for c in "ntkq")
+            return F.when(t > 0, (n + kind * q) / (t + kind)).otherwise(q).alias(name("q", y, m))
+
+        p = joined.select("gram", *(["times"] if k == ORDER else []), *[smoothed(y, m) for y, m in models])
+        below = p.withColumnRenamed("gram", "below")
+    return cut(p.select("gram", F.col("times").alias("n"), *[(F.log(name("q", 1, m)) - F.log(name("q", 0, m))).alias(f"r{m}") for m in range(len(LEFT_OUT))]))
 
 
 def scores(urls: DataFrame, ratio: DataFrame, hot) -> DataFrame:
