@@ -3,10 +3,13 @@
 1. language_id     drops documents whose language is rejected (no letters, or a narrow margin)
 2. near_dedup      keeps one document of every SimHash class (op2's link rule), that of the smallest id
 3. mix             repeats each document as the source targets ask
-4. encode          byte-level BPE ids of every document, decoded again for a digest
+4. encode          byte-level BPE ids of every document, and digests of the ids and of their decoded text
 
 Null and empty texts have no letters and leave at stage 1; an empty table passes through
-every stage.
+every stage.  Repeated rows and rows with null ids are classed by text at stage 2, which keeps
+one row of a class: the smallest id (null last), then the smallest digest of its content, which
+also settles ties.  Stages 1 to 3 carry every column of the table through as it is, whatever
+its name; stage 4 returns the ids and their digests.  Texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return byte_bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return byte_bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=True)
 
 
 STAGES = [("language_id", identify_language), ("near_dedup", near_dedup), ("mix", mix_sources), ("encode", encode)]
