@@ -725,7 +725,7 @@ def test_pipeline_keeps_clean_documents_and_drops_copies(spark):
     wanted = Counter({(r.doc_id, tuple(lib.encode_ordinary(r.text))): r.copies for r in mixed.itertuples() if r.copies})
     out = cp.run(spark, SF)
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
-    assert Counter((r.doc_id, tuple(r.ids)) for r in out.collect()) == wanted
+    assert Counter((r.doc_id, tuple(np.frombuffer(r.ids, "<u4").tolist())) for r in out.collect()) == wanted
     empty = docs.limit(0)
     for _, stage in cp.STAGES:
         empty = stage(spark, empty, SF)

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 ROOT = 0
 #: Interned states and transitions a worker keeps; pre-tokens of a generation it remembers (it
 #: keeps two), and the longest pre-token remembered.
-STATES, MOVES, MEMO, MEMO_CHARS = 250_000, 500_000, 300_000, 64
+STATES, MOVES, MEMO, MEMO_CHARS = 200_000, 400_000, 150_000, 64
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -319,8 +319,8 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str, id_col: str =
 
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", keep_ids: bool = False) -> DataFrame:
     """id, n_tokens, ids_sha256 and decoded_sha256 in one pass: encode, then decode the ids.
-    ``keep_ids`` adds ids (array<int>)."""
-    fields = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
+    ``keep_ids`` adds ids (binary: little-endian unsigned 32-bit integers)."""
+    fields = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep_ids
 
     @F.pandas_udf(fields)
     def digest(texts: pd.Series) -> pd.DataFrame:
@@ -328,9 +328,8 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
         rows = []
         for t in texts:
             ids = encoder.encode(split.findall(t or ""))
-            numbers = np.frombuffer(ids, "<u4")
-            back = decoder.decode(numbers.tolist())
-            rows.append((len(numbers), hashlib.sha256(ids).hexdigest(), hashlib.sha256(back.encode()).hexdigest()) + (numbers.astype(np.int32),) * keep_ids)
+            back = decoder.decode(np.frombuffer(ids, "<u4").tolist())
+            rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back.encode()).hexdigest()) + (ids,) * keep_ids)
         return pd.DataFrame(rows, columns=[c.split()[0] for c in fields.split(", ")])
 
     return docs.select(F.col(id_col), digest("text").alias("d")).select(id_col, "d.*")
