@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidewheel.functions import lagfeatures as LF
 from tidewheel.functions import numeric as N
@@ -217,7 +218,13 @@ def test_probabilistic(spark):
     out = p.intervals([0.5, 0.8])
     assert out.count() == 2 * 2 * 3 * 2 and out.where("lower > yhat or yhat > upper").count() == 0
     assert p.quantiles([0.3, 0.5, 0.7]).count() == 36 and p.distribution().count() == 2 * 2 * 3 * 8
-    assert p.bootstrap(50).count() == 600 and p.bootstrap_quantiles([0.1, 0.9], "correlated", 100).count() == 24
+    assert p.bootstrap(50).count() == 600 and p.bootstrap_quantiles([0.1, 0.8], "correlated", 100).count() == 24
+    # the level counts calibration windows, whatever the number of draws: ceil(0.3 * 9) / 8 of 64 draws
+    drawn = sorted(r.value for r in p.bootstrap(64, "empirical").where("series_id = 'a' and candidate = 1 and h = 2").collect())
+    level = p.bootstrap_quantiles([0.3], samples=64, kind="empirical").where("series_id = 'a' and candidate = 1 and h = 2").first().value
+    assert level == drawn[math.floor(3 / 8 * 63)]
+    with pytest.raises(ValueError):
+        p.bootstrap_quantiles([0.9], "correlated", 100)
     assert p.aggregate([0.5]).count() == 6 and "lower_50" in p.intervals(0.5, wide=True).columns
     p.release()
 
@@ -243,3 +250,95 @@ def test_bartlett_bounds_of_a_cross_correlation(spark):
 def test_ccf_bartlett_has_bounds_at_every_lag(spark):
     rows = catalogue.QUERIES["ccf_bartlett"](spark, "/root/testdata/sf0.001").collect()
     assert len(rows) == 7 and all(r.lower < r.ccf < r.upper if r.lag else r.lower == r.ccf == r.upper for r in rows)
+
+
+def test_selection_keeps_the_best_that_improves_all_metrics(spark, monkeypatch):
+    from tidewheel.operators import search
+
+    # the lexicographic first is worse in the second metric; a later one improves both
+    assert search._best_of({0: [1.0, 9.0], 1: [2.0, 3.0], 2: [1.5, 2.0], 3: [1.4, 2.5]}, [3.0, 4.0], "all") == 2
+    assert search._best_of({0: [1.0, 9.0]}, [3.0, 4.0], "all") is None
+    # what one starts from is scored first: additions that are worse are refused
+    worth = {(1,): [1.0], (1, 2): [2.0], (1, 3): [3.0]}
+    monkeypatch.setattr(search, "_judge", lambda panel, build, options, *a, **how: {k: worth[f.lags] for k, f in enumerate(options)})
+    assert search.forward_selection(None, None, ["MAE"], 3, 3, lags=[1, 2, 3], start=search.Features(lags=(1,))) == (search.Features(lags=(1,)), [1.0])
+
+
+def test_lags_are_selected_per_target(spark):
+    from tidewheel.operators.search import per_target
+
+    assert per_target([(0, 1), (0, 3), (1, 2)], 3) == {0: [1, 3], 1: [2], 2: []}
+    found = {(r.target, r.lag) for r in catalogue.QUERIES["forward_selection_by_target"](spark, "/root/testdata/sf0.001").collect()}
+    assert found and found <= {(0, 1), (0, 2), (1, 1), (1, 2)}
+
+
+def test_wrong_configurations_fail_and_short_series_are_named(spark):
+    class Wrong:
+        def fit(self, y, x=None):
+            raise ValueError("wrong in every series")
+
+    df = panel(spark, a=seasonal(), b=[1.0, 2.0, 3.0])
+    with pytest.raises(ValueError, match="unknown trend"):
+        Prepare(trend="sideways")
+    with pytest.raises(ValueError, match="no further"):
+        P.forecast(df, Direct(1, horizon=3), 5)
+    with pytest.raises(Exception, match="wrong in every series"):
+        P.forecast(df, Wrong(), 2).collect()
+    rows = P.fit_reports(df, {0: Lagged(12), 1: Naive(1)}, "failures").collect()
+    assert [(r.series_id, r.candidate) for r in rows] == [("b", 0)] and "shorter" in rows[0].reason
+    assert {r.series_id for r in P.forecast(df, Lagged(12), 2).collect()} == {"a"}
+
+
+def test_markov_switching_given_parameters():
+    y = regimes()[0][:, None]
+    given = dict(initial=[0.5, 0.5], transitions=[[0.95, 0.05], [0.05, 0.95]], coefficients=[[-3.0, 0.0], [3.0, 0.0]], stds=[1.0, 1.0])
+    held = MarkovSwitching(2, 1, rounds=0, **given).fit(y)
+    # the log likelihood of these parameters, by the plain forward recursion
+    x, z = y[:-1, 0], y[1:, 0]
+    density = np.exp(-0.5 * np.array([(z + 3.0) ** 2, (z - 3.0) ** 2])) / math.sqrt(2 * math.pi)
+    a, total = np.array([0.5, 0.5]) * density[:, 0], 0.0
+    for t in range(len(z)):
+        if t:
+            a = (a @ np.array(given["transitions"])) * density[:, t]
+        total, a = total + math.log(a.sum()), a / a.sum()
+    assert held.log_likelihood == pytest.approx(total) and len(x) == len(z)
+    drawn = MarkovSwitching(2, 1, rounds=5, start_prior=1e3, move_prior=1e5).fit(y)
+    assert np.isfinite(drawn.log_likelihood)
+    with pytest.raises(ValueError):
+        MarkovSwitching(2, 1, stds=[1.0])
+    apart = MarkovSwitching(2, 1, constant=False, rounds=0).fit(y)
+    assert np.allclose(apart.coef[0], apart.coef[1]) and apart.cov[0] < apart.cov[1]
+
+
+@pytest.mark.parametrize("tr", [LF.ExpandingMean(1), LF.ExpandingMean(3), LF.ExpandingStd(2), LF.ExpandingSes(2, 0.3), LF.ExpandingQuantile(1, 0.4), LF.RollingMean(1, 4, 2)])
+def test_traces_equal_steps(tr):
+    z = RNG.normal(size=60) + 100.0
+    z[[0, 7, 8, 30]] = np.nan
+    steps = np.array([tr.step(z[:i]) if i >= tr.shift else np.nan for i in range(len(z))])
+    assert np.allclose(tr.trace(z), steps, equal_nan=True)
+
+
+def test_expanding_ets_is_the_fit_of_the_shifted_series():
+    y = np.asarray(seasonal(), float)
+    how = Ets("add", "add", 12, alpha=0.3, beta=0.1, gamma=0.2)
+    tr = LF.ExpandingEts(1, how)
+    assert np.allclose(tr.trace(y)[1:], how.fit(y[:-1][:, None]).fitted) and np.isnan(tr.trace(y)[0])
+    assert tr.step(y) == pytest.approx(how.fit(y[:, None]).fitted[-1])
+    assert Lagged([1], (tr,)).fit(y[:, None]).forecast(3).shape == (3, 1)
+
+
+def test_other_columns_of_a_panel_do_not_depend_on_order(spark):
+    from tidewheel.sources.panel import to_panel
+
+    rows = [("a", f"2024-01-01 00:{m:02d}:00", 1.0, c) for m, c in ((30, "late"), (5, None), (10, "b"), (10, "a"))]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "k string, at string, y double, c string").withColumn("at", F.to_timestamp("at"))
+        assert [(r.y, r.c) for r in to_panel(df, "k", "at", "y", ["c"], unit="hour").collect()] == [(4.0, "a")]
+
+
+def test_many_categories_as_a_vector(spark):
+    from tidewheel.operators.encoders import one_hot_vector
+
+    df = spark.createDataFrame([(f"c{k % 1500}",) for k in range(3000)] + [(None,)], "c string")
+    out = one_hot_vector(df, "c")[1].collect()
+    assert len(out) == 3001 and {r.c_vector.numNonzeros() for r in out} == {1} and out[0].c_vector.size >= 1500

@@ -36,9 +36,25 @@ class LagTransform:
         seen = seen[~np.isnan(seen)]
         return self.reduce(seen) if len(seen) else np.nan
 
+    def trace(self, z: np.ndarray) -> np.ndarray:
+        """Values of the feature at every step of a series."""
+        return np.array([self.step(z[:i]) if i >= self.shift else np.nan for i in range(len(z))])
+
+    def _sums(self, z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Count, sum and sum of squares (of values less their mean) seen before every step: one pass."""
+        good = ~np.isnan(z)
+        x = np.where(good, z - (z[good].mean() if good.any() else 0.0), 0.0)
+        late = lambda v: np.concatenate((np.zeros(self.shift), np.cumsum(v)))[: len(z)]
+        return late(good.astype(float)), late(x), late(x * x)
+
 
 @dataclass(frozen=True)
 class ExpandingMean(LagTransform):
+    def trace(self, z: np.ndarray) -> np.ndarray:
+        n, s, _ = self._sums(z)
+        centre = np.nanmean(z) if (~np.isnan(z)).any() else 0.0
+        return np.where(n > 0, s / np.maximum(n, 1) + centre, np.nan)
+
     @property
     def name(self) -> str:
         return f"expanding_mean_shift_{self.shift}"
@@ -52,6 +68,10 @@ class ExpandingMean(LagTransform):
 
 @dataclass(frozen=True)
 class ExpandingStd(LagTransform):
+    def trace(self, z: np.ndarray) -> np.ndarray:
+        n, s, q = self._sums(z)
+        return np.where(n > 1, np.sqrt(np.maximum(q - s * s / np.maximum(n, 1), 0.0) / np.maximum(n - 1, 1)), np.nan)
+
     @property
     def name(self) -> str:
         return f"expanding_std_shift_{self.shift}"
@@ -143,14 +163,22 @@ class RollingQuantile(_Rolling):
 
 @dataclass(frozen=True)
 class ExpandingSes(LagTransform):
-    """Fitted level of simple exponential smoothing with a fixed factor over the shifted
-    series: an expanding ETS whose state is one array fold."""
+    """Level of simple exponential smoothing with a fixed factor over the shifted series."""
 
     alpha: float = 0.5
 
+    def trace(self, z: np.ndarray) -> np.ndarray:
+        out, level = np.full(len(z), np.nan), np.nan
+        for i in range(self.shift, len(z)):
+            v = z[i - self.shift]
+            if v == v:
+                level = v if level != level else level + self.alpha * (v - level)
+            out[i] = level
+        return out
+
     @property
     def name(self) -> str:
-        return f"expanding_ets_shift_{self.shift}_a{self.alpha}"
+        return f"expanding_ses_shift_{self.shift}_a{self.alpha}"
 
     def statistic(self, y: Column, frame) -> Column:
         seen = F.collect_list(y).over(frame)
@@ -164,6 +192,34 @@ class ExpandingSes(LagTransform):
         return float(level)
 
 
+@dataclass(frozen=True)
+class ExpandingEts(LagTransform):
+    """Fitted values of exponential smoothing over the shifted series: ``ets`` is any ``Ets`` with
+    trend, season, damping and factors, those that are None estimated.  A feature of estimators;
+    a panel gets it from ``fit_reports(..., "fitted")``."""
+
+    ets: object = None
+
+    @property
+    def name(self) -> str:
+        return f"expanding_ets_{self.shift}"
+
+    def statistic(self, y: Column, frame) -> Column:
+        raise TypeError("a smoothing with estimated parameters is no window; use fit_reports")
+
+    def trace(self, z: np.ndarray) -> np.ndarray:
+        out, good = np.full(len(z), np.nan), ~np.isnan(z[: max(0, len(z) - self.shift)])
+        at = np.flatnonzero(good)
+        if len(at):
+            out[at + self.shift] = self.ets.fit(z[at][:, None]).fitted
+        return out
+
+    def step(self, history: np.ndarray) -> float:
+        seen = self.seen(history)
+        seen = seen[~np.isnan(seen)]
+        return float(self.ets.fit(seen[:, None]).fitted[-1]) if len(seen) else np.nan
+
+
 def normal_lags(lags: int | Sequence[int] | None) -> list[int]:
     """An int means 1..k."""
     if lags is None:

@@ -16,7 +16,7 @@ def categories(df: DataFrame, column: str) -> list[str]:
     """Sorted distinct values of the training data, frozen for later frames."""
     found = [r[0] for r in df.select(F.col(column).cast("string")).where(F.col(column).isNotNull()).distinct().limit(MAX_CATEGORIES + 1).collect()]
     if len(found) > MAX_CATEGORIES:
-        raise ValueError(f"{column} has more than {MAX_CATEGORIES} categories; use target encoding")
+        raise ValueError(f"{column} has more than {MAX_CATEGORIES} categories; use one_hot_vector or target encoding")
     return sorted(found)
 
 
@@ -28,6 +28,18 @@ def one_hot(df: DataFrame, column: str, values: Sequence[str], drop_first: bool
     return out if keep else out.drop(column)
 
 
+def one_hot_vector(df: DataFrame, column: str, output: str | None = None, drop_first: bool = False):
+    """Any number of categories as one sparse vector column: (fitted stages, frame).  The
+    categories stay in the model, most frequent first; unseen values are all zeros."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import OneHotEncoder, StringIndexer
+
+    index = StringIndexer(inputCol=column, outputCol=f"_{column}_index", handleInvalid="keep")
+    vector = OneHotEncoder(inputCol=f"_{column}_index", outputCol=output or f"{column}_vector", dropLast=drop_first)
+    model = Pipeline(stages=[index, vector]).fit(df)
+    return model, model.transform(df).drop(f"_{column}_index")
+
+
 def kfold_target_encode(df: DataFrame, column: str, target: str, fold: Column, keys: Sequence[str] = ()) -> DataFrame:
     """``{column}_target_encoded``: the mean target of the row's category in the other folds,
     else the overall mean.  Two small aggregates joined back: totals per category and fold."""

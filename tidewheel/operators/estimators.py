@@ -18,6 +18,10 @@ from tidewheel.functions.numeric import golden_section, nelder_mead
 from tidewheel.functions.regressors import Linear
 
 
+class TooShort(ValueError):
+    """A series has too few values for a configuration; others of the panel are unaffected."""
+
+
 def trend_design(t: np.ndarray, degree: int | Sequence[int] = 1, breaks: Sequence[float] | None = None) -> np.ndarray:
     """Columns of a trend at positions ``t``: powers (a list names exponents), or t and its
     hinges (degree is then 1)."""
@@ -72,6 +76,10 @@ class Prepare:
     nonnegative: bool = True
     ets: "Ets | None" = None
 
+    def __post_init__(self):
+        if self.trend not in (None, "linear", "ets", "feature_lr", "feature_ets"):
+            raise ValueError(f"unknown trend: {self.trend}")
+
     def forward(self, y: np.ndarray) -> "Prepared":
         state, z = Prepared(self), y.astype(float)
         if self.box_cox:
@@ -85,8 +93,6 @@ class Prepare:
         elif self.trend in ("ets", "feature_ets"):
             state.model = (self.ets or Ets(trend="add")).fit(z[:, None])
             state.fitted = state.model.fitted
-        elif self.trend is not None:
-            raise ValueError(f"unknown trend: {self.trend}")
         if self.trend in ("linear", "ets"):
             z = z - state.fitted
         state.origins = []
@@ -165,7 +171,7 @@ class Lagged:
                 names.append(f"y{j}_lag_{lag}")
         for j in range(k):
             for tr in trans[j]:
-                columns.append(np.array([tr.step(done[j].z[:i]) if i >= tr.shift else np.nan for i in range(n)]))
+                columns.append(tr.trace(done[j].z))
                 names.append((f"trg{j}_" if k > 1 else "") + tr.name)
         for j in range(k):
             if prep[j].trend in ("feature_lr", "feature_ets"):
@@ -179,7 +185,7 @@ class Lagged:
     def fit(self, y: np.ndarray, x: np.ndarray | None = None) -> "FittedLagged":
         design, z, names, done, rows = self.design(y, x)
         if not len(z):
-            raise ValueError("no complete rows: the series is shorter than its features need")
+            raise TooShort("no complete rows: the series is shorter than its features need")
         regressors = self.regressor if isinstance(self.regressor, (list, tuple)) else [self.regressor] * z.shape[1]
         models = [r.fit(design, z[:, j]) for j, r in enumerate(regressors)]
         fitted = np.column_stack([m.predict(design) for m in models])
@@ -255,6 +261,10 @@ class Direct:
     horizon: int = 1
     aligned: bool = True
 
+    def check(self, horizon: int) -> None:
+        if horizon > self.horizon:
+            raise ValueError("a direct forecaster reaches no further than its horizon")
+
     def fit(self, y: np.ndarray, x: np.ndarray | None = None) -> "FittedDirect":
         done = self.prepare.forward(y[:, 0])
         z, late = done.z, int(self.aligned)
@@ -353,7 +363,7 @@ class Ets:
     def fit(self, y: np.ndarray, x: np.ndarray | None = None) -> "FittedEts":
         y = y[:, 0] if y.ndim == 2 else y
         if self.seasonal and len(y) < 2 * self.season:
-            raise ValueError("two seasons are needed")
+            raise TooShort("two seasons are needed")
         given = {"a": self.alpha, "b": self.beta if self.trend else 0.0, "g": self.gamma if self.seasonal else 0.0, "phi": self.phi if self.damped else 1.0}
         free = [k for k, v in given.items() if v is None]
         limits = {"a": (1e-4, 0.9999), "b": (1e-4, 0.9999), "g": (1e-4, 0.9999), "phi": (0.8, 0.98)}
@@ -416,7 +426,7 @@ class Sarima:
             origins.append((lag, w[-lag:].copy()))
             w = w[lag:] - w[:-lag]
         if len(w) < 3 + self.p + self.q + m * (self.P + self.Q):
-            raise ValueError("series too short for the orders")
+            raise TooShort("series too short for the orders")
         centre = self.constant and self.d + self.D == 0
         sizes = (self.p, self.q, self.P, self.Q)
 

@@ -15,7 +15,7 @@ from dataclasses import dataclass, replace
 import numpy as np
 
 from tidewheel.functions.numeric import logsumexp, t_two_sided
-from tidewheel.operators.estimators import Lagged, Prepare
+from tidewheel.operators.estimators import Lagged, Prepare, TooShort
 
 FLOOR = 1e-5
 
@@ -36,6 +36,20 @@ class MarkovSwitching:
     restarts: int = 0
     seed: int = 0
     warm: "FittedSwitching | None" = None
+    #: Dirichlet concentrations that first state and transitions are drawn with, where given.
+    start_prior: float | None = None
+    move_prior: float | None = None
+    #: Given starts, each in place of the estimated one: state probabilities, transitions, (regimes,
+    #: features[, targets]) coefficients, and a standard deviation per regime.
+    initial: Sequence | None = None
+    transitions: Sequence | None = None
+    coefficients: Sequence | None = None
+    stds: Sequence | None = None
+
+    def __post_init__(self):
+        for given in (self.initial, self.transitions, self.coefficients, self.stds):
+            if given is not None and len(given) != self.regimes:
+                raise ValueError("given parameters must have a row per regime")
 
     def fit(self, y: np.ndarray, x: np.ndarray | None = None) -> "FittedSwitching":
         lagged = Lagged(self.lags, self.transforms, prepare=self.prepare)
@@ -43,7 +57,7 @@ class MarkovSwitching:
         if self.constant:
             design, names = np.column_stack([np.ones(len(design)), design]), ["const", *names]
         if len(z) <= design.shape[1] + self.regimes:
-            raise ValueError("series too short for its regimes and features")
+            raise TooShort("series too short for its regimes and features")
         best = None
         for attempt in range(self.restarts + 1):
             model = self._start(design, z, attempt)
@@ -76,12 +90,27 @@ class MarkovSwitching:
         spread = np.sqrt(np.diag(cov))
         coefs = np.repeat(coef[None], n, axis=0)
         at = np.linspace(-1.0, 1.0, n) if n > 1 else np.zeros(1)
-        coefs[:, 0] += at[:, None] * spread + (rng.normal(0, 0.3, (n, k)) * spread if attempt else 0.0)
+        covs = np.repeat(cov[None], n, axis=0)
+        if self.constant:
+            coefs[:, 0] += at[:, None] * spread + (rng.normal(0, 0.3, (n, k)) * spread if attempt else 0.0)
+        else:  # nothing to shift: regimes start apart in scale
+            covs *= np.exp(at + (rng.normal(0, 0.3, n) if attempt else 0.0))[:, None, None]
         move = np.full((n, n), 0.1 / max(1, n - 1))
         np.fill_diagonal(move, 0.9 if n > 1 else 1.0)
         if attempt:
             move = rng.dirichlet(np.ones(n), n)  # random restarts draw transitions anew
-        return FittedSwitching(np.full(n, 1.0 / n), move, coefs, np.repeat(cov[None], n, axis=0))
+        pi = np.full(n, 1.0 / n) if self.start_prior is None else rng.dirichlet(np.repeat(self.start_prior, n))
+        if self.move_prior is not None:
+            move = rng.dirichlet(np.repeat(self.move_prior, n), n)
+        if self.initial is not None:
+            pi = np.array(self.initial, float)
+        if self.transitions is not None:
+            move = np.array(self.transitions, float)
+        if self.coefficients is not None:
+            coefs = np.array(self.coefficients, float).reshape(n, design.shape[1], k)
+        if self.stds is not None:
+            covs = np.array([np.eye(k) * s**2 for s in self.stds])
+        return FittedSwitching(pi, move, coefs, covs)
 
 
 class FittedSwitching:

@@ -61,6 +61,21 @@ def _better(new: list[float], old: list[float], accept: str) -> bool:
     return all(a < b for a, b in zip(new, old)) if accept == "all" else new < old
 
 
+def _best_of(found: dict[int, list[float]], score: list[float], accept: str) -> int | None:
+    """The candidate that is left when each in turn replaces the best so far if it is better."""
+    pick = None
+    for k in sorted(found):
+        if _better(found[k], score, accept):
+            pick, score = k, found[k]
+    return pick
+
+
+def per_target(lags: Sequence[tuple[int, int]], targets: int) -> dict[int, list[int]]:
+    """(target number, lag) choices as the lags of each target, the form ``Lagged`` takes: candidates
+    of this form select the lags of every target of a multivariate model on their own."""
+    return {j: [lag for of, lag in lags if of == j] for j in range(targets)}
+
+
 def _judge(panel, build, options, metrics, n_splits, horizon, step, targets, validation, **how):
     models = {k: build(f) for k, f in enumerate(options)}
     exog = {k: f.exog for k, f in enumerate(options)}
@@ -73,6 +88,8 @@ def forward_selection(panel: DataFrame, build: Callable[[Features], object], met
     """Greedily add the lag, column or transform that improves most; stop when none does.
     ``build`` turns a choice into a model; ``validation``: cv, AIC, BIC or AIC_BIC."""
     best, score = start, [math.inf] * (len(metrics) if validation == "cv" else len(validation.split("_")))
+    if start.lags or start.exog or start.transforms:
+        score = _judge(panel, build, [start], metrics, n_splits, horizon, step, targets, validation, **how)[0]
     while True:
         options = [replace(best, lags=tuple(sorted({*best.lags, k}))) for k in lags if k not in best.lags]
         options += [replace(best, exog=(*best.exog, c)) for c in exog if c not in best.exog]
@@ -80,8 +97,8 @@ def forward_selection(panel: DataFrame, build: Callable[[Features], object], met
         if not options:
             return best, score
         found = _judge(panel, build, options, metrics, n_splits, horizon, step, targets, validation, **how)
-        pick = min(found, key=lambda k: found[k])
-        if not _better(found[pick], score, accept) or found[pick][0] >= FAILED:
+        pick = _best_of(found, score, accept)
+        if pick is None or found[pick][0] >= FAILED:
             return best, score
         best, score = options[pick], found[pick]
 
@@ -98,8 +115,8 @@ def backward_selection(panel: DataFrame, build: Callable[[Features], object], me
         if not options:
             return best, score
         found = _judge(panel, build, options, metrics, n_splits, horizon, step, targets, validation, **how)
-        pick = min(found, key=lambda k: found[k])
-        if not _better(found[pick], score, accept):
+        pick = _best_of(found, score, accept)
+        if pick is None:
             return best, score
         best, score = options[pick], found[pick]
 
@@ -148,7 +165,7 @@ def _propose(space: Mapping[str, object], history: list[tuple[dict, float]], cou
     return out
 
 
-def tune(panel: DataFrame, build: Callable[[dict], object], space: Mapping[str, object], metric: str, n_splits: int, horizon: int, trials: int = 32, batch: int = 8, step: int | None = None, targets: Sequence[str] = ("y",), target: str | None = None, exog: Sequence[str] = (), seed: int = 0, last_steps: int | None = None, warm_rounds: int | None = None) -> tuple[dict, list[tuple[dict, float]]]:
+def tune(panel: DataFrame, build: Callable[[dict], object], space: Mapping[str, object], metric: str, n_splits: int, horizon: int, trials: int = 100, batch: int = 8, step: int | None = None, targets: Sequence[str] = ("y",), target: str | None = None, exog: Sequence[str] = (), seed: int = 0, last_steps: int | None = None, warm_rounds: int | None = None) -> tuple[dict, list[tuple[dict, float]]]:
     """(best parameters, every trial with its loss).  Trials run in batches, a job each; a
     candidate that ``build`` refuses (None) or that cannot be fitted loses."""
     rng, history = np.random.default_rng(seed), []
@@ -171,8 +188,10 @@ def tune_lags(panel: DataFrame, build: Callable[[tuple[int, ...]], object], lag_
     return chosen(best), history
 
 
-def tune_ets(panel: DataFrame, season: int, metric: str, n_splits: int, horizon: int, trials: int = 24, **how):
-    space = {"trend": Choice((None, "add")), "damped": Choice((False, True)), "seasonal": Choice((None, "add")), "alpha": Uniform(0.01, 0.99), "beta": Uniform(0.01, 0.5), "gamma": Uniform(0.01, 0.5), "phi": Uniform(0.8, 0.98)}
+def tune_ets(panel: DataFrame, season: int, metric: str, n_splits: int, horizon: int, trials: int = 100, space: Mapping[str, object] | None = None, **how):
+    """``space`` replaces the draws of any parameter of ``Ets``."""
+    every = {"trend": Choice((None, "add", "mul")), "damped": Choice((False, True)), "seasonal": Choice((None, "add", "mul")), "alpha": Uniform(0.01, 0.99), "beta": Uniform(0.01, 0.5), "gamma": Uniform(0.01, 0.5), "phi": Uniform(0.8, 0.98)}
+    space = every | dict(space or {})
     build = lambda d: Ets(season=season if d["seasonal"] else 0, **d)
     best, history = tune(panel, build, space, metric, n_splits, horizon, trials, **how)
     return build(best), history

@@ -191,7 +191,23 @@ def linear_trend_forecast(spark, sf):
     return TR.forecast_trend(TR.fit_trend(S.monthly_orders(spark, sf)), 12).select("series_id", "h", "t", _r("trend", 4))
 
 
-@query()
+def _three(y: str = "y", by: str = "series_id") -> str:
+    """SQL of least squares of y on d's columns x1, x2, x3 with intercept (CTE m: a, b1, b2, b3), by Cramer's rule."""
+    c = {f"s{i}{j}": f"covar_pop(x{i}, x{j})" for i in (1, 2, 3) for j in (1, 2, 3) if i <= j} | {f"c{i}": f"covar_pop(x{i}, {y})" for i in (1, 2, 3)}
+    det = "s11 * (s22 * s33 - s23 * s23) - s12 * (s12 * s33 - s23 * s13) + s13 * (s12 * s23 - s22 * s13)"
+    b1 = "c1 * (s22 * s33 - s23 * s23) - s12 * (c2 * s33 - s23 * c3) + s13 * (c2 * s23 - s22 * c3)"
+    b2 = "s11 * (c2 * s33 - s23 * c3) - c1 * (s12 * s33 - s23 * s13) + s13 * (s12 * c3 - c2 * s13)"
+    b3 = "s11 * (s22 * c3 - c2 * s23) - s12 * (s12 * c3 - c2 * s13) + c1 * (s12 * s23 - s22 * s13)"
+    sums = ", ".join(f"{v} AS {k}" for k, v in c.items())
+    return f"""v AS (SELECT {by}, {sums}, avg({y}) AS my, avg(x1) AS m1, avg(x2) AS m2, avg(x3) AS m3 FROM d WHERE x1 + x2 + x3 + {y} IS NOT NULL GROUP BY {by}),
+w AS (SELECT *, ({b1}) / ({det}) AS b1, ({b2}) / ({det}) AS b2, ({b3}) / ({det}) AS b3 FROM v),
+m AS (SELECT {by}, b1, b2, b3, my - b1 * m1 - b2 * m2 - b3 * m3 AS a FROM w)"""
+
+
+@query(f"""WITH {MONTHS}, d AS (SELECT series_id, t::DOUBLE AS x1, greatest(0, t - 24)::DOUBLE AS x2, greatest(0, t - 48)::DOUBLE AS x3, y FROM panel), {_three()},
+n AS (SELECT series_id, max(t) AS last_t FROM panel GROUP BY 1)
+SELECT series_id, h::INT AS h, (last_t + h)::INT AS t, round(a + b1 * (last_t + h) + b2 * greatest(0, last_t + h - 24) + b3 * greatest(0, last_t + h - 48), 4) AS trend
+FROM m JOIN n USING (series_id), range(1, 13) r(h)""")
 def piecewise_trend(spark, sf):
     return TR.forecast_trend(TR.fit_trend(S.monthly_orders(spark, sf), breaks=[24, 48]), 12, breaks=[24, 48]).select("series_id", "h", "t", _r("trend", 4))
 
@@ -279,7 +295,11 @@ def ic_ar1(spark, sf):
     return out.select("series_id", *[_r(c, 4) for c in ("aic", "aicc", "bic", "hqc")])
 
 
-@query()
+@query(f"""WITH RECURSIVE {SERIES}, d AS (SELECT series_id, t, y, lag(y) OVER {W_}) AS x1, lag(y, 2) OVER {W_}) AS x2, lag(y, 24) OVER {W_}) AS x3 FROM panel), {_three()},
+past AS (SELECT series_id, list(y ORDER BY t) AS y FROM panel GROUP BY 1),
+path AS (SELECT series_id, 0 AS h, a, b1, b2, b3, y[len(y) - 23:] AS y FROM m JOIN past USING (series_id)
+  UNION ALL SELECT series_id, h + 1, a, b1, b2, b3, list_append(y, a + b1 * y[-1] + b2 * y[-2] + b3 * y[-24]) FROM path WHERE h < 24)
+SELECT series_id, h::INT AS h, round(y[-1], 4) AS yhat FROM path WHERE h > 0""")
 def ar_recursive_forecast(spark, sf):
     lags = [1, 2, 24]
     return R.recurse_ar(R.fit_ar(S.hourly_events(spark, sf), lags), lags, 24).select("series_id", "h", _r("yhat", 4))
@@ -443,17 +463,22 @@ ccf AS (SELECT 'pair' AS series_id, k::INT AS lag, p / s * CASE WHEN k > 0 THEN
 
 
 @query(f"""WITH {SERIES}, {PAIRS} SELECT series_id, lag, round(ccf, 6) AS ccf, round(ccf - {D.z_value(0.05)!r} * se, 6) AS lower, round(ccf + {D.z_value(0.05)!r} * se, 6) AS upper FROM
- (SELECT *, CASE WHEN lag = 0 THEN 0 ELSE sqrt((2 * sum(ccf * ccf) OVER (ORDER BY lag ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 1) / n) END AS se FROM ccf)""")
+ (SELECT *, CASE WHEN lag = 0 THEN 0 ELSE sqrt((1 + 2 * coalesce(sum(CASE WHEN lag > 0 THEN ccf * ccf END) OVER (ORDER BY lag ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / n) END AS se FROM ccf)""")
 def ccf_bartlett(spark, sf):
     out = D.cross_correlation(_pairs(spark, sf), _LAGS, alpha=0.05, bartlett=True)
     return out.select("series_id", "lag", _r("ccf"), _r("lower"), _r("upper"))
 
 
-@query(f"""WITH {SERIES}, {PAIRS}, b AS (SELECT *, {D.z_value(0.05)!r} / sqrt(n - lag) AS z FROM ccf WHERE lag > 0),
+RUNNING = PAIRS.replace("SELECT a.ts, a.y AS x, b.y AS y,", "SELECT a.ts, sum(a.y) OVER (ORDER BY a.ts) AS x, sum(b.y) OVER (ORDER BY a.ts) AS y,")
+
+
+@query(f"""WITH {SERIES}, {RUNNING}, b AS (SELECT *, {D.z_value(0.05)!r} / sqrt(n - lag) AS z FROM ccf WHERE lag > 0),
 g AS (SELECT *, CASE WHEN ccf > z THEN (ccf - z) / z WHEN ccf < -z THEN (ccf + z) / z ELSE 0 END AS s FROM b)
 SELECT series_id, lag AS lags, round(s, 6) AS corr_score, round(ccf, 6) AS ccf_value, round(z, 6) AS z_bound, round(abs(s), 6) AS abs_corr_score FROM g WHERE abs(s) > 0""")
 def ccf_strength(spark, sf):
-    out = D.ccf_strength(_pairs(spark, sf), _LAGS)
+    """Of the running sums of clicks and purchases, which go together at every lag."""
+    so_far = S.W.partitionBy("series_id").orderBy("t")
+    out = D.ccf_strength(_pairs(spark, sf).withColumns({c: F.sum(c).over(so_far) for c in "xy"}), _LAGS)
     return out.select("series_id", "lags", *[_r(c) for c in ("corr_score", "ccf_value", "z_bound", "abs_corr_score")])
 
 
@@ -467,9 +492,33 @@ def acf(spark, sf):
 # Queries whose algorithms SQL cannot express: rows only, with their own tests.
 
 
-@query()
+_PACF = 24
+#: Autocorrelations r[1..], then Durbin and Levinson's recursion on a list of coefficients.
+LEVINSON = f"""
+c AS (SELECT series_id, t, y - avg(y) OVER (PARTITION BY series_id) AS y FROM panel), s AS (SELECT series_id, count(*) AS n, sum(y * y) AS s FROM c GROUP BY 1),
+k AS (SELECT a.series_id, k, sum(a.y * b.y) AS p FROM range(1, {_PACF + 1}) r(k) JOIN c a ON true JOIN c b ON b.series_id = a.series_id AND b.t = a.t + k GROUP BY 1, 2),
+acf AS (SELECT series_id, any_value(n) AS n, list(p / s * n / (n - k) ORDER BY k) AS r FROM k JOIN s USING (series_id) GROUP BY 1),
+step AS (
+  SELECT series_id, n, r, 1 AS k, [r[1]] AS phi FROM acf
+  UNION ALL
+  SELECT series_id, n, r, k + 1, list_append(list_transform(range(1, k + 1), lambda j: phi[j] - new * phi[k + 1 - j]), new) FROM (
+    SELECT *, (r[k + 1] - list_sum(list_transform(range(1, k + 1), lambda j: phi[j] * r[k + 1 - j]))) / (1 - list_sum(list_transform(range(1, k + 1), lambda j: phi[j] * r[j]))) AS new
+    FROM step WHERE k < {_PACF}))"""
+
+
+@query(f"""WITH RECURSIVE {SERIES}, {LEVINSON}
+SELECT series_id, k::INT AS lag, round(phi[k], 6) AS pacf, round({D.z_value(0.05)!r} / sqrt(n), 6) AS bound FROM step
+UNION ALL SELECT series_id, 0, 1.0, round({D.z_value(0.05)!r} / sqrt(n), 6) FROM acf""")
+def pacf(spark, sf):
+    return D.pacf(S.hourly_events(spark, sf), _PACF).select("series_id", "lag", _r("pacf"), _r("bound"))
+
+
+@query(f"""WITH RECURSIVE {SERIES}, {LEVINSON}, z AS (SELECT series_id, k, phi[k] AS p, {D.z_value(0.05)!r} / sqrt(n - {_PACF}) AS z FROM step),
+g AS (SELECT *, CASE WHEN p > z THEN (p - z) / z WHEN p < -z THEN (p + z) / z ELSE 0 END AS s FROM z)
+SELECT series_id, k::INT AS lags, round(s, 6) AS pacf_score, round(p, 6) AS pacf_value, round(z, 6) AS z_bound, round(abs(s), 6) AS abs_pacf_score FROM g WHERE abs(s) > 0""")
 def pacf_strength(spark, sf):
-    return D.pacf_strength(S.hourly_events(spark, sf), 24)
+    out = D.pacf_strength(S.hourly_events(spark, sf), _PACF)
+    return out.select("series_id", "lags", *[_r(c) for c in ("pacf_score", "pacf_value", "z_bound", "abs_pacf_score")])
 
 
 @query()
@@ -492,19 +541,19 @@ def differencing_orders(spark, sf):
 @query()
 def bootstrap_empirical(spark, sf):
     rows, point = _naive_calibration(S.hourly_events(spark, sf))
-    return C.bootstrap(point, rows, 200)
+    return C.bootstrap(point, rows)
 
 
 @query()
 def bootstrap_kde(spark, sf):
     rows, point = _naive_calibration(S.hourly_events(spark, sf))
-    return C.sample_quantiles(C.bootstrap(point, rows, 200, "kde"), [0.1, 0.5, 0.9], _WINDOWS)
+    return C.sample_quantiles(C.bootstrap(point, rows, kind="kde"), [0.1, 0.5, 0.9], _WINDOWS)
 
 
 @query()
 def correlated_sim(spark, sf):
     rows, point = _naive_calibration(S.hourly_events(spark, sf))
-    return C.correlated_paths(point, rows, 100)
+    return C.correlated_paths(point, rows)
 
 
 @query()
@@ -513,9 +562,12 @@ def ml_forecast(spark, sf):
     return P.forecast(S.hourly_events(spark, sf), models, 24)
 
 
-@query()
+@query(f"""WITH {SERIES}, x AS (SELECT series_id, t, y, y AS x1, lag(y) OVER {W_}) AS x2, lag(y, 23) OVER {W_}) AS x3 FROM panel),
+d AS (SELECT x.series_id, h, x1, x2, x3, p.y AS z FROM x JOIN range(1, 13) r(h) ON true JOIN panel p ON p.series_id = x.series_id AND p.t = x.t + h), {_three("z", "series_id, h")},
+n AS (SELECT series_id, max(t) AS t FROM panel GROUP BY 1)
+SELECT series_id, h::INT AS h, round(greatest(0, a + b1 * x1 + b2 * x2 + b3 * x3), 4) AS yhat FROM m JOIN n USING (series_id) JOIN x ON x.series_id = m.series_id AND x.t = n.t""")
 def direct_forecast(spark, sf):
-    return P.forecast(S.hourly_events(spark, sf), Direct([1, 2, 24], regressor=Linear(), horizon=12), 12)
+    return P.forecast(S.hourly_events(spark, sf), Direct([1, 2, 24], regressor=Linear(), horizon=12), 12).select("series_id", "h", _r("yhat", 4))
 
 
 @query()
@@ -552,27 +604,27 @@ def sarima_forecast(spark, sf):
 
 @query()
 def hmm_states(spark, sf):
-    return P.fit_reports(S.monthly_orders(spark, sf), MarkovSwitching(2, 1, rounds=40), "states")
+    return P.fit_reports(S.monthly_orders(spark, sf), MarkovSwitching(2, 1), "states")
 
 
 @query()
 def hmm_parameters(spark, sf):
-    return P.fit_reports(S.monthly_orders(spark, sf), MarkovSwitching(2, 1, rounds=40), "parameters")
+    return P.fit_reports(S.monthly_orders(spark, sf), MarkovSwitching(2, 1), "parameters")
 
 
 @query()
 def hmm_forecast(spark, sf):
-    return P.forecast(S.monthly_orders(spark, sf), MarkovSwitching(2, 2, rounds=40), 6)
+    return P.forecast(S.monthly_orders(spark, sf), MarkovSwitching(2, 2), 6)
 
 
 @query()
 def hmm_var_forecast(spark, sf):
-    return P.forecast(S.monthly_by_status(spark, sf), MarkovSwitching(2, 1, rounds=40), 6, ["F", "O", "P"])
+    return P.forecast(S.monthly_by_status(spark, sf), MarkovSwitching(2, 1), 6, ["F", "O", "P"])
 
 
 @query()
 def hmm_cross_validate(spark, sf):
-    return P.cross_validate(S.monthly_orders(spark, sf), MarkovSwitching(2, 1, rounds=30), 3, 6, ["MAE", "MASE"], 1, warm_rounds=3)
+    return P.cross_validate(S.monthly_orders(spark, sf), MarkovSwitching(2, 1), 3, 6, ["MAE", "MASE"], 1, warm_rounds=3)
 
 
 @query()
@@ -594,7 +646,7 @@ def forward_selection(spark, sf):
 def tune_lags(spark, sf):
     from tidewheel.operators.search import tune_lags as tune
 
-    best, _ = tune(S.monthly_orders(spark, sf), lambda lags: Lagged(list(lags)), [1, 2, 3, 12], "MAE", 3, 6, trials=8)
+    best, _ = tune(S.monthly_orders(spark, sf), lambda lags: Lagged(list(lags)), [1, 2, 3, 12], "MAE", 3, 6)
     return spark.createDataFrame([(list(best),)], "lags array<int>")
 
 
@@ -625,6 +677,73 @@ def ets_fitted(spark, sf):
     return P.fit_reports(S.monthly_orders(spark, sf), Ets("add", alpha=0.4, beta=0.1), "fitted").select("series_id", "candidate", "t", _r("value", 4))
 
 
+@query(f"""WITH RECURSIVE {MONTHS}, o AS (SELECT series_id, list(y ORDER BY t) AS y FROM panel GROUP BY 1),
+i AS (SELECT series_id, y, list_avg(y[1:12]) AS level, (list_avg(y[13:24]) - list_avg(y[1:12])) / 12 AS slope FROM o),
+s AS (
+  SELECT series_id, y, 0 AS t, NULL::DOUBLE AS fitted, level, slope, list_transform(y[1:12], lambda v: v - level) AS season FROM i
+  UNION ALL
+  SELECT series_id, y, t + 1, level + slope + now, up, 0.1 * (up - level) + 0.9 * slope,
+    list_concat(list_concat(season[1:t % 12], [0.2 * (y[t + 1] - level - slope) + 0.8 * now]), season[t % 12 + 2:]) FROM (
+    SELECT *, season[t % 12 + 1] AS now, 0.3 * (y[t + 1] - season[t % 12 + 1]) + 0.7 * (level + slope) AS up FROM s WHERE t < len(y)))
+SELECT series_id, (t - 1)::INT AS t, round(fitted, 4) AS value FROM s WHERE t > 0""")
+def ets_seasonal_fitted(spark, sf):
+    """Additive Holt-Winters with fixed factors: one-step fitted values."""
+    return P.fit_reports(S.monthly_orders(spark, sf), Ets("add", "add", 12, alpha=0.3, beta=0.1, gamma=0.2), "fitted").select("series_id", "t", _r("value", 4))
+
+
+@query("""WITH panel AS (SELECT l_returnflag AS series_id, date_trunc('day', l_shipdate) AS ts, sum(l_quantity) AS y FROM lineitem GROUP BY 1, 2)
+SELECT series_id, ts, round(avg(y) OVER w + 1e-9, 6) AS mean_28, round(quantile_cont(y, 0.5) OVER w + 1e-9, 6) AS median_28 FROM panel
+WINDOW w AS (PARTITION BY series_id ORDER BY ts ROWS BETWEEN 28 PRECEDING AND 1 PRECEDING)""")
+def rolling_shipments(spark, sf):
+    """Four weeks of shipments a day, from lineitem."""
+    mean, median = LF.RollingMean(1, 28, 1), LF.RollingQuantile(1, 28, 1, 0.5)
+    rows = LF.add_lags(S.daily_shipments(spark, sf), None, transforms=[mean, median])
+    return rows.select("series_id", "ts", *[(F.round(F.col(f"`{c.name}`") + 1e-9, 6) + 0.0).alias(n) for c, n in ((mean, "mean_28"), (median, "median_28"))])
+
+
+@query(f"""WITH {SERIES}, {SPLITS}, {BACKTEST}, m AS (SELECT f.series_id, f.fold, median(abs(CASE WHEN s.t > 0 THEN s.d END)) AS m FROM folds f
+  JOIN steps s ON s.series_id = f.series_id AND s.t < f.cutoff GROUP BY 1, 2)
+SELECT series_id, fold, round(median(abs(y - yhat)) / nullif(any_value(m), 0) + 1e-9, 4) AS score FROM scored JOIN m USING (series_id, fold) GROUP BY 1, 2""")
+def metric_medianase(spark, sf):
+    return M.evaluate(_naive_backtest(S.hourly_events(spark, sf)), ["MedianASE"], ["series_id", "fold"]).select("series_id", "fold", _re("score"))
+
+
+@query("""SELECT o_orderkey, (o_orderpriority = '2-HIGH')::INT::DOUBLE AS priority_2, (SELECT count(DISTINCT o_orderpriority) - 1 FROM orders)::INT AS n_columns FROM orders""")
+def one_hot_drop_first(spark, sf):
+    orders = S.read(spark, f"{sf}/orders.parquet").select("o_orderkey", "o_orderpriority")
+    out = E.one_hot(orders, "o_orderpriority", E.categories(orders, "o_orderpriority"), drop_first=True)
+    return out.select("o_orderkey", F.col("`o_orderpriority_2-HIGH`").alias("priority_2"), F.lit(len(out.columns) - 1).alias("n_columns"))
+
+
+@query("""SELECT user_id, 'only click' AS part FROM (SELECT user_id FROM events WHERE event_type = 'click' EXCEPT SELECT user_id FROM events WHERE event_type = 'purchase')
+UNION ALL SELECT user_id, 'either' FROM (SELECT user_id FROM events WHERE event_type = 'click' UNION SELECT user_id FROM events WHERE event_type = 'purchase')
+UNION ALL SELECT user_id, 'both' FROM (SELECT user_id FROM events WHERE event_type = 'click' INTERSECT SELECT user_id FROM events WHERE event_type = 'purchase')""")
+def user_sets(spark, sf):
+    """Set operations over users of two event types."""
+    events = S.read(spark, f"{sf}/events.parquet").select("user_id", "event_type")
+    a, b = (events.where(F.col("event_type") == kind).select("user_id") for kind in ("click", "purchase"))
+    parts = {"only click": a.subtract(b), "either": a.union(b).distinct(), "both": a.intersect(b)}
+    rows = [part.withColumn("part", F.lit(name)) for name, part in parts.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+@query()
+def backward_selection(spark, sf):
+    from tidewheel.operators.search import Features, backward_selection as select
+
+    best, score = select(S.monthly_orders(spark, sf), lambda f: Lagged(list(f.lags)), ["MAE"], 3, 6, Features(lags=(1, 2, 12)))
+    return spark.createDataFrame([(list(best.lags), float(score[0]))], "lags array<int>, score double")
+
+
+@query()
+def forward_selection_by_target(spark, sf):
+    """The lags of each target of a VAR on their own."""
+    from tidewheel.operators.search import forward_selection as select, per_target
+
+    found, _ = select(S.monthly_by_status(spark, sf), lambda f: Lagged(per_target(f.lags, 2)), ["MAE"], 3, 6, lags=[(0, 1), (0, 2), (1, 1), (1, 2)], targets=["F", "O"])
+    return spark.createDataFrame([(j, lag) for j, lag in found.lags], "target int, lag int")
+
+
 @query(f"""WITH {SERIES}, lags AS (SELECT p.series_id, h, p.y AS x, q.y AS z FROM panel p JOIN range(1, {AHEAD + 1}) r(h) ON true
   JOIN panel q ON q.series_id = p.series_id AND q.t = p.t + h),
 m AS (SELECT series_id, h, regr_slope(z, x) AS b, regr_intercept(z, x) AS a FROM lags GROUP BY 1, 2),

@@ -15,9 +15,21 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewheel.operators.estimators import TooShort
 from tidewheel.operators.folds import cutoff_list
 
 KEYS = ("series_id",)
+#: What a single series may fail with; anything else fails the job.
+UNFIT = (TooShort, np.linalg.LinAlgError)
+
+
+def _checked(models, horizon: int) -> Mapping[int, object]:
+    """Candidates by number; those that can say so refuse a horizon here, before any job."""
+    models = models if isinstance(models, Mapping) else {0: models}
+    for model in models.values():
+        if hasattr(model, "check"):
+            model.check(horizon)
+    return models
 
 
 def pack(panel: DataFrame, targets: Sequence[str] = ("y",), exog: Sequence[str] = (), keys: Sequence[str] = KEYS) -> DataFrame:
@@ -52,8 +64,9 @@ def _key_schema(df: DataFrame, keys: Sequence[str]) -> str:
 
 def forecast(panel: DataFrame, models: Mapping[int, object] | object, horizon: int, targets: Sequence[str] = ("y",), exog: Sequence[str] = (), future: DataFrame | None = None, keys: Sequence[str] = KEYS) -> DataFrame:
     """(keys, candidate, target, h, yhat).  ``future`` holds exogenous columns per key and ``h``.
-    A series too short for a candidate yields no rows for it."""
-    models = models if isinstance(models, Mapping) else {0: models}
+    A series too short for a candidate yields no rows for it; ``fit_reports(..., "failures")``
+    names it with the reason."""
+    models = _checked(models, horizon)
     packed = pack(panel, targets, exog, keys)
     if future is not None:
         fx = future.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("h", F.array(*[F.col(c).cast("double") for c in exog]).alias("x")))).alias("f"))
@@ -67,7 +80,7 @@ def forecast(panel: DataFrame, models: Mapping[int, object] | object, horizon: i
         fx = _matrix(row.fx, len(exog)) if exog else None
         try:
             yhat = models[row.candidate].fit(y, x).forecast(horizon, fx)
-        except (ValueError, np.linalg.LinAlgError):
+        except UNFIT:
             return []
         at = [getattr(row, k) for k in keys]
         return [(*at, row.candidate, targets[j], h + 1, _none(yhat[h, j])) for h in range(horizon) for j in range(len(targets))]
@@ -88,7 +101,7 @@ def backtest(panel: DataFrame, models: Mapping[int, object] | object, n_splits:
 
     ``warm_rounds``: Markov-switching candidates start each fold from the one before and
     run that many rounds; their folds follow one another within a row."""
-    models = models if isinstance(models, Mapping) else {0: models}
+    models = _checked(models, horizon)
     packed = pack(panel, targets, exog, keys).withColumn("candidate", F.explode(F.array(*[F.lit(c) for c in models])))
     if warm_rounds is None:
         back = F.sequence(F.lit(0), F.lit(n_splits - 1))
@@ -101,7 +114,7 @@ def backtest(panel: DataFrame, models: Mapping[int, object] | object, n_splits:
         try:
             fitted = model.fit(y[:cut], x[:cut] if x is not None else None)
             yhat = fitted.forecast(horizon, x[cut : cut + horizon] if x is not None else None)
-        except (ValueError, np.linalg.LinAlgError):
+        except UNFIT:
             return [], None
         at, out = [getattr(row, k) for k in keys], []
         for j in range(len(targets)):
@@ -145,12 +158,13 @@ def cross_validate(panel: DataFrame, models, n_splits: int, horizon: int, metric
 
 def fit_reports(panel: DataFrame, models, report: str, targets: Sequence[str] = ("y",), exog: Sequence[str] = (), keys: Sequence[str] = KEYS) -> DataFrame:
     """What fitted models say of themselves, long: ``criteria`` (name, value), ``states``
-    (t, state, probability), ``parameters`` (variable, equation, regime, coef, ...), ``regimes``
+    (t, state, probability), ``failures`` (reason: of series that cannot be fitted), ``parameters`` (variable, equation, regime, coef, ...), ``regimes``
     and ``covariance`` of Markov-switching models, ``fitted`` (t, value: an exponential
     smoothing's one-step values, usable as a feature) or ``importances``."""
     models = models if isinstance(models, Mapping) else {0: models}
     shapes = {
         "criteria": "name string, value double",
+        "failures": "reason string",
         "states": "t int, state int, probability double",
         "regimes": "state int, probability double, log_likelihood double",
         "covariance": "regime int, a int, b int, value double",
@@ -164,7 +178,9 @@ def fit_reports(panel: DataFrame, models, report: str, targets: Sequence[str] =
         y, x = _matrix(row.y, len(targets)), _matrix(row.x, len(exog)) if exog else None
         try:
             m = models[row.candidate].fit(y, x)
-        except (ValueError, np.linalg.LinAlgError):
+        except UNFIT as reason:
+            return [(*(getattr(row, k) for k in keys), row.candidate, str(reason))] if report == "failures" else []
+        if report == "failures":
             return []
         at = [*(getattr(row, k) for k in keys), row.candidate]
         if report == "criteria":

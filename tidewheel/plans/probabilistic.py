@@ -59,7 +59,7 @@ class Probabilistic:
 
     def bootstrap_quantiles(self, quantiles: float | Sequence[float], method: str = "bootstrap", samples: int = 1000, **how) -> DataFrame:
         drawn = self.correlated(samples, **how) if method == "correlated" else self.bootstrap(samples, **how)
-        return C.sample_quantiles(drawn, quantiles, samples, self.keys)
+        return C.sample_quantiles(drawn, quantiles, self.n, self.keys)  # the level counts calibration windows, not draws
 
     def aggregate(self, delta: Sequence[float], metric: str = "mae", group=None) -> DataFrame:
         """Intervals of the sum over series (all, or those of a group)."""

@@ -42,12 +42,14 @@ def number(df: DataFrame, keys: Sequence[str] = ("series_id",), order: str = "ts
     return df.withColumn("t", (F.row_number().over(by_time(keys, order)) - 1).cast("int"))
 
 
-def to_panel(df: DataFrame, series_id: str | Column, ts: str | Column, y: str | Column, exog: Sequence[str] = (), aggregate=F.sum, unit: str | None = None, exog_aggregate=F.first) -> DataFrame:
-    """Rows of events to a panel: one value per series and (truncated) time."""
+def to_panel(df: DataFrame, series_id: str | Column, ts: str | Column, y: str | Column, exog: Sequence[str] = (), aggregate=F.sum, unit: str | None = None, exog_aggregate=None) -> DataFrame:
+    """Rows of events to a panel: one value per series and (truncated) time.  Of other columns a
+    period keeps the earliest non-null value (of equal times the least), or an aggregate of them."""
     col = lambda c: F.col(c) if isinstance(c, str) else c
     when = col(ts) if unit is None else F.date_trunc(unit, col(ts))
-    base = df.select(col(series_id).cast("string").alias("series_id"), when.cast("timestamp_ntz").alias("ts"), clean(y).alias("y"), *exog)
-    kept = [exog_aggregate(c, ignorenulls=True).alias(c) for c in exog]
+    base = df.select(col(series_id).cast("string").alias("series_id"), when.cast("timestamp_ntz").alias("ts"), clean(y).alias("y"), col(ts).alias("_at"), *exog)
+    earliest = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.struct("_at", c)))
+    kept = [(exog_aggregate or earliest)(c).alias(c) for c in exog]
     return number(base.groupBy("series_id", "ts").agg(aggregate("y").alias("y"), *kept))
 
 
