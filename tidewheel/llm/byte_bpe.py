@@ -23,18 +23,22 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ROOT = 0
 #: Interned states and transitions a worker keeps; pre-tokens of a generation it remembers (it
 #: keeps two), and the longest pre-token remembered.
-STATES, MOVES, MEMO, MEMO_CHARS = 200_000, 400_000, 150_000, 64
+STATES, MOVES, MEMO, MEMO_CHARS = 150_000, 300_000, 80_000, 64
+#: Rows whose results leave a worker together.
+ROWS = 512
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -94,21 +98,26 @@ class Transducer:
         return at
 
     def _edges(self) -> None:
-        """For each token, what stands at its right and left edge while it forms: pairs of
-        (token, rank of the merge that takes it up), latest first.  Tokens that merging
-        never makes of their own bytes get none."""
-        self.right: dict[int, list[tuple[int, int]]] = {}
-        self.left: dict[int, list[tuple[int, int]]] = {}
-        never = 1 << 40
+        """The two tokens that each token's last merge joins (-1: it is one byte).  Tokens that
+        merging never makes of their own bytes get none."""
+        self.parts: dict[int, tuple[int, int]] = {}
         for data, i in sorted(self.ranks.items(), key=lambda x: len(x[0])):
             parts = [data[:1]] if len(data) == 1 else merge_small(data, self.ranks, stop=2)
             if len(data) == 1:
-                self.right[i] = self.left[i] = [(i, never)]
+                self.parts[i] = -1, -1
             elif len(parts) == 2 and b"".join(parts) == data:
                 a, b = (self.ranks[x] for x in parts)
-                if a in self.left and b in self.right:
-                    self.right[i] = [(i, never), (b, i), *self.right[b][1:]]
-                    self.left[i] = [(i, never), (a, i), *self.left[a][1:]]
+                if a in self.parts and b in self.parts:
+                    self.parts[i] = a, b
+
+    def _edge(self, token: int, side: int) -> list[tuple[int, int]]:
+        """What stands at a token's left (0) or right (1) edge while it forms: pairs of (token,
+        rank of the merge that takes it up), latest first."""
+        out, until = [], 1 << 40
+        while token >= 0:
+            out.append((token, until))
+            token, until = self.parts[token][side], token
+        return out
 
     def compatible(self, before: int, token: int) -> bool:
         """Whether ``before token`` is the encoding of its own bytes (-1: nothing before).
@@ -116,16 +125,17 @@ class Transducer:
         The two form independently unless at some moment what stands on either side of
         the boundary could merge before either side's next merge; of equal ranks the
         leftmost goes first."""
-        if token not in self.left or before < 0:
-            return token in self.left
+        if token not in self.parts or before < 0:
+            return token in self.parts
         key = before << 32 | token
         known = self.fits.get(key)
         if known is None:
             if len(self.fits) > MOVES:
                 self.fits.clear()
             known = True
-            for a, until in self.right[before]:
-                for b, to in self.left[token]:
+            left = self._edge(token, 0)
+            for a, until in self._edge(before, 1):
+                for b, to in left:
                     made = self.ranks.get(self.token[a] + self.token[b])
                     if made is not None and made < until and made <= to:
                         known = False
@@ -319,17 +329,23 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str, id_col: str =
 
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", keep_ids: bool = False) -> DataFrame:
     """id, n_tokens, ids_sha256 and decoded_sha256 in one pass: encode, then decode the ids.
+    Texts are read and results leave a few hundred at a time, so a worker holds little.
     ``keep_ids`` adds ids (binary: little-endian unsigned 32-bit integers)."""
-    fields = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep_ids
 
-    @F.pandas_udf(fields)
-    def digest(texts: pd.Series) -> pd.DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, decoder, split = codec(path, pattern)
-        rows = []
-        for t in texts:
-            ids = encoder.encode(split.findall(t or ""))
-            back = decoder.decode(np.frombuffer(ids, "<u4").tolist())
-            rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back.encode()).hexdigest()) + (ids,) * keep_ids)
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in fields.split(", ")])
-
-    return docs.select(F.col(id_col), digest("text").alias("d")).select(id_col, "d.*")
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part, found = batch.slice(at, ROWS), ([], [], [], [])
+                for text in part.column(1):
+                    ids = encoder.encode(split.findall(text.as_py() or ""))
+                    back = decoder.decode(np.frombuffer(ids, "<u4").tolist())
+                    for column, value in zip(found, (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), ids if keep_ids else None)):
+                        column.append(value)
+                arrays = [pa.array(found[0], pa.int64()), pa.array(found[1], pa.string()), pa.array(found[2], pa.string()), pa.array(found[3], pa.binary())]
+                yield pa.RecordBatch.from_arrays([part.column(0), *arrays[: 3 + keep_ids]], names=names)
+
+    rows = docs.select(F.col(id_col), "text")
+    shape = T.StructType([rows.schema[0], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType()), T.StructField("ids", T.BinaryType())][: 4 + keep_ids])
+    names = shape.names
+    return rows.mapInArrow(run, shape)
