@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 ROOT = 0
 #: Interned states and transitions a worker keeps; pre-tokens of a generation it remembers (it
 #: keeps two), and the longest pre-token remembered.
-STATES, MOVES, MEMO, MEMO_CHARS = 150_000, 300_000, 80_000, 64
+STATES, MOVES, MEMO, MEMO_CHARS = 250_000, 500_000, 300_000, 64
 #: Rows whose results leave a worker together.
 ROWS = 512
 
@@ -59,8 +59,8 @@ def merge_small(data: bytes, ranks: dict[bytes, int], stop: int = 1) -> list[byt
 
 
 class Transducer:
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
+    def __init__(self, ranks: dict[bytes, int], share: float = 1.0):
+        self.ranks, self.share = ranks, share  # of the stores' sizes
         self.token = {i: b for b, i in ranks.items()}
         if not all(bytes([b]) in ranks for b in range(256)):
             raise ValueError("every byte must be a token")
@@ -130,7 +130,7 @@ class Transducer:
         key = before << 32 | token
         known = self.fits.get(key)
         if known is None:
-            if len(self.fits) > MOVES:
+            if len(self.fits) > MOVES * self.share:
                 self.fits.clear()
             known = True
             left = self._edge(token, 0)
@@ -175,14 +175,14 @@ class Transducer:
 
     def tokens(self, data: bytes) -> list[int]:
         """Ids of one pre-token's bytes."""
-        if len(self.hypotheses) > STATES or len(self.move) > MOVES:
+        if len(self.hypotheses) > STATES * self.share or len(self.move) > MOVES * self.share:
             self._clear()
         out: list[int] = []
         state, move = self.start, self.move
         for byte in data:
             step = move.get(state << 8 | byte)
             if step is None:
-                if len(move) > 4 * MOVES:  # one endless pre-token: start the stores afresh
+                if len(move) > 4 * MOVES * self.share:  # one endless pre-token: start the stores afresh
                     held = self.hypotheses[state]
                     self._clear()
                     state, move = self._state(held), self.move
@@ -200,7 +200,7 @@ class Transducer:
 
     def encode(self, words: Iterable[str]) -> bytes:
         """Little-endian unsigned 32-bit ids of a text's pre-tokens."""
-        if len(self.memo) > MEMO:
+        if len(self.memo) > MEMO * self.share:
             self.old, self.memo = self.memo, {}
         memo, old, out = self.memo, self.old, []
         for w in words:
@@ -298,11 +298,11 @@ class Decoder:
 
 
 @lru_cache(maxsize=2)
-def codec(path: str, pattern: str):
+def codec(path: str, pattern: str, share: float = 1.0):
     import regex
 
     ranks = read_ranks(path)
-    return Transducer(ranks), Decoder(ranks), regex.compile(pattern)
+    return Transducer(ranks, share), Decoder(ranks), regex.compile(pattern)
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id") -> DataFrame:
@@ -327,13 +327,14 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str, id_col: str =
     return encoded.select(F.col(id_col), text("ids").alias("text"))
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", keep_ids: bool = False) -> DataFrame:
+def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", keep_ids: bool = False, share: float = 1.0) -> DataFrame:
     """id, n_tokens, ids_sha256 and decoded_sha256 in one pass: encode, then decode the ids.
-    Texts are read and results leave a few hundred at a time, so a worker holds little.
+    Texts are read and results leave a few hundred at a time, so a worker holds little;
+    ``share`` makes its stores smaller, for time.
     ``keep_ids`` adds ids (binary: little-endian unsigned 32-bit integers)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, decoder, split = codec(path, pattern)
+        encoder, decoder, split = codec(path, pattern, share)
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part, found = batch.slice(at, ROWS), ([], [], [], [])
