@@ -37,3 +37,11 @@ def cut(df: DataFrame) -> DataFrame:
 
 def partitions(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def modest_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Whole texts go to Python workers ``rows`` at a time, unless the session names a number:
+    Spark's own 10,000 long texts are tens of megabytes in the executor and again in the worker."""
+    name, usual = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+    if spark.conf.get(name) == usual:
+        spark.conf.set(name, str(rows))
