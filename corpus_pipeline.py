@@ -18,15 +18,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewheel.llm import byte_bpe, language_id, mixing, simhash
-from tidewheel.llm._session import fresh_folder
+from tidewheel.llm._session import fresh_folder, modest_batches
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    modest_batches(spark)
     model = language_id.fit(docs.where(~language_id.held_out()))
     return language_id.keep_identified(docs, model)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    modest_batches(spark)
     return simhash.keep_one(docs)
 
 
@@ -35,6 +37,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    modest_batches(spark)
     return byte_bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=True, share=0.5)
 
 
