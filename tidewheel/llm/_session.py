@@ -29,6 +29,12 @@ def fresh_folder(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
+def dropped(spark: SparkSession, folder: str) -> None:
+    """Remove a folder of ours from the shared storage, once nothing reads it any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: computed once, survives lost executors."""
     shared_dir(df.sparkSession)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.llm import byte_bpe, chat_format, embedding_dedup, language_id, mixing, multi_index, piece_counts, simhash, url_filter, warc
+from tidewheel.llm import byte_bpe, centroids, chat_format, embedding_dedup, language_id, merkle, mixing, multi_index, piece_counts, simhash, token_store, url_filter, warc
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -165,7 +165,85 @@ def op10_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_index.search(_read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("id") % 20 == 0)
 
 
+def op11_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_store.store(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(_read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+ORACLE_SQL["op12_centroids"] = r"""
+WITH RECURSIVE v AS MATERIALIZED (
+  SELECT row_number() OVER () AS id, vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 1024)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), first AS (
+  SELECT (row_number() OVER (ORDER BY sha256('3:' || vec_id) NULLS LAST, v) - 1)::INT AS k, v FROM v
+  QUALIFY k < 8
+), rounds AS (
+  SELECT 0 AS r, list(v ORDER BY k) AS c FROM first
+  UNION ALL
+  SELECT any_value(r) + 1, list(coalesce(moved, c[k + 1]) ORDER BY k) FROM (
+    SELECT o.r, o.c, o.k, n.moved FROM (SELECT r, c, unnest(range(len(c)))::INT AS k FROM rounds WHERE r < 10) o
+    LEFT JOIN (
+      SELECT k, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY j) AS moved FROM (
+        SELECT k, j, sum(v[j])::BIGINT AS s, count(*)::BIGINT AS n FROM (
+          SELECT v, list_min(list_transform(range(len(c)), lambda q: {'d': list_sum(list_transform(range(1, 65), lambda j: (v[j] - c[q + 1][j]) * (v[j] - c[q + 1][j])))::BIGINT, 'q': q::INT})).q AS k
+          FROM v, rounds WHERE r < 10), range(1, 65) t(j) GROUP BY k, j) GROUP BY k) n ON n.k = o.k)
+  HAVING count(*) > 0
+), placed AS (
+  SELECT vec_id, c, list_min(list_transform(range(len(c)), lambda q: {'d': list_sum(list_transform(range(1, 65), lambda j: (v[j] - c[q + 1][j]) * (v[j] - c[q + 1][j])))::BIGINT, 'q': q::INT})) AS m
+  FROM v, rounds WHERE r = 10
+)
+SELECT vec_id, m.q AS cluster, m.d AS distance, (sum(m.d) OVER (PARTITION BY m.q))::BIGINT AS cluster_inertia, (sum(m.d) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(c[m.q + 1], ',')) AS centroid_sha256
+FROM placed
+"""
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    return merkle.audit(docs, merkle.tampered())
+
+
+#: A source's nodes carry its number (place), levels from 0; the tree over the sources has place -1.
+_FIELD = lambda c: f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')"
+_LEAF = lambda text: f"sha256({_FIELD('doc_id')} || {_FIELD('source')} || {_FIELD('lang')} || {_FIELD('n_chars')} || {_FIELD(text)})"
+_CRC = "xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda a, b: list_reduce(list_concat([xor(a, b)], range(8)), lambda x, i: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END)::BIGINT)::BIGINT), 4294967295)"
+_TREE = lambda name, start: f"""{name} AS (
+  {start}
+  UNION ALL
+  SELECT place, level + 1, pos // 16, sha256(string_agg(node, '' ORDER BY pos)) FROM (SELECT *, count(*) OVER (PARTITION BY place) AS n FROM {name}) WHERE n > 1 GROUP BY place, level, pos // 16
+)"""
+ORACLE_SQL["op13_merkle"] = f"""
+WITH RECURSIVE docs AS MATERIALIZED (
+  SELECT doc_id, source, {_LEAF('text')} AS leaf, CASE WHEN {_CRC} % 5 = 0 THEN {_LEAF("translate(text, '" + merkle.UPPER + "', '" + merkle.LOWER + "')")} ELSE {_LEAF('text')} END AS now,
+    dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS place FROM documents
+), leaves AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY place ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY place) AS n FROM docs
+), {_TREE("grown", "SELECT place, 0 AS level, pos, leaf AS node FROM leaves")},
+tops AS (SELECT place, max(level) AS height, arg_max(node, level) AS subroot FROM grown GROUP BY place),
+{_TREE("over", "SELECT -1::BIGINT AS place, 0 AS level, place AS pos, subroot AS node FROM tops")},
+root AS (SELECT arg_max(node, level) AS root, max(level) AS height FROM over),
+runs AS MATERIALIZED (SELECT place, level, pos // 16 AS run, list(node ORDER BY pos) AS nodes FROM (SELECT * FROM grown UNION ALL SELECT * FROM over) GROUP BY ALL),
+walk AS (
+  SELECT l.doc_id, l.leaf, t.subroot, l.place AS own, t.height, 0 AS step, CASE WHEN t.height = 0 THEN l.place ELSE l.pos END AS spot, l.now AS folded, '' AS told
+  FROM leaves l JOIN tops t USING (place)
+  UNION ALL
+  SELECT w.doc_id, w.leaf, w.subroot, w.own, w.height, w.step + 1, CASE WHEN w.step + 1 = w.height THEN w.own ELSE w.spot // 16 END,
+    sha256(array_to_string(r.nodes[:w.spot % 16], '') || w.folded || array_to_string(r.nodes[w.spot % 16 + 2:], '')),
+    w.told || array_to_string(r.nodes[:w.spot % 16], '') || array_to_string(r.nodes[w.spot % 16 + 2:], '')
+  FROM walk w, root o, runs r
+  WHERE w.step < w.height + o.height AND r.place = CASE WHEN w.step < w.height THEN w.own ELSE -1 END
+    AND r.level = CASE WHEN w.step < w.height THEN w.step ELSE w.step - w.height END AND r.run = w.spot // 16
+)
+SELECT doc_id, leaf, subroot, root, sha256(told) AS proof_sha256, folded AS folded_root, folded = root AS verified
+FROM walk, root WHERE step = walk.height + root.height
+"""
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_mix_sources, op2_simhash, op3_warc, op4_embedding_dedup, op5_token_counts, op6_chat_format, op7_language_id, op8_byte_bpe, op9_url_filter, op10_multi_index)
+    for f in (op1_mix_sources, op2_simhash, op3_warc, op4_embedding_dedup, op5_token_counts, op6_chat_format, op7_language_id, op8_byte_bpe, op9_url_filter, op10_multi_index, op11_token_store, op12_centroids, op13_merkle)
 }
