@@ -15,7 +15,7 @@ ranges before.  Files carry names of the attempt that wrote them and the manifes
 count, so lost or repeated tasks leave nothing half-read.
 
 Texts are tokenized by the tokenizers library.  For byte-level BPE behind its own pattern, runs
-without white space are looked up among the ones met before (a bounded store) and only the others
+without white space are looked up among the ones met before (bounded stores) and only the others
 go to the library, many at a time; that is exact, as no pre-token crosses from text to white space.
 Texts that hold an added token's string, and all texts for any other tokenizer, go there whole.
 
@@ -46,8 +46,8 @@ from tidewheel.llm._session import cut, fresh_folder, partitions
 
 #: Fixed values of the format: magic, bits of the bitmap per counter of the rank directory.
 MAGIC, STRIDE = b"DACIDS1\n", 512
-#: Ids of a file; texts tokenized at once; stored runs without white space, and the longest one stored.
-FILE_TOKENS, ROWS, MEMO, MEMO_CHARS = 8 << 20, 256, 500_000, 64
+#: Ids of a file; texts tokenized at once; runs in each of two stores, and the longest one stored.
+FILE_TOKENS, ROWS, MEMO, MEMO_CHARS = 8 << 20, 256, 450_000, 64
 #: Runs given to the library as one text.
 JOINED = 1000
 #: The characters with Unicode's White_Space property.
@@ -77,6 +77,7 @@ class TextEncoder:
         self.led = np.zeros(max(vocabulary.values(), default=0) + 1, bool)  # ids that begin with a space
         self.led[[i for token, i in vocabulary.items() if token.startswith("Ġ")]] = True
         self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -94,7 +95,7 @@ class TextEncoder:
                 found.update(zip(group, self.whole(group)))
                 continue
             data, ends = ids.tobytes(), [*(begins[1:] * 4).tolist(), len(ids) * 4]
-            found.update((run, data[a:b]) for run, a, b in zip(group, (begins * 4).tolist(), ends))
+            found.update(zip(group, [data[a:b] for a, b in zip((begins * 4).tolist(), ends)]))
         return found
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
@@ -107,12 +108,21 @@ class TextEncoder:
             return [found[k] if k in apart else next(rest) for k in range(len(texts))]
         held = [RUNS.findall(t) if t else [] for t in texts]
         parts = [list(map(self.memo.get, runs)) for runs in held]
-        fresh = {run for runs, ids in zip(held, parts) if None in ids for run, i in zip(runs, ids) if i is None}
-        learnt = self._learn(list(fresh))
-        out = [b"".join([learnt[run] if i is None else i for run, i in zip(runs, ids)]) if None in ids else b"".join(ids) for runs, ids in zip(held, parts)]
-        if len(self.memo) + len(learnt) > MEMO:
-            self.memo.clear()
-        self.memo.update((run, ids) for run, ids in learnt.items() if len(run) <= MEMO_CHARS)
+        gaps = []
+        for runs, ids in zip(held, parts):
+            for at in range(ids.count(None)):
+                at = ids.index(None, gaps[-1][1] + 1 if at else 0)
+                gaps.append((ids, at, runs[at]))
+        fresh = {run for _, _, run in gaps}
+        learnt = {run: self.old[run] for run in fresh if run in self.old}
+        learnt |= self._learn([run for run in fresh if run not in learnt])
+        for ids, at, run in gaps:
+            ids[at] = learnt[run]
+        out = [b"".join(ids) for ids in parts]
+        if len(self.memo) + len(learnt) > MEMO:  # what was met lately stays for a while
+            self.old, self.memo = self.memo, {}
+        short = max(map(len, learnt), default=0) <= MEMO_CHARS
+        self.memo.update(learnt if short else {run: ids for run, ids in learnt.items() if len(run) <= MEMO_CHARS})
         return out
 
 
