@@ -22,7 +22,8 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE_SQL["op1_mix_sources"] = r"""
 WITH sized AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5(key) AS digest, row_number() OVER (PARTITION BY key) - 1 AS number
+  FROM (SELECT *, coalesce('1' || doc_id, '0') || chr(10) || coalesce('1' || source, '0') || chr(10) || coalesce('1' || text, '0') AS key FROM documents)
 ), per AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS r FROM sized GROUP BY source
 ), w AS (
@@ -45,7 +46,7 @@ WITH sized AS (
 ), rated AS (
   SELECT doc_id, size, source_size, target,
     CASE WHEN source_size > 0 THEN least(target / source_size, 3.0) ELSE 0 END AS rate,
-    ('0x' || substr(md5('42:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u
+    ('0x' || substr(md5('42:' || digest || ':' || number), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
 ), counted AS (
   SELECT *, (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END)::INT AS copies FROM rated
