@@ -97,7 +97,20 @@ def test_mixing_edges(spark):
     assert mixing.plan(awkward(spark).limit(0)).count() == 0
     whole = mixing.plan(awkward(spark)).toPandas()
     assert mixing.mix(awkward(spark)).count() == whole.copies.sum() > 0
-    assert whole[whole.doc_id == 3].copies.nunique() == 1  # rows that share an id share their draw
+
+
+@pytest.mark.parametrize("broadcast", [100_000, 0])
+def test_mixing_meets_targets_with_null_and_repeated_rows(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(mixing, "BROADCAST_REPEATED", broadcast)
+    rows = [(None, f"w{i} " * 3, None, "nulls") for i in range(4000)]
+    rows += [(7, f"v{i} b c d", None, "one id") for i in range(6000)]
+    rows += [(8, "quite the same row", None, "copies") for _ in range(6000)] + [(9000 + i, "x y z", None, "plain") for i in range(2000)]
+    docs = documents(spark, rows).repartition(7)
+    out = mixing.plan(docs).toPandas()
+    per = out.groupby("source").agg(target=("target", "first"), taken=("taken", "sum"), n=("size", "size"))
+    assert len(out) == len(rows) and (abs(per.taken - per.target) <= 0.03 * per.target).all(), per
+    again = mixing.plan(docs.repartition(3)).toPandas().groupby("source").taken.sum()
+    assert (again == per.taken).all()  # reruns agree, however rows are dealt
 
 
 # 2
@@ -689,6 +702,37 @@ def test_multi_index_recall_with_registered_settings(spark, monkeypatch, bytes_,
     assert np.mean(hits) >= 0.9 and len(got) == (ids % 20 == 0).sum()
 
 
+def grouped_vectors(kind, n=4000):
+    """Queries (ids divisible by 20) are single vectors, or rows of the table; the others stand in groups."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(n, 64))
+    others = np.flatnonzero(np.arange(n) % 20)
+    size = 40 if kind == "groups of 40" else 25
+    x[others] = x[others[np.arange(len(others)) // size * size]]
+    if kind == "near copies":
+        x[others] += rng.normal(0, 0.01, (len(others), 64))
+    if kind == "table":
+        pdf = pd.read_parquet("/root/testdata/sf0.01/embeddings.parquet")
+        table = np.array(pdf.embedding.tolist(), float)
+        copies = np.repeat(table[pdf.vec_id.to_numpy() < 200], 25, axis=0)
+        x = np.concatenate((table, copies))
+        return x, np.concatenate((pdf.vec_id.to_numpy(), 100_001 + 20 * np.arange(len(copies))))
+    return x, np.arange(n)
+
+
+@pytest.mark.parametrize("kind", ["groups of 25", "groups of 40", "near copies", "table"])
+def test_multi_index_recall_beside_groups_of_copies(spark, tmp_path, kind):
+    x, ids = grouped_vectors(kind)
+    x = x.astype(np.float32)
+    pd.DataFrame({"vec_id": ids, "embedding": list(x)}).to_parquet(tmp_path / "v.parquet")
+    got = multi_index.search(spark.read.parquet(str(tmp_path / "v.parquet")), F.col("id") % 20 == 0).toPandas()
+    full, hits = x.astype(float), []
+    for q, rows in got.groupby("query_id"):
+        exact = np.round(np.sort((full @ full[ids == q][0])[ids != q])[::-1][:20], 9)
+        hits.append((np.round(rows.score, 9) >= exact[-1]).mean() * len(rows) / 20)
+    assert np.mean(hits) >= 0.95 and len(hits) == (ids % 20 == 0).sum()
+
+
 def test_multi_index_reads_little_of_clustered_vectors(spark, monkeypatch, tmp_path):
     rng, n = np.random.default_rng(5), 50_000
     x = (rng.normal(size=(500, 24))[rng.integers(0, 500, n)] + rng.normal(0, 0.25, (n, 24))).astype(np.float32)

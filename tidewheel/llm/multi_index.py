@@ -7,10 +7,12 @@ it has met hold enough vectors; the vectors in those cells are reranked by the e
 product.  The heap holds pairs of runs of centroids in order of distance, so a step costs a
 run by a run of cell sizes and pairs beyond the end of the walk are never looked at.
 
-How many vectors are enough is measured, not assumed: about ``CALIBRATION`` rows that are no
-queries are compared with all rows, and the walk's length is the shortest that meets
-``RECALL`` of their true neighbours.  It adapts to the data: clustered vectors need a small
-part of the table, isotropic ones a large part at any size.
+How many vectors are enough is measured, not assumed: about ``CALIBRATION`` of the queries
+themselves, drawn by hash of the id, are compared with all rows, and the walk's length is the
+shortest at which the share of true neighbours met, averaged over them and less two standard
+errors, reaches ``RECALL``.  It adapts to the data: clustered vectors need a small part of the
+table, isotropic ones a large part at any size, and where groups of copies stand beside single
+vectors, the queries asked settle which of them counts.
 
 The walk needs only the cells' sizes, a table bounded by the codebooks.  It ends at a
 bound on the summed distance, and the query visits the shards that hold cells within it,
@@ -53,8 +55,8 @@ SAMPLE_ROWS, ROUNDS = 20_000, 12
 SHARD_BYTES, SPREAD = 16 << 20, 24
 #: Centroids of a half: twice the square root of the rows, at most this many.
 CENTROIDS = 1024
-#: Share of their true neighbours that the calibrating rows (about so many) must meet.
-RECALL, CALIBRATION = 0.96, 256
+#: Share of their true neighbours that the calibrating queries (about so many) must meet.
+RECALL, CALIBRATION = 0.955, 256
 #: Groups of shards whose lists are merged first; runs of centroids of a half in a walk.
 GROUPS, RUNS = 64, 16
 #: Queries past a shard at once; part of a shard met from which it is scored whole.
@@ -161,14 +163,27 @@ def _true_cells(placed: DataFrame, asked: pd.DataFrame, width: int, k: int) -> p
 
 
 def _enough(lengths: list[np.ndarray], recall: float, count: int) -> int:
-    """The shortest walk that meets ``recall`` of the calibrating rows' neighbours; 1 walks everything."""
+    """The shortest walk at which the queries have met ``recall`` of their neighbours by their mean
+    less two of its standard errors (``lengths``: per query, those that meet each neighbour); 1 walks
+    everything."""
     if recall >= 1.0 or not lengths:
         return count
-    return int(np.quantile(np.concatenate(lengths), recall, method="higher"))
+    lengths = [np.sort(of) for of in lengths]
 
+    def reached(walk: int) -> bool:
+        share = np.array([np.searchsorted(of, walk, side="right") / len(of) for of in lengths])
+        return share.mean() - 2.0 * share.std() / len(share) ** 0.5 >= recall
 
-def _by_hash(rows: DataFrame, share: float) -> DataFrame:
-    return rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < F.lit(int((1 << 40) * min(1.0, share))))
+    steps = np.unique(np.concatenate(lengths))
+    low, high = 0, len(steps) - 1  # at the last step everything is met
+    while low < high:
+        mid = (low + high) // 2
+        low, high = (low, mid) if reached(int(steps[mid])) else (mid + 1, high)
+    return int(steps[low])
+
+
+def _by_hash(rows: DataFrame, share: float, *columns: str) -> DataFrame:
+    return rows.where(F.pmod(F.xxhash64(*columns), F.lit(1 << 40)) < F.lit(int((1 << 40) * min(1.0, share))))
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector: str = "embedding", recall: float = RECALL) -> DataFrame:
@@ -179,14 +194,15 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
     shape = "query_id long, rank int, vec_id long, score double"
     base = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vec")).where(F.col("id").isNotNull()).where(usable("vec"))
     hashed = base.withColumn("h1", F.xxhash64("vec")).withColumn("h2", F.xxhash64(F.lit(1), "vec"))
-    rank = F.dense_rank().over(W.partitionBy("h1", "h2").orderBy("id"))
-    rows = hashed.withColumn("r", rank).where(F.col("r") <= k + 1).groupBy("h1", "h2", "id").agg(F.any_value("vec").alias("vec"), F.count("*").alias("n"))
+    each = hashed.groupBy("h1", "h2", "id").agg(F.any_value("vec").alias("vec"), F.count("*").alias("n"))
+    rank = F.row_number().over(W.partitionBy("h1", "h2").orderBy("id"))
+    rows = each.withColumn("r", rank).where(F.col("r") <= k + 1)
     rows = cut(rows.select("id", "vec", F.least("n", F.lit(k)).cast("int").alias("n")))
     count, dim = rows.agg(F.count("*"), F.max(F.size("vec"))).first()
     if not count:
         return spark.createDataFrame([], shape)
     half = (dim + 1) // 2
-    sample = _by_hash(rows, SAMPLE_ROWS / count).select("id", "vec").toPandas().sort_values("id", ignore_index=True)
+    sample = _by_hash(rows, SAMPLE_ROWS / count, "id").select("id", "vec").toPandas().sort_values("id", ignore_index=True)
     if not len(sample):
         sample = rows.select("id", "vec").limit(1).toPandas()
     points = _matrix(sample["vec"], 2 * half)
@@ -204,9 +220,14 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
     sizes = np.zeros((len(books[0]), wide), np.int32)  # a number per cell: bounded by CENTROIDS squared
     held = placed.groupBy("cell").agg(F.count("*").alias("rows")).toPandas()
     sizes.ravel()[held["cell"].to_numpy()] = held["rows"].to_numpy()
-    asked = _by_hash(rows.where(~is_query), CALIBRATION / count).select("id", "vec").toPandas().sort_values("id", ignore_index=True)
+    width = partitions(spark, 8)
+    queries = hashed.where(is_query).groupBy("id", "h1", "h2").agg(F.any_value("vec").alias("vec")).select("id", "h1", "h2", "vec")
+    asking = queries.count()
+    if not asking:
+        return spark.createDataFrame([], shape)
+    asked = _by_hash(queries, CALIBRATION / asking, "id", "h1", "h2").select("id", "vec").toPandas().sort_values("id", ignore_index=True)  # bounded by CALIBRATION
     if not len(asked):
-        asked = sample.iloc[:CALIBRATION]
+        asked = queries.select("id", "vec").limit(CALIBRATION).toPandas().sort_values("id", ignore_index=True)
     true = _true_cells(placed, asked, 2 * half, k)
     x = _matrix(asked["vec"], 2 * half)
     first, second = -x[:, :half] @ books[0].T, -x[:, half:] @ books[1].T
@@ -246,10 +267,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
                 yield pd.DataFrame(out, columns=["shard", "kind", "cell", "id", "h1", "h2", "vec", "bound"])
 
     # the work of a row is far larger than its bytes, by which partitions would be coalesced
-    width = partitions(spark, 8)
-    queries = hashed.where(is_query).groupBy("id", "h1", "h2").agg(F.any_value("vec").alias("vec")).select("id", "h1", "h2", "vec").repartition(width, "id")
     fields = "shard long, kind int, cell long, id long, h1 long, h2 long, vec array<double>, bound double"
-    probes = queries.mapInPandas(probe, fields).withColumn("n", F.lit(0))
+    probes = queries.repartition(width, "id").mapInPandas(probe, fields).withColumn("n", F.lit(0))
     none = F.lit(0).cast("long")
     stored = placed.select(shard_of("id", "cell").alias("shard"), F.lit(0).alias("kind"), "cell", "id", none.alias("h1"), none.alias("h2"), "vec", F.lit(0.0).alias("bound"), "n")
 
