@@ -107,7 +107,7 @@ for _name, _tr, _call, _rows, _least in (
     ("rolling_quantile_12", LF.RollingQuantile(2, 12, 3, 0.3), "quantile_cont(y, 0.3)", "ROWS BETWEEN 13 PRECEDING AND 2 PRECEDING", 3),
     ("expanding_mean", LF.ExpandingMean(1), "avg(y)", "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING", 1),
     ("expanding_std", LF.ExpandingStd(1), "stddev_samp(y)", "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING", 2),
-    ("expanding_quantile", LF.ExpandingQuantile(1, 0.5), "quantile_cont(y, 0.5)", "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING", 1),
+    ("expanding_quantile_window", LF.ExpandingQuantile(1, 0.5), "quantile_cont(y, 0.5)", "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING", 1),
 ):
     query(_frame(_call, _rows, _least))(_rolling(_tr, _name))
 
@@ -571,7 +571,7 @@ def direct_forecast(spark, sf):
 
 
 @query()
-def var_forecast(spark, sf):
+def var_box_cox_forecast(spark, sf):
     return P.forecast(S.monthly_by_status(spark, sf), Lagged([1, 2], prepare=Prepare(box_cox=True)), 12, ["F", "O", "P"])
 
 
