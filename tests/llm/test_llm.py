@@ -248,6 +248,25 @@ def test_warc_round_trip(spark):
     assert warc.archive(pages(spark).limit(0)).count() == 0
 
 
+def test_warc_dictionary_is_trained_and_settled(spark, tmp_path, monkeypatch):
+    rows = [(i, f"http://h{i % 7}.org/{i}", f"<html><body><p>page {i} " + "some common words of every page " * (3 + i % 5) + "</p></body></html>") for i in range(400)]
+    rows += [(1000, "http://big", "<p>" + "x" * 3_000_000), (None, None, None), (3, "again", rows[3][2])]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    monkeypatch.setattr(warc, "SAMPLE_BYTES", 60_000)
+    found = {}
+    for parts in (2, 5):
+        folder = f"file://{tmp_path}/a{parts}"
+        manifest = warc.write_archives(pages.repartition(parts), folder)
+        dictionaries = set()
+        for r in manifest.collect():
+            with warc.opened(r.path) as source:
+                dictionaries.add(warc.frames_of(source)[0])
+        found[parts] = dictionaries
+        read = {(r.page_id, r.url): r for r in warc.read_archives(manifest, payloads=True).collect()}
+        assert len(read) == len(rows) and read[1000, "http://big"].payload == rows[400][2].encode()
+    assert len(found[2]) == 1 and found[2] == found[5] and len(next(iter(found[2]))) > 1000
+
+
 def test_warc_layout(spark):
     import zstandard
 
@@ -446,6 +465,15 @@ def direct_language(model, text):
     return first, bool(saved.mean() <= 0 or saved.mean() < 2 * saved.std(ddof=1) / len(saved) ** 0.5)
 
 
+def test_language_samples_are_bounded_in_bytes(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "SAMPLE_BYTES", 6000)
+    rows = [(i, f"hello number {chr(97 + i % 26)} " * 20, "en", "s") for i in range(200)] + [(900 + i, "lange worte hier " * 900, "de", "s") for i in range(3)] + [(950, "noch " * 2000, "de", "s")]
+    model = dict(language_id.fit(documents(spark, rows)))
+    assert len(model["en"]) <= 3000 + 26 and len(model["en"]) > 2000
+    assert model["de"] == language_id.reduce_text("noch " * 2000).encode()  # none fits: the shortest, whole
+    assert language_id.fit(documents(spark, rows)) == language_id.fit(documents(spark, rows).repartition(5))
+
+
 def test_language_equals_direct_sizes(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("length(text) < 120 or doc_id % 100 = 0")
     model = language_id.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where(~language_id.held_out()))

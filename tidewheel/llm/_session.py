@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``; only where that is unset (tests) and executors
@@ -45,9 +47,15 @@ def partitions(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def modest_batches(spark: SparkSession, rows: int = 1000) -> None:
+def modest_batches(spark: SparkSession, rows: int = 1000) -> bool:
     """Whole texts go to Python workers ``rows`` at a time, unless the session names a number:
-    Spark's own 10,000 long texts are tens of megabytes in the executor and again in the worker."""
-    name, usual = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
-    if spark.conf.get(name) == usual:
-        spark.conf.set(name, str(rows))
+    Spark's own 10,000 long texts are tens of megabytes in the executor and again in the worker.
+    True where that was set here; ``usual_batches`` takes it back."""
+    if BATCH in spark.conf.getAll:
+        return False
+    spark.conf.set(BATCH, str(rows))
+    return True
+
+
+def usual_batches(spark: SparkSession) -> None:
+    spark.conf.unset(BATCH)

@@ -14,8 +14,9 @@ least ``MIN_SIGNAL`` standard errors of these weighings, so the noise that decid
 on the text itself.
 
 Fitting reads whole texts of a bounded sample of labelled rows: about ``SAMPLE_ROWS`` distinct
-texts a language, chosen by hash of the text at the rate that gives that many.  Predictions
-read whole texts and nothing else.
+texts a language, chosen by hash of the text at the rate that gives that many, and never more than
+the language's share of ``SAMPLE_BYTES``, so very long texts or very many languages fill neither the
+driver nor a worker.  Predictions read whole texts of any length and nothing else.
 
 Defined cases: null text or text with no letter is ``und`` with score 0 and is rejected; ties
 go to the language first in code-point order and are rejected; with no labelled rows at all
@@ -34,6 +35,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE_ROWS = 256
+#: Bytes of all samples together, dealt evenly over the languages: what driver and workers hold.
+SAMPLE_BYTES = 32 << 20
 BLOCK, LEVEL = 4096, 6
 UNDETERMINED = "und"
 #: Margins below this share of the runner-up's size are narrow; standard errors a narrow text must win by.
@@ -59,18 +62,31 @@ def held_out(id_col: str = "doc_id", folds: int = 5) -> Column:
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id") -> tuple[tuple[str, bytes], ...]:
-    """(language, dictionary content) pairs of about SAMPLE_ROWS whole texts each.  The rate is per
-    language, so a map task sends its share of the sample whatever their number; repeats of a
-    text are one, and combine before they move."""
+    """(language, dictionary content) pairs of about SAMPLE_ROWS whole texts each, within the language's
+    share of SAMPLE_BYTES: texts are taken in order of their digests as long as they fit, and
+    where none fits the shortest is.  The rate is per language, so a map task sends its share of
+    the sample whatever their number; repeats of a text are one, and combine before they move."""
     rows = labelled.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("text").alias("h"))
-    whole = 1 << 40
+    whole, spark = 1 << 40, labelled.sparkSession
     kinds = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()  # a row per language
     if not kinds:
         return ()
     shares = [(r["lang"], min(whole, whole * SAMPLE_ROWS // max(1, r["n"]))) for r in kinds]
-    share = labelled.sparkSession.createDataFrame(shares, "lang string, share long")
+    share = spark.createDataFrame(shares, "lang string, share long")
     picked = rows.join(F.broadcast(share), "lang").where(F.pmod("h", F.lit(whole)) < F.col("share")).where("text rlike '\\\\p{L}'")
-    found = picked.groupBy("lang", "h").agg(F.any_value("text").alias("text")).collect()
+    drawn: dict[str, list] = {}
+    for r in picked.groupBy("lang", "h").agg(F.min(F.octet_length("text")).alias("n")).collect():  # about SAMPLE_ROWS a language
+        drawn.setdefault(r["lang"], []).append((r["h"], r["n"]))
+    chosen = []
+    for lang, texts in drawn.items():
+        left, took = SAMPLE_BYTES // len(drawn), []
+        for h, n in sorted(texts):
+            if n <= left:
+                took.append((lang, h))
+                left -= n
+        chosen += took or [(lang, min(texts, key=lambda t: (t[1], t[0]))[0])]
+    wanted = F.broadcast(spark.createDataFrame(chosen, "lang string, h long"))
+    found = rows.join(wanted, ["lang", "h"]).groupBy("lang", "h").agg(F.any_value("text").alias("text")).collect()
     content: dict[str, list] = {}
     for row in sorted(found, key=lambda r: (r["lang"], r["h"])):
         content.setdefault(row["lang"], []).append(reduce_text(row["text"]))

@@ -171,8 +171,9 @@ def links(distinct: DataFrame, radius: int = 4) -> DataFrame:
         parts = [F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)) for lo, hi in ranges]
         keys.append(F.struct(F.lit(number).alias("band"), F.xxhash64(*parts).alias("key")))
     banded = distinct.select("fp", F.explode(F.array(*keys)).alias("k")).select("fp", "k.band", "k.key")
-    large = banded.groupBy("band", "key").count().where(F.col("count") > BLOCK)
-    split = banded.join(large, ["band", "key"], "left").withColumn("subs", F.ceil(F.coalesce("count", F.lit(1)) / F.lit(BLOCK)).cast("int"))
+    large = banded.groupBy("band", "key").count().where(F.col("count") > BLOCK).withColumn("size", F.col("count"))
+    # a large bucket's rows learn its size where they lie, before they are dealt out
+    split = attach(banded, large, ["band", "key"], "size", total * len(keys), "left").withColumn("subs", F.ceil(F.coalesce("count", F.lit(1)) / F.lit(BLOCK)).cast("int"))
     split = split.withColumn("own", F.pmod(F.xxhash64("fp", "band"), F.col("subs")).cast("int"))
     dealt = split.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)))
     dealt = dealt.select("fp", "band", "key", F.least("own", "with").alias("s"), F.greatest("own", "with").alias("t"))

@@ -45,7 +45,7 @@ SKIPPABLE_MAGIC = 0x184D2A5D
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the RFC's for URLs
 
-#: Records (about), and their bytes (about), that the dictionary is trained on.
+#: Records (about), and their bytes (at most), that the dictionary is trained on.
 SAMPLE_RECORDS, SAMPLE_BYTES, DICTIONARY_BYTES, LEVEL = 512, 32 << 20, 65536, 3
 ARCHIVE_BYTES = 64 << 20
 #: Repeated digests that are broadcast at most (about a hundred bytes each).
@@ -90,13 +90,26 @@ def parse_record(data: bytes) -> dict:
     return {"headers": headers, "http": dict(x.split(": ", 1) for x in http.decode().split("\r\n")[1:]), "payload": payload}
 
 
-def train_dictionary(pages: DataFrame, records: int, size: int) -> bytes:
-    """From a sample of whole pages (of ``records``, ``size`` bytes in all), drawn by row at the rate
-    that gives about SAMPLE_RECORDS of them or SAMPLE_BYTES; empty where they are too few."""
+def train_dictionary(pages: DataFrame, digests: DataFrame, records: int, size: int) -> bytes:
+    """From whole pages with different payloads, drawn by hash of id and digest at the rate that gives
+    about SAMPLE_RECORDS of them or SAMPLE_BYTES, and of these, in order of the hash, as many as
+    SAMPLE_BYTES hold: the same ones however the table is dealt out.  Empty where they are too few."""
     import zstandard
 
+    whole = 1 << 40
     rate = min(1.0, SAMPLE_RECORDS / max(1, records), SAMPLE_BYTES / max(1, size))
-    rows = pages.where(F.rand(7) < rate).select("page_id", "url", "html").collect()
+    mark = F.pmod(F.xxhash64("page_id", "sha1"), F.lit(whole))
+    drawn = digests.where((F.col("n") > 0) & (mark < F.lit(int(whole * rate)))).groupBy("sha1").agg(F.min(F.struct(mark.alias("h"), "page_id", "n")).alias("r"))
+    chosen, held = [], 0
+    for sha1, (_, page_id, n) in sorted(drawn.collect(), key=lambda r: (r["r"]["h"], r["sha1"])):  # about SAMPLE_RECORDS
+        if held + n <= SAMPLE_BYTES:
+            chosen.append((page_id, sha1))
+            held += n
+    if not chosen:
+        return b""
+    wanted = pages.sparkSession.createDataFrame(chosen, "id long, digest string")
+    met = pages.join(F.broadcast(wanted), F.col("page_id").eqNullSafe(F.col("id")) & (F.col("sha1") == F.col("digest")))
+    rows = met.groupBy("sha1").agg(F.min(F.struct("page_id", "url", "html")).alias("r")).select("r.*").collect()
     rows.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1] or "", r[2] or ""))
     samples = []
     for page_id, url, html in rows:
@@ -125,7 +138,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, id_col: st
     pages = pages.withColumn("sha1", F.sha1(F.encode("html", "UTF-8")))
     digests = cut(pages.select("page_id", "sha1", F.octet_length("html").cast("long").alias("n")))
     records, size = digests.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    shared = pages.sparkSession.sparkContext.broadcast(train_dictionary(pages, records, size))
+    shared = pages.sparkSession.sparkContext.broadcast(train_dictionary(pages, digests, records, size))
     repeated = digests.where(F.col("n") >= min_bytes).groupBy("sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("times"))
     repeated = cut(repeated.where("times > 1 and first is not null"))
     refers_to = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to")
