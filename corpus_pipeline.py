@@ -18,7 +18,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewheel.llm import byte_bpe, language_id, mixing, simhash
-from tidewheel.llm._session import fresh_folder, modest_batches
+from tidewheel.llm._session import dropped, fresh_folder, modest_batches, usual_batches
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,9 +48,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after another; a stage's table goes once the next one stands, and the session's
+    setting for batches is as before."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = fresh_folder(spark, "pipeline")
-    for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+    folder, before, ours = fresh_folder(spark, "pipeline"), None, modest_batches(spark)
+    try:
+        for name, stage in STAGES:
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+            docs = spark.read.parquet(f"{folder}/{name}")
+            if before:
+                dropped(spark, f"{folder}/{before}")
+            before = name
+    finally:
+        if ours:
+            usual_batches(spark)
     return docs
