@@ -28,7 +28,7 @@ class LagTransform:
         return self.statistic(F.col(y), self._frame(by_time(keys)))
 
     def seen(self, history: np.ndarray) -> np.ndarray:
-        return history[: len(history) - self.shift + 1]
+        return history[: max(0, len(history) - self.shift + 1)]
 
     def step(self, history: np.ndarray) -> float:
         """Value of the feature at the step after ``history``."""

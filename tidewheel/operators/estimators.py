@@ -22,6 +22,10 @@ class TooShort(ValueError):
     """A series has too few values for a configuration; others of the panel are unaffected."""
 
 
+class Gaps(TooShort):
+    """A series has missing values that a model cannot bridge; others are unaffected."""
+
+
 def trend_design(t: np.ndarray, degree: int | Sequence[int] = 1, breaks: Sequence[float] | None = None) -> np.ndarray:
     """Columns of a trend at positions ``t``: powers (a list names exponents), or t and its
     hinges (degree is then 1)."""
@@ -33,9 +37,11 @@ def trend_design(t: np.ndarray, degree: int | Sequence[int] = 1, breaks: Sequenc
 
 
 def fit_trend(y: np.ndarray, degree: int | Sequence[int] = 1, breaks: Sequence[float] | None = None):
-    """(fitted trend, model); ``forecast_trend`` evaluates the model further on."""
-    design = trend_design(np.arange(len(y)), degree, breaks)
-    model = Linear().fit(design, y)
+    """(fitted trend, model) from the known values; ``forecast_trend`` evaluates the model further on."""
+    design, known = trend_design(np.arange(len(y)), degree, breaks), ~np.isnan(y)
+    if not known.any():
+        raise TooShort("no values to fit a trend to")
+    model = Linear().fit(design[known], y[known])
     return model.predict(design), model
 
 
@@ -82,6 +88,10 @@ class Prepare:
 
     def forward(self, y: np.ndarray) -> "Prepared":
         state, z = Prepared(self), y.astype(float)
+        if not (~np.isnan(z)).any():
+            raise TooShort("the series has no values")
+        if len(z) < max(self.season, self.difference):
+            raise TooShort("the series is shorter than its differences reach back")
         if self.box_cox:
             state.shift = bool(np.nanmin(z) < 1.0)
             z = z + state.shift
@@ -270,17 +280,21 @@ class Direct:
         z, late = done.z, int(self.aligned)
         lags = normal_lags(self.lags)
         n = len(z)
-        feature = lambda i: [z[i - lag + late] if i - lag + late >= 0 else np.nan for lag in lags] + [tr.step(z[: i + late]) for tr in self.transforms]
-        rows = np.array([feature(i) for i in range(n)]).reshape(n, -1)
-        models = []
+        # what is known once the step (or, unaligned, the step before) has been seen
+        past = np.concatenate((np.full(max([*lags, 1]), np.nan), z))
+        columns = [past[len(past) - n - lag + late : len(past) - lag + late] for lag in lags]
+        columns += [tr.trace(np.append(z, np.nan))[late : n + late] for tr in self.transforms]
+        rows, models = np.column_stack(columns), []
         for h in range(1, self.horizon + 1):
             lead = h if self.aligned else h - 1
             design, target = rows[: n - lead], z[lead:]
             if x is not None:
                 design = np.column_stack([design, x[lead:]])
             good = ~(np.isnan(design).any(axis=1) | np.isnan(target))
+            if not good.any():
+                raise TooShort(f"no complete rows for {h} steps ahead: the series is shorter than its features need")
             models.append(self.regressor.fit(design[good], target[good]))
-        last = rows[-1] if self.aligned else np.array([z[n - lag] for lag in lags] + [tr.step(z) for tr in self.transforms])
+        last = rows[-1] if self.aligned else np.array([past[len(past) - lag] for lag in lags] + [tr.step(z) for tr in self.transforms])
         return FittedDirect(models, last, done)
 
 
@@ -317,7 +331,8 @@ class Naive:
 @dataclass(frozen=True)
 class Ets:
     """Exponential smoothing: additive or multiplicative trend and season, optional damping.
-    Parameters that are None are estimated by least squares."""
+    Parameters that are None are estimated by least squares.  Over a missing value the states go on
+    as if it had been forecast exactly."""
 
     trend: str | None = None
     seasonal: str | None = None
@@ -331,14 +346,21 @@ class Ets:
     def _initial(self, y: np.ndarray):
         m = self.season
         if self.seasonal and len(y) >= 2 * m:
-            level = y[:m].mean()
-            slope = (y[m : 2 * m].mean() - level) / m
-            season = y[:m] - level if self.seasonal == "add" else y[:m] / (level or 1.0)
+            once, twice = y[:m], y[m : 2 * m]
+            if np.isnan(once).all() or np.isnan(twice).all():
+                raise Gaps("no values within a season to start from")
+            level, later = float(np.nanmean(once)), float(np.nanmean(twice))
+            slope = (later - level) / m
+            season = once - level if self.seasonal == "add" else once / (level or 1.0)
+            season = np.where(np.isnan(season), 0.0 if self.seasonal == "add" else 1.0, season)
             if self.trend == "mul":
-                slope = (y[m : 2 * m].mean() / (level or 1.0)) ** (1.0 / m)
+                slope = (later / (level or 1.0)) ** (1.0 / m)
             return level, slope, season
-        level = float(y[0])
-        slope = (y[1] / (y[0] or 1.0) if self.trend == "mul" else y[1] - y[0]) if len(y) > 1 else 0.0
+        at = np.flatnonzero(~np.isnan(y))[:2]
+        level, steps = float(y[at[0]]), float(at[-1] - at[0])
+        slope = (1.0 if self.trend == "mul" else 0.0) if len(y) > 1 else 0.0
+        if len(at) > 1:
+            slope = (y[at[1]] / (y[at[0]] or 1.0)) ** (1.0 / steps) if self.trend == "mul" else (y[at[1]] - y[at[0]]) / steps
         return level, slope, np.full(max(m, 1), 1.0 if self.seasonal == "mul" else 0.0)
 
     def _run(self, y: np.ndarray, a: float, b: float, g: float, phi: float):
@@ -350,6 +372,8 @@ class Ets:
             base = level * slope**phi if self.trend == "mul" else level + phi * slope
             s = season[i % m] if self.seasonal else 0.0
             fitted[i] = base * s if self.seasonal == "mul" else base + s
+            if v != v:
+                v = fitted[i]
             plain = (v / (s or 1e-12)) if self.seasonal == "mul" else v - s
             before, level = level, a * plain + (1 - a) * base
             if self.trend == "mul":
@@ -362,6 +386,9 @@ class Ets:
 
     def fit(self, y: np.ndarray, x: np.ndarray | None = None) -> "FittedEts":
         y = y[:, 0] if y.ndim == 2 else y
+        known = ~np.isnan(y)
+        if not known.any():
+            raise TooShort("the series has no values")
         if self.seasonal and len(y) < 2 * self.season:
             raise TooShort("two seasons are needed")
         given = {"a": self.alpha, "b": self.beta if self.trend else 0.0, "g": self.gamma if self.seasonal else 0.0, "phi": self.phi if self.damped else 1.0}
@@ -373,12 +400,12 @@ class Ets:
 
         def loss(p):
             with np.errstate(all="ignore"):
-                e = ((y - self._run(y, **full(p))[0]) ** 2).sum()
+                e = ((y - self._run(y, **full(p))[0])[known] ** 2).sum()
             return float(e) if np.isfinite(e) else 1e300
 
         used = full(nelder_mead(loss, np.array([-0.5, -2.0, -2.0, 0.0][: len(free)]), 1.0, rounds=120)) if free else given
         fitted, level, slope, season = self._run(y, **used)
-        return FittedEts(self, fitted, level, slope, season, used, len(y), float(((y - fitted) ** 2).sum()))
+        return FittedEts(self, fitted, level, slope, season, used, len(y), float(((y - fitted)[known] ** 2).sum()))
 
 
 @dataclass
@@ -419,6 +446,10 @@ class Sarima:
 
     def fit(self, y: np.ndarray, x: np.ndarray | None = None) -> "FittedSarima":
         y, m = (y[:, 0] if y.ndim == 2 else y).astype(float), self.season
+        if np.isnan(y).any():
+            raise Gaps("missing values; fill them first")
+        if len(y) < self.d + m * self.D + 1:
+            raise TooShort("series too short for the orders")
         beta = Linear().fit(x, y).coef if x is not None else None
         w = y - x @ beta if x is not None else y.copy()
         origins = []
