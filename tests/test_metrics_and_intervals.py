@@ -10,6 +10,7 @@ from tidewheel.operators import encoders as E
 from tidewheel.operators import folds as V
 from tidewheel.operators import linear_recursion as R
 from tidewheel.operators import trend as TR
+from tidewheel.operators.order_statistics import at_levels
 
 
 def frame(spark, y, yhat, train):
@@ -47,8 +48,9 @@ def test_fewer_folds_than_asked(spark):
 
 def test_order_statistics(spark):
     rows = spark.createDataFrame([("a", 1, float(v)) for v in [5, 1, 4, 2, 3, 9, 7, 8, 6, 10]], "series_id string, h int, resid double")
-    pick = lambda d, m: rows.agg(C.order_statistic("resid", C.conformal_level(d, 10), m).alias("q")).first().q
-    assert [pick(0.5, "lower"), pick(0.5, "higher"), pick(0.8, "lower"), pick(0.8, "higher"), pick(0.9, "lower")] == [6, 7, 9, 10, 10]
+    asked = [(0.5, "lower"), (0.5, "higher"), (0.8, "lower"), (0.8, "higher"), (0.9, "lower")]
+    found = at_levels(rows, "resid", {f"q{k}": (C.conformal_level(d, 10), m) for k, (d, m) in enumerate(asked)}, ["series_id", "h"]).first()
+    assert [found[f"q{k}"] for k in range(5)] == [6, 7, 9, 10, 10] and found.n == 10
     with pytest.raises(ValueError):
         C.conformal_level(0.95, 10)
 

@@ -101,3 +101,26 @@ def test_running_errors_of_two_streams(spark, tmp_path):
     told = source("f", [("a", at(1), 4.0), ("a", at(2), 9.0), ("b", at(3), 2.0)], "yhat")
     features.run_available(features.running_errors(actual, told), "tidewheel_errors", str(tmp_path / "ck"))
     assert sorted((r.series_id, r.ts.hour, r.resid) for r in spark.table("tidewheel_errors").collect()) == [("a", 1, 1.0), ("a", 2, -2.0)]
+
+
+def test_levels_of_a_stream_with_late_rows(spark, tmp_path):
+    """Two batches out of order: rows wait for the watermark, and rows behind it are dropped."""
+    from datetime import datetime, timedelta
+
+    from tidewheel.streaming.levels import levels, written
+
+    at = lambda m: datetime(2024, 1, 1) + timedelta(minutes=m)
+    shape = "s string, ts timestamp, id long, y double"
+    batches = [[("a", at(30), 3, 9.0), ("a", at(0), 1, 4.0), ("a", at(10), 2, 6.0), ("b", at(5), 9, 1.0), ("a", at(10), 4, None)], [("a", at(200), 5, 8.0), ("a", at(25), 6, 5.0), ("b", at(180), 10, 3.0)], [("a", at(20), 7, 100.0), ("a", at(400), 8, 7.0), ("b", at(400), 11, 2.0)]]
+    folder = tmp_path / "in"
+    folder.mkdir()
+    stream = features.read_stream(spark, str(folder), spark.createDataFrame([], shape).schema, maxFilesPerTrigger=1)
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, shape).coalesce(1).write.mode("append").parquet(str(folder))
+        found = written(levels(stream, "s", "ts", "id", "y", 0.5, 1.0, 2, "60 minutes"), folder=f"file://{tmp_path}/out")
+    told = {(r.series_id, r.row_id): (r.level, r.resid, r.width) for r in found.collect()}
+    # id 6 was in time for the watermark of its batch, id 7 came after minute 140 had been passed
+    assert told == {
+        ("a", 1): (4.0, None, None), ("a", 2): (5.0, 2.0, 2.0), ("a", 6): (5.0, 0.0, 2.0), ("a", 3): (7.0, 4.0, 4.0), ("a", 5): (7.5, 1.0, 4.0),
+        ("b", 9): (1.0, None, None), ("b", 10): (2.0, 2.0, 2.0),
+    }

@@ -9,12 +9,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidewheel.operators.order_statistics import at_levels
+
 KEYS = ("series_id",)
 #: The least value of a sampled forecast.
 SAMPLE_FLOOR = 0.1
@@ -28,18 +27,11 @@ def conformal_level(delta: float, n: int) -> float:
     return level
 
 
-def order_statistic(value: str | Column, level: float, method: str = "lower") -> Column:
-    """The lower or higher order statistic at ``level`` of the group."""
-    ordered = F.array_sort(F.collect_list(value))
-    at = level * (F.size(ordered) - 1)
-    at = F.round(at, 9)
-    return F.element_at(ordered, ((F.floor(at) if method == "lower" else F.ceil(at)) + 1).cast("int"))
-
-
 def calibrate(residuals: DataFrame, deltas: Sequence[float] | float, n: int, keys: Sequence[str] = KEYS) -> DataFrame:
     """(keys, h, level, q): the half-width per step and coverage."""
     deltas = [deltas] if isinstance(deltas, float) else list(deltas)
-    scores = residuals.groupBy(*keys, "h").agg(*[order_statistic(F.abs("resid"), conformal_level(d, n)).alias(f"q{k}") for k, d in enumerate(deltas)])
+    levels = {f"q{k}": (conformal_level(d, n), "lower") for k, d in enumerate(deltas)}
+    scores = at_levels(residuals.withColumn("_e", F.abs("resid")), "_e", levels, [*keys, "h"])
     return scores.select(*keys, "h", F.explode(F.array(*[F.struct(F.lit(d).alias("level"), F.col(f"q{k}").alias("q")) for k, d in enumerate(deltas)])).alias("l")).select(*keys, "h", "l.level", "l.q")
 
 
@@ -61,7 +53,8 @@ def conformal_quantiles(point: DataFrame, residuals: DataFrame, quantiles: Seque
     method = "higher" if isinstance(quantiles, float) else "lower"
     quantiles = [quantiles] if isinstance(quantiles, float) else list(quantiles)
     sided = {q: conformal_level(abs(1.0 - 2.0 * q), n) for q in quantiles if q != 0.5}
-    scores = residuals.groupBy(*keys, "h").agg(F.count("*").alias("_n"), *[order_statistic(F.abs("resid"), v, method).alias(f"q{k}") for k, v in enumerate(sided.values())])
+    levels = {f"q{k}": (v, method) for k, v in enumerate(sided.values())} or {"q0": (0.0, method)}
+    scores = at_levels(residuals.withColumn("_e", F.abs("resid")), "_e", levels, [*keys, "h"])
     at = {q: (-1.0 if q < 0.5 else 1.0) * F.col(f"q{k}") for k, q in enumerate(sided)}
     rows = F.array(*[F.struct(F.lit(q).alias("quantile"), (F.col("yhat") + at.get(q, F.lit(0.0))).alias("value")) for q in quantiles])
     return point.join(scores, [*keys, "h"]).select(*keys, "h", F.explode(rows).alias("r")).select(*keys, "h", "r.quantile", "r.value")
@@ -88,34 +81,58 @@ def bootstrap(point: DataFrame, residuals: DataFrame, samples: int = 1000, kind:
     return drawn.select(*keys, "h", "sample_id", F.greatest(F.lit(SAMPLE_FLOOR), value).alias("value"))
 
 
+def cholesky(a: Column, size: int) -> Column:
+    """Columns of the lower triangular root of a flat covariance matrix; a step that is a combination of the
+    earlier ones has a column of zeros."""
+    numbers = F.sequence(F.lit(0), F.lit(size - 1))
+
+    def step(s: Column, k: Column) -> Column:
+        pivot = F.get(s["a"], k * size + k)
+        column = F.transform(numbers, lambda i: F.when((i < k) | (pivot <= 1e-10 * F.get(s["own"], k)), 0.0).otherwise(F.get(s["a"], i * size + k) / F.sqrt(pivot)))
+        # the column is worked out once, then taken off what is left
+        rest = lambda c: F.transform(s["a"], lambda x, at: x - F.get(c, F.floor(at / size).cast("int")) * F.get(c, F.pmod(at, F.lit(size))))
+        return F.transform(F.array(column), lambda c: F.struct(rest(c).alias("a"), s["own"].alias("own"), F.concat(s["l"], F.array(c)).alias("l")))[0]
+
+    own = F.transform(numbers, lambda k: F.get(a, k * size + k))
+    start = F.struct(a.alias("a"), own.alias("own"), F.array().cast("array<array<double>>").alias("l"))
+    return F.aggregate(numbers, start, step, lambda s: s["l"])
+
+
+def normal(seed: int, *parts: Column | str) -> Column:
+    """A standard normal number that depends on nothing but the seed and ``parts``: Box and Muller's formula on two
+    32-bit numbers of their md5."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *[(F.col(p) if isinstance(p, str) else p).cast("string") for p in parts]))
+    uniform = lambda at: (F.conv(F.substring(digest, at, 8), 16, 10).cast("double") + 0.5) / 4294967296.0
+    return F.sqrt(-2.0 * F.ln(uniform(1))) * F.cos(2.0 * F.pi() * uniform(9))
+
+
 def correlated_paths(point: DataFrame, residuals: DataFrame, samples: int = 1000, seed: int = 42, keys: Sequence[str] = KEYS) -> DataFrame:
-    """(keys, sample_id, h, value): normal paths with the residuals' mean and covariance across steps."""
-    types = dict(point.dtypes)
-    packed = residuals.groupBy(*keys, "fold").agg(F.transform(F.array_sort(F.collect_list(F.struct("h", "resid"))), lambda s: s["resid"]).alias("r"))
-    packed = packed.groupBy(*keys).agg(F.collect_list("r").alias("rows"))
-    ahead = point.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("h", "yhat"))), lambda s: s["yhat"]).alias("yhat"))
-
-    def run(frames):
-        for frame in frames:
-            for row in frame.itertuples(index=False):
-                e, y = np.array([list(r) for r in row.rows], float), np.array(row.yhat, float)
-                e = e[np.lexsort(e.T[::-1])]  # collect_list has no order
-                cov = np.atleast_2d(np.cov(e.T)) if len(e) > 1 else np.zeros((len(y), len(y)))
-                values, vectors = np.linalg.eigh(cov)
-                key = [getattr(row, k) for k in keys]
-                rng = np.random.default_rng([seed, *"".join(map(str, key)).encode()])
-                draws = y + e.mean(axis=0) + rng.normal(size=(samples, len(y))) @ (vectors * np.sqrt(np.maximum(values, 0.0))).T
-                yield pd.DataFrame({**{k: [v] * draws.size for k, v in zip(keys, key)}, "sample_id": np.repeat(np.arange(1, samples + 1), len(y)), "h": np.tile(np.arange(1, len(y) + 1), samples), "value": draws.ravel()})
-
-    shape = ", ".join(f"{k} {types[k]}" for k in keys) + ", sample_id int, h int, value double"
-    return packed.join(ahead, list(keys)).mapInPandas(run, shape)
+    """(keys, sample_id, h, value): normal paths with the residuals' mean and covariance across steps (1 to the
+    longest forecast; folds that lack a step are left out).
+
+    Covariances are one aggregation, their root a fold over an array, and every normal number is
+    hashed from seed, key, sample and step: any partitioning gives the same paths."""
+    size = point.agg(F.max("h")).first()[0]
+    if size is None:
+        return point.select(*keys, F.lit(0).alias("sample_id"), "h", F.col("yhat").alias("value"))
+    steps = range(size)
+    folds = residuals.groupBy(*keys, "fold").agg(*[F.max(F.when(F.col("h") == k + 1, F.col("resid"))).alias(f"_e{k}") for k in steps]).dropna(subset=[f"_e{k}" for k in steps])
+    pairs = {(i, j): F.coalesce(F.covar_samp(f"_e{i}", f"_e{j}"), F.lit(0.0)) for i in steps for j in range(i, size)}
+    moments = folds.groupBy(*keys).agg(F.array(*[F.avg(f"_e{k}") for k in steps]).alias("_mean"), F.array(*[pairs[min(i, j), max(i, j)] for i in steps for j in steps]).alias("_cov"))
+    rooted = moments.withColumn("_root", cholesky(F.col("_cov"), size)).drop("_cov")
+    drawn = rooted.withColumn("sample_id", F.explode(F.sequence(F.lit(1), F.lit(samples)))).withColumn("_z", F.array(*[normal(seed, *keys, "sample_id", F.lit(k + 1)) for k in steps]))
+    moved = F.zip_with("_root", "_z", lambda column, z: F.transform(column, lambda v: v * z))
+    shift = F.aggregate(moved, F.col("_mean"), lambda s, v: F.zip_with(s, v, lambda a, b: a + b))
+    paths = drawn.select(*keys, "sample_id", F.posexplode(shift).alias("_p", "_e"))
+    ahead = point.select(*keys, (F.col("h") - 1).alias("_p"), "h", "yhat")
+    return paths.join(ahead, [*keys, "_p"]).select(*keys, "sample_id", F.col("h").cast("int").alias("h"), (F.col("yhat") + F.col("_e")).alias("value"))
 
 
 def sample_quantiles(drawn: DataFrame, quantiles: Sequence[float] | float, n: int, keys: Sequence[str] = KEYS) -> DataFrame:
     """(keys, h, quantile, value) of samples at level ceil(q (n + 1)) / n."""
     method = "higher" if isinstance(quantiles, float) else "lower"
     quantiles = [quantiles] if isinstance(quantiles, float) else list(quantiles)
-    wide = drawn.groupBy(*keys, "h").agg(*[order_statistic("value", conformal_level(q, n), method).alias(f"q{k}") for k, q in enumerate(quantiles)])
+    wide = at_levels(drawn, "value", {f"q{k}": (conformal_level(q, n), method) for k, q in enumerate(quantiles)}, [*keys, "h"])
     rows = F.array(*[F.struct(F.lit(q).alias("quantile"), F.col(f"q{k}").alias("value")) for k, q in enumerate(quantiles)])
     return wide.select(*keys, "h", F.explode(rows).alias("r")).select(*keys, "h", "r.quantile", "r.value")
 

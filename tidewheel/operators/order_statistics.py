@@ -11,7 +11,7 @@ fit a task, and the work is T log T and not the T^2 of sorting every frame anew.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -67,3 +67,17 @@ def expanding_quantile(panel: DataFrame, quantile: float = 0.5, shift: int = 1,
     low, high = F.max(F.when(F.col("order") == F.floor("place"), F.col("v"))), F.max(F.when(F.col("order") == F.ceil("place"), F.col("v")))
     out = values.groupBy(*keys, "t").agg((low + F.first(part) * (high - low)).alias(name))
     return panel.join(out, [*keys, "t"], "left")
+
+
+def at_levels(df: DataFrame, value: str, levels: Mapping[str, tuple[float, str]], keys: Sequence[str] = KEYS) -> DataFrame:
+    """(keys, n, a column per name): the known values of ``value`` at the given levels of each key, where
+    ``levels`` has (level, method) by name and the method takes the lower or the higher of two order
+    statistics.  Values are numbered by range and the wanted numbers are picked: exact, and no key's values
+    are gathered anywhere."""
+    ranked = numbered(df.select(*keys, F.col(value).alias("_v")).where(F.col("_v").isNotNull()), keys, ["_v"], "_rank")
+    n = ranked.groupBy(*keys).agg(F.count("*").alias("n"))
+    round_ = {"lower": F.floor, "higher": F.ceil}
+    places = n.withColumns({f"_p{k}": round_[method](F.round(F.lit(level) * (F.col("n") - 1), 9)) for k, (level, method) in enumerate(levels.values())})
+    wanted = places.withColumn("_rank", F.explode(F.array_distinct(F.array(*[f"_p{k}" for k in range(len(levels))]))))
+    met = ranked.join(wanted, [*keys, "_rank"])
+    return met.groupBy(*keys, "n").agg(*[F.max(F.when(F.col("_rank") == F.col(f"_p{k}"), F.col("_v"))).alias(name) for k, name in enumerate(levels)])

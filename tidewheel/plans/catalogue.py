@@ -155,9 +155,19 @@ def inverse_box_cox_bias_adjusted(spark, sf):
     return rows.withColumn("v", v).withColumn("value", T.inverse_box_cox("z", 0.5, True, F.col("v"))).select("series_id", "t", _r("value", 4))
 
 
-@query()
+def _profile(number: str, source: str, grid: str) -> str:
+    """SQL: the lambda of the grid (column l of source) with the largest profile log-likelihood."""
+    z = "CASE WHEN l = 0 THEN ln(x) ELSE (pow(x, l) - 1) / l END"
+    return f"""{number} AS (SELECT series_id, arg_max(l, llf) AS l FROM (
+  SELECT series_id, l, -count(*) / 2.0::DOUBLE * ln(var_pop({z})) + (l - 1) * sum(ln(x)) AS llf FROM (SELECT s.series_id, s.x, {grid} AS l FROM {source}, range(0, 21) r(k)) GROUP BY 1, 2) GROUP BY 1)"""
+
+
+@query(f"""WITH {MONTHS}, s AS (SELECT series_id, y + CASE WHEN min(y) OVER (PARTITION BY series_id) < 1 THEN 1 ELSE 0 END AS x FROM panel),
+{_profile('one', 's', '-2 + 4 * k / 20.0::DOUBLE')}, {_profile('two', 's JOIN one o USING (series_id)', 'o.l + 0.2::DOUBLE * (2.0::DOUBLE * k / 20 - 1)')},
+{_profile('three', 's JOIN two o USING (series_id)', 'o.l + 0.02::DOUBLE * (2.0::DOUBLE * k / 20 - 1)')}
+SELECT series_id, round(l, 4) + 0.0 AS lmda FROM three""")
 def box_cox_mle(spark, sf):
-    return T.box_cox_lambda(S.monthly_orders(spark, sf)).select("series_id", F.round("lmda", 4).alias("lmda"))
+    return T.box_cox_lambda(S.monthly_orders(spark, sf)).select("series_id", _r("lmda", 4))
 
 
 _ZERO = f"""WITH {SERIES}, m AS (SELECT *, sum(CASE WHEN y >= 0.5 THEN 1 ELSE 0 END) OVER {W_}) AS g,
@@ -173,11 +183,17 @@ def intermittent_demand(spark, sf):
     return rows.select("series_id", "t", "zero_run", "nz_interval")
 
 
-@query("""SELECT i::INT AS t, round(sin(2.0 * pi() * i / 24), 6) + 0.0 AS sin_1_24, round(sin(4.0 * pi() * i / 24), 6) + 0.0 AS sin_2_24,
- round(cos(2.0 * pi() * i / 24), 6) + 0.0 AS cos_1_24, round(cos(4.0 * pi() * i / 24), 6) + 0.0 AS cos_2_24 FROM range(0, 200) r(i)""")
+@query("""WITH d AS (SELECT date_trunc('day', o_orderdate)::DATE AS ds, count(*) AS n FROM orders GROUP BY 1), b AS (SELECT min(ds) AS a, max(ds) AS z FROM d),
+c AS (SELECT (a + i::INT)::DATE AS ds, i FROM b, range(0, date_diff('day', (SELECT a FROM b), (SELECT z FROM b)) + 1) r(i))
+SELECT ds, i::INT AS t, coalesce(n, 0)::BIGINT AS orders, round(sin(2.0 * pi() * i / 7), 6) + 0.0 AS sin_1_7, round(sin(4.0 * pi() * i / 7), 6) + 0.0 AS sin_2_7,
+ round(cos(2.0 * pi() * i / 7), 6) + 0.0 AS cos_1_7, round(cos(4.0 * pi() * i / 7), 6) + 0.0 AS cos_2_7 FROM c LEFT JOIN d USING (ds)""")
 def fourier_terms(spark, sf):
-    names = ["sin_1_24", "sin_2_24", "cos_1_24", "cos_2_24"]
-    return T.fourier_terms(spark, 0, 199, 24, 2).select("t", *[_r(c) for c in names])
+    """Orders a day with the weekly terms of the calendar between the table's first and last day."""
+    days = S.read(spark, f"{sf}/orders.parquet").groupBy(F.to_date("o_orderdate").alias("ds")).agg(F.count("*").alias("orders"))
+    first, last = days.agg(F.min("ds"), F.max("ds")).first()
+    names = ["sin_1_7", "sin_2_7", "cos_1_7", "cos_2_7"]
+    terms = T.fourier_terms(spark, str(first), str(last), 7, 2)
+    return terms.join(days, "ds", "left").select("ds", "t", F.coalesce("orders", F.lit(0)).alias("orders"), *[_r(c) for c in names])
 
 
 @query(f"""WITH {MONTHS} SELECT series_id, round(regr_slope(y, t), 6) AS slope, round(regr_intercept(y, t), 6) AS intercept, max(t) AS last_t FROM panel GROUP BY 1""")
@@ -550,10 +566,26 @@ def bootstrap_kde(spark, sf):
     return C.sample_quantiles(C.bootstrap(point, rows, kind="kde"), [0.1, 0.5, 0.9], _WINDOWS)
 
 
-@query()
+_NORMAL = "sqrt(-2 * ln((('0x' || substr(d, 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)) * cos(2 * pi() * (('0x' || substr(d, 9, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)"
+
+
+@query(f"""WITH RECURSIVE {SERIES}, {CALIBRATION.replace("SELECT f.series_id, p.t - f.cutoff + 1 AS h, p.y,", "SELECT f.series_id, f.cutoff, p.t - f.cutoff + 1 AS h, p.y,")},
+wide AS (SELECT series_id, cutoff, list(e ORDER BY h) AS e FROM resid GROUP BY 1, 2),
+cov AS (SELECT series_id, [{", ".join(f"avg(e[{i}])" for i in range(1, AHEAD + 1))}] AS mean, [{", ".join("[" + ", ".join(f"covar_samp(e[{i}], e[{j}])" for j in range(1, AHEAD + 1)) + "]" for i in range(1, AHEAD + 1))}] AS m FROM wide GROUP BY 1),
+root AS (
+  SELECT series_id, mean, m, 0 AS k, []::DOUBLE[][] AS l FROM cov
+  UNION ALL
+  SELECT series_id, mean, list_transform(range(1, {AHEAD + 1}), lambda i: list_transform(range(1, {AHEAD + 1}), lambda j: m[i][j] - c[i] * c[j])), k + 1, list_append(l, c)
+  FROM (SELECT *, list_transform(range(1, {AHEAD + 1}), lambda i: CASE WHEN i <= k THEN 0 ELSE m[i][k + 1] / sqrt(m[k + 1][k + 1]) END) AS c FROM root WHERE k < {AHEAD})
+),
+drawn AS (SELECT series_id, s, list(z ORDER BY k) AS z FROM (SELECT series_id, s, k, {_NORMAL} AS z FROM (
+  SELECT series_id, s, k, md5('42:' || series_id || ':' || s || ':' || k) AS d FROM cov, range(1, 1001) a(s), range(1, {AHEAD + 1}) b(k))) GROUP BY 1, 2)
+SELECT p.series_id, s::INT AS sample_id, h::INT AS h, round(yhat + mean[h] + list_sum(list_transform(range(1, {AHEAD + 1}), lambda k: l[k][h] * z[k])), 4) AS value
+FROM point p JOIN root r ON r.series_id = p.series_id AND r.k = {AHEAD} JOIN drawn d ON d.series_id = p.series_id""")
 def correlated_sim(spark, sf):
+    """Paths from Cholesky's root of the residuals' covariance and normal numbers hashed from a counter."""
     rows, point = _naive_calibration(S.hourly_events(spark, sf))
-    return C.correlated_paths(point, rows)
+    return C.correlated_paths(point, rows).select("series_id", "sample_id", "h", _r("value", 4))
 
 
 @query()

@@ -277,3 +277,25 @@ def hmm_maximised(spark, sf):
     rows = found.select("series_id", F.posexplode("coef").alias("regime", "b"))
     return rows.select("series_id", "regime", F.round(F.col("b")[0], 3).alias("intercept"), F.round(F.col("b")[1], 5).alias("slope"))
 
+
+# A stream with state, equal to its batch.
+
+
+@query("""WITH RECURSIVE e AS (SELECT event_type AS series_id, ts, event_id AS row_id, value AS y, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS k FROM events),
+s AS (
+  SELECT series_id, k, y AS level, NULL::DOUBLE AS resid FROM e WHERE k = 1
+  UNION ALL
+  SELECT e.series_id, e.k, s.level + 0.3 * (e.y - s.level), e.y - s.level FROM s JOIN e ON e.series_id = s.series_id AND e.k = s.k + 1
+),
+w AS (SELECT series_id, k, level, resid, list(abs(resid)) FILTER (resid IS NOT NULL) OVER (PARTITION BY series_id ORDER BY k ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS a FROM s)
+SELECT series_id, row_id, round(level, 5) AS level, round(resid, 5) AS resid, round(CASE WHEN resid IS NOT NULL THEN list_sort(a)[floor(round(0.9 * (len(a) - 1), 9))::INT + 1] END, 5) AS width
+FROM w JOIN e USING (series_id, k) WHERE ts <= (SELECT max(ts) FROM events) - INTERVAL 2 HOURS""")
+def streaming_levels(spark, sf):
+    """Levels and error quantiles of the events as a stream, up to the watermark."""
+    from tidewheel.streaming.features import read_stream
+    from tidewheel.streaming.levels import levels, written
+
+    events = S.read(spark, f"{sf}/events.parquet")
+    stream = read_stream(spark, f"{sf}/events.parque[t]", events.schema)  # a pattern, as a stream lists a folder
+    out = written(levels(stream, "event_type", "ts", "event_id", "value"))
+    return out.select("series_id", "row_id", _r("level", 5), _r("resid", 5), _r("width", 5))
