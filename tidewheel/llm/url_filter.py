@@ -32,6 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -157,30 +158,24 @@ def low_orders(cells: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def ratios(cells: DataFrame, low: np.ndarray) -> DataFrame:
     """(gram, n, r0, ...): log P(symbol | context) of accepted minus rejected, by model; checkpointed."""
-    models = [(y, m) for y in range(2) for m in range(len(LEFT_OUT))]
-    name = lambda kind, y, m: f"{kind}{y}_{m}"
-    in_cells = lambda numbers: F.sum(F.when((F.col("key").bitwiseAND(F.lit(15))).isin(numbers), F.col("n")).otherwise(0))
-    kept = lambda y, m: [y * FOLDS + f for f in range(FOLDS) if f != LEFT_OUT[m]]
-    by_gram = cells.groupBy(F.shiftright("key", 4).alias("gram"))
-    orders = {ORDER: cut(by_gram.agg(F.sum("n").alias("times"), *[in_cells(kept(y, m)).alias(name("n", y, m)) for y, m in models]))}
+    models = [f"{y}_{m}" for y in range(2) for m in range(len(LEFT_OUT))]
+    kept = lambda x: ", ".join(str(int(x[0]) * FOLDS + f) for f in range(FOLDS) if f != LEFT_OUT[int(x[2:])])
+    in_cells = [F.expr(f"sum(CASE WHEN (key & 15) IN ({kept(x)}) THEN n ELSE 0 END) AS n{x}") for x in models]
+    orders = {ORDER: cut(cells.groupBy(F.shiftright("key", 4).alias("gram")).agg(F.sum("n").alias("times"), *in_cells))}
     for k in range(ORDER - 1, 1, -1):
-        short = F.col("gram").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1)).alias("gram")
-        orders[k] = orders[k + 1].groupBy(short).agg(*[F.sum(name("n", y, m)).alias(name("n", y, m)) for y, m in models])
-    pairs = pd.DataFrame({"below": np.arange(SYMBOLS * SYMBOLS)} | {name("q", y, m): low[:, y, m] for y, m in models})
+        short = F.expr(f"gram & {(1 << 8 * (k + 1)) - 1}L AS gram")
+        orders[k] = orders[k + 1].groupBy(short).agg(*[F.expr(f"sum(n{x}) AS n{x}") for x in models])
+    flat = low.reshape(SYMBOLS * SYMBOLS, len(models))
+    pairs = pa.table({"below": pa.array(np.arange(SYMBOLS * SYMBOLS))} | {f"q{x}": pa.array(np.ascontiguousarray(flat[:, c])) for c, x in enumerate(models)})
     below = F.broadcast(cells.sparkSession.createDataFrame(pairs))  # 65,536 rows
+    totals = [F.expr(f"sum(n{x}) AS t{x}") for x in models] + [F.expr(f"count(CASE WHEN n{x} > 0 THEN 1 END) AS k{x}") for x in models]
+    smoothed = [f"CASE WHEN t{x} > 0 THEN (n{x} + k{x} * q{x}) / (t{x} + k{x}) ELSE q{x} END AS q{x}" for x in models]
     for k in range(2, ORDER + 1):
-        grams_ = orders[k].withColumn("context", F.shiftright("gram", 8)).withColumn("below", F.col("gram").bitwiseAND(F.lit((1 << 8 * k) - 1)))
-        totals = [F.sum(name("n", y, m)).alias(name("t", y, m)) for y, m in models]
-        kinds = [F.count(F.when(F.col(name("n", y, m)) > 0, 1)).alias(name("k", y, m)) for y, m in models]
-        joined = grams_.join(grams_.groupBy("context").agg(*totals, *kinds), "context").join(below, "below")
-
-        def smoothed(y, m):
-            n, t, kind, q = (F.col(name(c, y, m)) for c in "ntkq")
-            return F.when(t > 0, (n + kind * q) / (t + kind)).otherwise(q).alias(name("q", y, m))
-
-        p = joined.select("gram", *(["times"] if k == ORDER else []), *[smoothed(y, m) for y, m in models])
+        grams_ = orders[k].selectExpr("*", "shiftright(gram, 8) AS context", f"gram & {(1 << 8 * k) - 1}L AS below")
+        joined = grams_.join(grams_.groupBy("context").agg(*totals), "context").join(below, "below")
+        p = joined.selectExpr("gram", *(["times"] if k == ORDER else []), *smoothed)
         below = p.withColumnRenamed("gram", "below")
-    return cut(p.select("gram", F.col("times").alias("n"), *[(F.log(name("q", 1, m)) - F.log(name("q", 0, m))).alias(f"r{m}") for m in range(len(LEFT_OUT))]))
+    return cut(p.selectExpr("gram", "times AS n", *[f"ln(q1_{m}) - ln(q0_{m}) AS r{m}" for m in range(len(LEFT_OUT))]))
 
 
 def scores(urls: DataFrame, ratio: DataFrame, hot) -> DataFrame:
