@@ -124,3 +124,14 @@ def test_levels_of_a_stream_with_late_rows(spark, tmp_path):
         ("a", 1): (4.0, None, None), ("a", 2): (5.0, 2.0, 2.0), ("a", 6): (5.0, 0.0, 2.0), ("a", 3): (7.0, 4.0, 4.0), ("a", 5): (7.5, 1.0, 4.0),
         ("b", 9): (1.0, None, None), ("b", 10): (2.0, 2.0, 2.0),
     }
+
+
+def test_expanding_ets_as_a_column(spark):
+    y = {"a": [3.0, 5.0, None, 4.0, 6.0, 5.0, 8.0, 7.0], "b": [1.0], "c": [2.0, 2.5, 3.5, 3.0]}
+    df = spark.createDataFrame([(s, t, v) for s, values in y.items() for t, v in enumerate(values)], "series_id string, t int, y double")
+    tr = LF.ExpandingEts(2, Ets("add", alpha=0.4, beta=0.1))
+    found = P.expanding_ets(df, tr).orderBy("series_id", "t").collect()
+    for s, values in y.items():
+        wanted = tr.trace(np.array([np.nan if v is None else v for v in values])) if len(values) > 2 else np.full(len(values), np.nan)
+        got = [np.nan if r[tr.name] is None else r[tr.name] for r in found if r.series_id == s]
+        assert np.allclose(got, wanted, equal_nan=True) and len(got) == len(values)

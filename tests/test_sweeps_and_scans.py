@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewheel.functions import lagfeatures as LF
 from tidewheel.functions.numeric import adf
-from tidewheel.operators import hmm_scan, order_statistics, scan, sweep
+from tidewheel.operators import css, hmm_scan, order_statistics, scan, sweep
 from tidewheel.operators.estimators import Lagged
 from tidewheel.operators.folds import cutoffs
 from tidewheel.operators.hmm import MarkovSwitching
@@ -251,3 +251,35 @@ def test_switching_scan_with_other_numbers_of_regimes(spark, regimes):
     _, smoothed = hmm_scan.fit(panel(spark, {"a": y}), regimes, [1, 2], rounds=2, chunk=9)
     fitted = MarkovSwitching(regimes, [1, 2], rounds=2).fit(y[:, None])
     assert hmm_scan.evidence(smoothed).first().log_likelihood == pytest.approx(fitted.log_likelihood, rel=1e-8)
+
+
+# conditional sums of squares
+
+
+def test_sum_of_squares_equals_the_recursion(spark):
+    rng = np.random.default_rng(6)
+    w, phi, theta, season_phi, season_theta, m = rng.normal(size=40), [0.4, -0.2], [0.3], [0.5], [-0.4], 4
+    ar = -np.convolve([1.0, -phi[0], -phi[1]], [1.0, 0, 0, 0, -season_phi[0]])  # w_t = ar_1 w_(t-1) + ... + e_t + ma_1 e_(t-1) + ...
+    ma = np.convolve([1.0, theta[0]], [1.0, 0, 0, 0, season_theta[0]])
+    lit = lambda v: [F.lit(x) for x in v]
+    frame = spark.createDataFrame([(w.tolist(),)], "w array<double>")
+    a, b = F.array(*css.product(lit(phi), lit(season_phi), m, -1.0)), F.array(*css.product(lit(theta), lit(season_theta), m, 1.0))
+    found = frame.withColumns({"a": a, "b": b}).select("a", "b", css.sum_of_squares(F.col("w"), F.col("a"), F.col("b")).alias("s")).first()
+    e, total = np.zeros(40), 0.0
+    for t in range(6, 40):
+        e[t] = w[t] - sum(ar[k] * w[t - k] for k in range(1, 7)) - sum(ma[k] * e[t - k] for k in range(1, 6) if t - k >= 6)
+        total += e[t] ** 2
+    assert found.s == pytest.approx(total)
+
+
+def test_search_of_orders(spark):
+    rng = np.random.default_rng(9)
+    y = np.zeros(200)
+    for t in range(1, 200):
+        y[t] = 0.7 * y[t - 1] + rng.normal()
+    df = panel(spark, {"a": y + 20.0, "gap": np.where(np.arange(40) == 7, np.nan, 1.0), "tiny": [1.0, 2.0]})
+    found = {(r.series_id, r.order): r for r in css.search_orders(df, 1, 0, 1, 0, 0, 0, 1, steps=5, rounds=4).collect()}
+    assert {s for s, _ in found} == {"a"} and len(found) == 4
+    assert found["a", "(1, 0)x(0, 0)"].parameters[0] == pytest.approx(0.7, abs=0.12) and found["a", "(1, 0)x(0, 0)"].aic < found["a", "(0, 0)x(0, 0)"].aic - 50
+    seasonal = css.search_orders(panel(spark, {"s": 30.0 + 5.0 * np.sin(np.arange(60) * np.pi / 2) + rng.normal(size=60)}), 0, 0, 0, 1, 1, 0, 4, steps=5, rounds=2)
+    assert {r.order for r in seasonal.collect()} == {"(0, 0)x(0, 0)", "(0, 0)x(1, 0)"}

@@ -196,7 +196,7 @@ class ExpandingSes(LagTransform):
 class ExpandingEts(LagTransform):
     """Fitted values of exponential smoothing over the shifted series: ``ets`` is any ``Ets`` with
     trend, season, damping and factors, those that are None estimated.  A feature of estimators;
-    a panel gets it from ``fit_reports(..., "fitted")``."""
+    a panel gets its column from ``plans.forecasting.expanding_ets``."""
 
     ets: object = None
 
@@ -205,7 +205,7 @@ class ExpandingEts(LagTransform):
         return f"expanding_ets_{self.shift}"
 
     def statistic(self, y: Column, frame) -> Column:
-        raise TypeError("a smoothing with estimated parameters is no window; use fit_reports")
+        raise TypeError("a smoothing with estimated parameters is no window; use plans.forecasting.expanding_ets")
 
     def trace(self, z: np.ndarray) -> np.ndarray:
         out, good = np.full(len(z), np.nan), ~np.isnan(z[: max(0, len(z) - self.shift)])

@@ -13,6 +13,7 @@ from collections.abc import Iterator, Mapping, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewheel.operators.estimators import TooShort
@@ -200,3 +201,14 @@ def fit_reports(panel: DataFrame, models, report: str, targets: Sequence[str] =
         return [(*at, skip + i, int(s), float(m.gamma[s, i])) for i, s in enumerate(states)]
 
     return _map(dealt, body, f"{_key_schema(panel, keys)}, candidate int, {shapes[report]}")
+
+
+def expanding_ets(panel: DataFrame, transform, y: str = "y", keys: Sequence[str] = KEYS) -> DataFrame:
+    """``panel`` with the column of an ``ExpandingEts`` by its name: the fitted values of a smoothing of all known
+    values but the last ``shift`` steps', each that many steps later; NULL elsewhere and where a series is too short."""
+    last = panel.groupBy(*keys).agg(F.max("t").alias("_last"))
+    known = panel.join(last, list(keys)).where(F.col(y).isNotNull() & ~F.isnan(F.col(y).cast("double")) & (F.col("t") <= F.col("_last") - transform.shift))
+    known = known.select(*keys, F.col(y).alias("y"), F.col("t").alias("_t"), (F.row_number().over(W.partitionBy(*keys).orderBy("t")) - 1).cast("int").alias("t"))
+    fitted = fit_reports(known, transform.ets, "fitted", keys=keys).select(*keys, "t", F.col("value").alias(transform.name))
+    column = known.join(fitted, [*keys, "t"]).select(*keys, (F.col("_t") + transform.shift).cast("int").alias("t"), f"`{transform.name}`")
+    return panel.join(column, [*keys, "t"], "left")

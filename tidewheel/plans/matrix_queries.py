@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewheel.functions import lagfeatures as LF
 from tidewheel.functions import transforms as T
+from tidewheel.operators import css as A
 from tidewheel.operators import hmm_scan as H
 from tidewheel.operators import order_statistics as Q
 from tidewheel.operators import scan as C
@@ -278,6 +279,41 @@ def hmm_maximised(spark, sf):
     return rows.select("series_id", "regime", F.round(F.col("b")[0], 3).alias("intercept"), F.round(F.col("b")[1], 5).alias("slope"))
 
 
+# ARMA orders on a fixed grid.
+
+_GRID = 5
+
+
+def _css(number: int, source: str) -> str:
+    """SQL: errors of an ARMA(1, 1) with parameters f and g (0 where the order lacks them), then the best of each order."""
+    return f"""run{number} AS (
+  SELECT c.series_id, o, f, g, lag_, c.t, e0 AS e, e0 * e0 AS s FROM (SELECT *, CASE WHEN lag_ = 0 THEN v ELSE v - f * before END AS e0 FROM {source} WHERE t = lag_) c
+  UNION ALL
+  SELECT r.series_id, r.o, r.f, r.g, r.lag_, w.t, w.v - r.f * w.before - r.g * r.e, r.s + pow(w.v - r.f * w.before - r.g * r.e, 2) FROM run{number} r JOIN w ON w.series_id = r.series_id AND w.t = r.t + 1
+),
+best{number} AS (SELECT series_id, o, min_by(f, {{'a': aic, 'f': f, 'g': g}}) AS f, min_by(g, {{'a': aic, 'f': f, 'g': g}}) AS g, min(aic) AS aic FROM (
+  SELECT r.series_id, o, f, g, (n - lag_) * (ln(2 * pi() * s / (n - lag_)) + 1) + 2 * (o % 2 + o // 2 + 2) AS aic FROM run{number} r JOIN n ON n.series_id = r.series_id AND r.t = n - 1) GROUP BY 1, 2)"""
+
+
+_ORDERS = "(SELECT o, o // 2 AS lag_ FROM range(0, 4) r(o))"  # o = 2 * p + q
+_AT = f"-{A.REACH} + 2 * {A.REACH} * {{}} / {_GRID - 1}.0::DOUBLE"
+_NEAR = f"greatest(-{A.REACH}, least({A.REACH}, {{}} + {2 * A.REACH / (_GRID - 1)!r}::DOUBLE * (2.0::DOUBLE * {{}} / {_GRID - 1} - 1)))"
+
+
+@query(f"""WITH RECURSIVE {MONTHS}, w AS MATERIALIZED (SELECT series_id, t, v, coalesce(lag(v) OVER {W_}), 0) AS before FROM (SELECT series_id, t, y - avg(y) OVER (PARTITION BY series_id) AS v FROM panel)),
+n AS (SELECT series_id, count(*)::INT AS n FROM w GROUP BY 1),
+c1 AS (SELECT w.*, o, lag_, f, g FROM w, {_ORDERS}, (SELECT {_AT.format('i')} AS f, {_AT.format('j')} AS g FROM range(0, {_GRID}) a(i), range(0, {_GRID}) b(j) UNION SELECT 0, {_AT.format('j')} FROM range(0, {_GRID}) b(j)
+  UNION SELECT {_AT.format('i')}, 0 FROM range(0, {_GRID}) a(i) UNION SELECT 0, 0) WHERE t = lag_ AND (o // 2 = 1 OR f = 0) AND (o % 2 = 1 OR g = 0)),
+{_css(1, 'c1')},
+c2 AS (SELECT DISTINCT w.*, b.o, b.o // 2 AS lag_, CASE WHEN b.o // 2 = 1 THEN {_NEAR.format('b.f', 'i')} ELSE 0 END AS f, CASE WHEN b.o % 2 = 1 THEN {_NEAR.format('b.g', 'j')} ELSE 0 END AS g
+  FROM best1 b JOIN w ON w.series_id = b.series_id AND w.t = b.o // 2, range(0, {_GRID}) x(i), range(0, {_GRID}) y(j)),
+{_css(2, 'c2')}
+SELECT series_id, '(' || o // 2 || ', ' || o % 2 || ')x(0, 0)' AS "order", round(aic, 4) AS aic FROM best2""")
+def tune_arma_grid(spark, sf):
+    """AIC of ARMA orders up to (1, 1) by conditional sums of squares on a grid, refined once."""
+    return A.search_orders(S.monthly_orders(spark, sf), 1, 0, 1, 0, 0, 0, 1, steps=_GRID, rounds=2).select("series_id", "order", _r("aic", 4))
+
+
 # A stream with state, equal to its batch.
 
 
