@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewheel.functions import lagfeatures as LF
-from tidewheel.functions.numeric import adf
-from tidewheel.operators import css, hmm_scan, order_statistics, scan, sweep
+from tidewheel.functions.numeric import adf, stl
+from tidewheel.functions.numeric import loess as local_lines
+from tidewheel.operators import css, hmm_scan, loess, order_statistics, scan, sweep
 from tidewheel.operators.estimators import Lagged
 from tidewheel.operators.folds import cutoffs
 from tidewheel.operators.hmm import MarkovSwitching
@@ -283,3 +284,28 @@ def test_search_of_orders(spark):
     assert found["a", "(1, 0)x(0, 0)"].parameters[0] == pytest.approx(0.7, abs=0.12) and found["a", "(1, 0)x(0, 0)"].aic < found["a", "(0, 0)x(0, 0)"].aic - 50
     seasonal = css.search_orders(panel(spark, {"s": 30.0 + 5.0 * np.sin(np.arange(60) * np.pi / 2) + rng.normal(size=60)}), 0, 0, 0, 1, 1, 0, 4, steps=5, rounds=2)
     assert {r.order for r in seasonal.collect()} == {"(0, 0)x(0, 0)", "(0, 0)x(1, 0)"}
+
+
+# local regression
+
+
+@pytest.mark.parametrize("span,extend", [(5, 0), (7, 1), (6, 0), (25, 1)])
+def test_loess_frames_equal_local_lines(spark, span, extend):
+    rng = np.random.default_rng(3)
+    series = {"a": rng.normal(size=40), "b": rng.normal(size=span), "c": rng.normal(size=4), "d": rng.normal(size=span + 1)}
+    out = loess.loess(panel(spark, series), span, extend=extend).collect()
+    for name, y in series.items():
+        got = {r.t: r.smooth for r in out if r.series_id == name}
+        at = np.arange(-float(extend), len(y) + extend)
+        assert got == pytest.approx(dict(zip(at.astype(int).tolist(), local_lines(y, span, at=at))), abs=1e-9)
+
+
+def test_decomposition_equals_the_packed_one(spark):
+    rng = np.random.default_rng(4)
+    y = 20.0 + 0.1 * np.arange(75) + 3.0 * np.sin(np.arange(75) * 2 * np.pi / 6) + rng.normal(0, 0.3, 75)
+    rows = loess.decompose(panel(spark, {"a": y, "short": y[:11], "gap": np.where(np.arange(40) == 3, np.nan, y[:40])}), 6).orderBy("t").collect()
+    assert {r.series_id for r in rows} == {"a"}
+    level, season, rest = stl(y, 6)
+    assert np.allclose([r.trend for r in rows], level) and np.allclose([r.seasonal for r in rows], season) and np.allclose([r.remainder for r in rows], rest)
+    strong = loess.strengths(panel(spark, {"a": y}), 6).first()
+    assert strong.seasonality_strength > 0.9 and strong.trend_strength > 0.9

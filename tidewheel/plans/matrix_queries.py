@@ -8,6 +8,7 @@ from tidewheel.functions import lagfeatures as LF
 from tidewheel.functions import transforms as T
 from tidewheel.operators import css as A
 from tidewheel.operators import hmm_scan as H
+from tidewheel.operators import loess as L
 from tidewheel.operators import order_statistics as Q
 from tidewheel.operators import scan as C
 from tidewheel.operators import sweep as X
@@ -314,6 +315,41 @@ def tune_arma_grid(spark, sf):
     return A.search_orders(S.monthly_orders(spark, sf), 1, 0, 1, 0, 0, 0, 1, steps=_GRID, rounds=2).select("series_id", "order", _r("aic", 4))
 
 
+# Local regression.
+
+_PERIOD, _SEASONAL, _WIDTH, _LOW = 24, 7, 47, 25
+
+
+def _loess(name: str, keys: str, source: str, span: int, extend: int = 0) -> str:
+    """SQL: weighted lines around every step of source (keys, i, v), i from 0."""
+    on = " AND ".join(f"s.{k} = b.{k}" for k in keys.split(", "))
+    own = ", ".join(f"b.{k}" for k in keys.split(", "))
+    return f"""{name}_n AS (SELECT {keys}, count(*) AS n, least({span}, count(*)) AS q FROM {source} GROUP BY ALL),
+{name}_b AS (SELECT *, greatest(abs(a - p), abs(a + q - 1 - p)) * CASE WHEN {span} <= n THEN 1 ELSE {span}::DOUBLE / n END * 1.0000001::DOUBLE AS h
+  FROM (SELECT *, least(greatest(0, ceil(p - q / 2.0)), n - q)::BIGINT AS a FROM (SELECT *, unnest(range(-{extend}, n + {extend})) AS p FROM {name}_n))),
+{name}_m AS (SELECT {own}, p, sum(w) AS s0, sum(w * x) AS s1, sum(w * x * x) AS s2, sum(w * v) AS r0, sum(w * x * v) AS r1 FROM (
+  SELECT {own}, p, s.i - p AS x, v, pow(1 - pow(abs(s.i - p) / h, 3), 3) AS w FROM {name}_b b JOIN {source} s ON {on} AND s.i BETWEEN a AND a + q - 1) b GROUP BY ALL),
+{name} AS (SELECT {keys}, p AS i, r0 / s0 - (r1 - s1 * r0 / s0) / (s2 - s1 * s1 / s0) * s1 / s0 AS v FROM {name}_m)"""
+
+
+@query(f"""WITH {SERIES}, phases AS (SELECT series_id, t % {_PERIOD} AS phase, t // {_PERIOD} AS i, y AS v FROM panel),
+{_loess('cyc', 'series_id, phase', 'phases', _SEASONAL, 1)},
+c0 AS (SELECT series_id, phase + (i + 1) * {_PERIOD} AS i, v FROM cyc),
+c1 AS (SELECT series_id, i, avg(v) OVER w AS v FROM c0 WINDOW w AS (PARTITION BY series_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {_PERIOD - 1} FOLLOWING) QUALIFY count(*) OVER w = {_PERIOD}),
+c2 AS (SELECT series_id, i, avg(v) OVER w AS v FROM c1 WINDOW w AS (PARTITION BY series_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {_PERIOD - 1} FOLLOWING) QUALIFY count(*) OVER w = {_PERIOD}),
+c3 AS (SELECT series_id, i, avg(v) OVER w AS v FROM c2 WINDOW w AS (PARTITION BY series_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) QUALIFY count(*) OVER w = 3),
+{_loess('flat', 'series_id', 'c3', _LOW)},
+season AS (SELECT c.series_id, f.i, c.v - f.v AS s FROM flat f JOIN c0 c ON c.series_id = f.series_id AND c.i = f.i + {_PERIOD}),
+rest AS (SELECT p.series_id, s.i, p.y - s AS v FROM season s JOIN panel p ON p.series_id = s.series_id AND p.t = s.i),
+{_loess('level', 'series_id', 'rest', _WIDTH)},
+parts AS (SELECT p.series_id, l.v AS level, s.s AS season, p.y - s.s - l.v AS r FROM level l JOIN season s ON s.series_id = l.series_id AND s.i = l.i JOIN panel p ON p.series_id = l.series_id AND p.t = l.i)
+SELECT series_id, round(greatest(0, 1 - var_pop(r) / var_pop(r + level)), 6) AS trend_strength, round(greatest(0, 1 - var_pop(r) / var_pop(r + season)), 6) AS seasonality_strength FROM parts GROUP BY 1""")
+def stl_strength_frames(spark, sf):
+    """Strengths of trend and season by one pass of weighted frames."""
+    out = L.strengths(S.hourly_events(spark, sf), _PERIOD, inner=1)
+    return out.select("series_id", _r("trend_strength"), _r("seasonality_strength"))
+
+
 # A stream with state, equal to its batch.
 
 
