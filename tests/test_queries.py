@@ -1,5 +1,7 @@
 """Every query with SQL agrees with DuckDB on the smallest tables; the rest run."""
 
+import math
+
 import duckdb
 import pandas as pd
 import pytest
@@ -11,20 +13,30 @@ SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
 
 
+def _text(v):
+    if v is None or v is pd.NaT:
+        return ""
+    if isinstance(v, float) and not math.isfinite(v):
+        raise AssertionError(f"not a number: {v}")
+    return str(v) if isinstance(v, bool) or not isinstance(v, (int, float)) else f"{float(v):.6f}"
+
+
 def _norm(rows):
-    return sorted(tuple("" if v is None or v is pd.NaT else (f"{float(v):.4f}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)) for v in r) for r in rows)
+    return sorted(tuple(map(_text, r)) for r in rows)
 
 
 @pytest.mark.parametrize("name", sorted(catalogue.ORACLE_SQL))
 def test_oracle(spark, name):
     found = catalogue.QUERIES[name](spark, SF)
     columns = sorted(found.columns)
+    rows = [tuple(r[c] for c in columns) for r in found.collect()]
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
-    wanted = con.execute(catalogue.ORACLE_SQL[name]).df()
-    assert sorted(wanted.columns) == columns
-    a, b = _norm(found.select(*[f"`{c}`" for c in columns]).toPandas().itertuples(index=False)), _norm(wanted[columns].itertuples(index=False))
+    answer = con.execute(catalogue.ORACLE_SQL[name])
+    names = [d[0] for d in answer.description]
+    assert sorted(names) == columns
+    a, b = _norm(rows), _norm([tuple(r[names.index(c)] for c in columns) for r in answer.fetchall()])
     assert len(a) == len(b)
     off = [(x, y) for x, y in zip(a, b) if x != y]
     assert a and not off, off[:3]
