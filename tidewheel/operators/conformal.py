@@ -65,6 +65,22 @@ def residual_distribution(point: DataFrame, residuals: DataFrame, keys: Sequence
     return point.join(residuals.select(*keys, "h", "fold", "resid"), [*keys, "h"]).select(*keys, "h", "fold", F.greatest(F.lit(SAMPLE_FLOOR), F.col("yhat") + F.col("resid")).alias("value"))
 
 
+def hashed(seed: int, *parts: Column | str) -> Column:
+    """md5 of the seed and ``parts``, 32 hex digits."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[(F.col(p) if isinstance(p, str) else p).cast("string") for p in parts]))
+
+
+def uniform(digest: Column, at: int) -> Column:
+    """Between 0 and 1: eight hex digits from place ``at``."""
+    return (F.conv(F.substring(digest, at, 8), 16, 10).cast("double") + 0.5) / 4294967296.0
+
+
+def normal(seed: int, *parts: Column | str) -> Column:
+    """A standard normal number that depends on nothing but the seed and ``parts``, by Box and Muller's formula."""
+    digest = hashed(seed, *parts)
+    return F.sqrt(-2.0 * F.ln(uniform(digest, 1))) * F.cos(2.0 * F.pi() * uniform(digest, 9))
+
+
 def bootstrap(point: DataFrame, residuals: DataFrame, samples: int = 1000, kind: str = "empirical", seed: int = 42, keys: Sequence[str] = KEYS) -> DataFrame:
     """(keys, h, sample_id, value): residuals drawn with replacement, for ``kde`` smoothed by a
     normal of Scott's bandwidth.  Draws are hashed from seed, key, step and sample, so any
@@ -73,11 +89,11 @@ def bootstrap(point: DataFrame, residuals: DataFrame, samples: int = 1000, kind:
         raise ValueError(f"unknown bootstrap: {kind}")
     held = residuals.groupBy(*keys, "h").agg(F.array_sort(F.collect_list("resid")).alias("r"), F.stddev_samp("resid").alias("sd"))
     drawn = point.join(held, [*keys, "h"]).withColumn("sample_id", F.explode(F.sequence(F.lit(1), F.lit(samples))))
-    uniform = lambda salt: (F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), *keys, "h", "sample_id"), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    value = F.col("yhat") + F.element_at("r", (F.floor(uniform("pick") * F.size("r")) + 1).cast("int"))
+    pick = uniform(hashed(seed, F.lit("pick"), *keys, "h", "sample_id"), 1)
+    value = F.col("yhat") + F.element_at("r", (F.floor(pick * F.size("r")) + 1).cast("int"))
     if kind == "kde":
-        normal = F.sqrt(-2.0 * F.ln(uniform("u"))) * F.cos(2.0 * F.pi() * uniform("v"))
-        value = value + normal * F.coalesce("sd", F.lit(0.0)) * F.pow(F.size("r").cast("double"), -0.2)
+        noise = normal(seed, F.lit("noise"), *keys, "h", "sample_id")
+        value = value + noise * F.coalesce("sd", F.lit(0.0)) * F.pow(F.size("r").cast("double"), -0.2)
     return drawn.select(*keys, "h", "sample_id", F.greatest(F.lit(SAMPLE_FLOOR), value).alias("value"))
 
 
@@ -98,14 +114,6 @@ def cholesky(a: Column, size: int) -> Column:
     return F.aggregate(numbers, start, step, lambda s: s["l"])
 
 
-def normal(seed: int, *parts: Column | str) -> Column:
-    """A standard normal number that depends on nothing but the seed and ``parts``: Box and Muller's formula on two
-    32-bit numbers of their md5."""
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *[(F.col(p) if isinstance(p, str) else p).cast("string") for p in parts]))
-    uniform = lambda at: (F.conv(F.substring(digest, at, 8), 16, 10).cast("double") + 0.5) / 4294967296.0
-    return F.sqrt(-2.0 * F.ln(uniform(1))) * F.cos(2.0 * F.pi() * uniform(9))
-
-
 def correlated_paths(point: DataFrame, residuals: DataFrame, samples: int = 1000, seed: int = 42, keys: Sequence[str] = KEYS) -> DataFrame:
     """(keys, sample_id, h, value): normal paths with the residuals' mean and covariance across steps (1 to the
     longest forecast; folds that lack a step are left out).

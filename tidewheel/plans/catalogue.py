@@ -554,19 +554,26 @@ def differencing_orders(spark, sf):
     return D.differences_needed(panel).join(D.seasonal_differences_needed(panel, 12), "series_id")
 
 
-@query()
+_NORMAL = "sqrt(-2 * ln((('0x' || substr(d, 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)) * cos(2 * pi() * (('0x' || substr(d, 9, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)"
+_DRAWN = f"""held AS (SELECT series_id, h, list(e ORDER BY e) AS r, stddev_samp(e) AS sd FROM resid GROUP BY 1, 2),
+drawn AS (SELECT series_id, h, s, yhat + r[floor((('0x' || substr(md5('42:pick:' || series_id || ':' || h || ':' || s), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296 * len(r))::INT + 1] AS base, sd, len(r) AS n,
+  md5('42:noise:' || series_id || ':' || h || ':' || s) AS d FROM point JOIN held USING (series_id, h), range(1, 1001) a(s))"""
+
+
+@query(f"""WITH {SERIES}, {CALIBRATION}, {_DRAWN} SELECT series_id, h::INT AS h, s::INT AS sample_id, round(greatest(0.1, base), 6) AS value FROM drawn""")
 def bootstrap_empirical(spark, sf):
     rows, point = _naive_calibration(S.hourly_events(spark, sf))
-    return C.bootstrap(point, rows)
+    return C.bootstrap(point, rows).select("series_id", "h", "sample_id", _r("value"))
 
 
-@query()
+@query(f"""WITH {SERIES}, {CALIBRATION}, {_DRAWN}, v AS (SELECT series_id, h, list_sort(list(greatest(0.1, base + {_NORMAL} * coalesce(sd, 0) * pow(n, -0.2)))) AS v FROM drawn GROUP BY 1, 2)
+SELECT series_id, h::INT AS h, q::DOUBLE AS quantile, round(v[floor(round(l * (len(v) - 1), 9))::INT + 1], 4) AS value FROM v,
+ (VALUES (0.1, {C.conformal_level(0.1, _WINDOWS)!r}), (0.5, {C.conformal_level(0.5, _WINDOWS)!r}), (0.9, {C.conformal_level(0.9, _WINDOWS)!r})) x(q, l)""")
 def bootstrap_kde(spark, sf):
     rows, point = _naive_calibration(S.hourly_events(spark, sf))
-    return C.sample_quantiles(C.bootstrap(point, rows, kind="kde"), [0.1, 0.5, 0.9], _WINDOWS)
+    return C.sample_quantiles(C.bootstrap(point, rows, kind="kde"), [0.1, 0.5, 0.9], _WINDOWS).select("series_id", "h", "quantile", _r("value", 4))
 
 
-_NORMAL = "sqrt(-2 * ln((('0x' || substr(d, 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)) * cos(2 * pi() * (('0x' || substr(d, 9, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)"
 
 
 @query(f"""WITH RECURSIVE {SERIES}, {CALIBRATION.replace("SELECT f.series_id, p.t - f.cutoff + 1 AS h, p.y,", "SELECT f.series_id, f.cutoff, p.t - f.cutoff + 1 AS h, p.y,")},
