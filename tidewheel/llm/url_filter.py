@@ -32,7 +32,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -165,9 +164,9 @@ def ratios(cells: DataFrame, low: np.ndarray) -> DataFrame:
     for k in range(ORDER - 1, 1, -1):
         short = F.expr(f"gram & {(1 << 8 * (k + 1)) - 1}L AS gram")
         orders[k] = orders[k + 1].groupBy(short).agg(*[F.expr(f"sum(n{x}) AS n{x}") for x in models])
-    flat = low.reshape(SYMBOLS * SYMBOLS, len(models))
-    pairs = pa.table({"below": pa.array(np.arange(SYMBOLS * SYMBOLS))} | {f"q{x}": pa.array(np.ascontiguousarray(flat[:, c])) for c, x in enumerate(models)})
-    below = F.broadcast(cells.sparkSession.createDataFrame(pairs))  # 65,536 rows
+    rows = [(k, *q) for k, q in enumerate(low.reshape(SYMBOLS * SYMBOLS, len(models)).tolist())]
+    shape = "below long, " + ", ".join(f"q{x} double" for x in models)
+    below = F.broadcast(cells.sparkSession.createDataFrame(rows, shape, verifySchema=False))  # 65,536 rows
     totals = [F.expr(f"sum(n{x}) AS t{x}") for x in models] + [F.expr(f"count(CASE WHEN n{x} > 0 THEN 1 END) AS k{x}") for x in models]
     smoothed = [f"CASE WHEN t{x} > 0 THEN (n{x} + k{x} * q{x}) / (t{x} + k{x}) ELSE q{x} END AS q{x}" for x in models]
     for k in range(2, ORDER + 1):
