@@ -126,6 +126,123 @@ def test_levels_of_a_stream_with_late_rows(spark, tmp_path):
     }
 
 
+class _Blocks(dict):
+    """A map state that tells how many rows were handed over at once."""
+
+    most = 0
+
+    def updateValue(self, key, value):
+        self.most = max(self.most, len(value[0]) // 32)
+        self[key] = value
+
+    getValue, removeKey = dict.__getitem__, dict.__delitem__
+
+
+def test_waiting_rows_pass_in_blocks(monkeypatch):
+    """Runs of unequal lengths, many equal times, taken in three goes and added to between: all rows in order, no
+    block or piece above its size however long the series, and nothing left in state."""
+    from tidewheel.streaming import levels as SL
+
+    monkeypatch.setattr(SL, "BLOCK", 8)
+    monkeypatch.setattr(SL, "FAN", 3)
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 7, 100, 3000):
+        rows = np.stack((rng.integers(-5, 40, n), rng.integers(0, 2, n), rng.integers(0, 9, n), rng.normal(size=n).view(np.int64)), axis=1)
+        blocks, out, runs = _Blocks(), [], 0
+        waiting = SL.Waiting(blocks, [], 0)
+        for part in np.split(rows, np.sort(rng.integers(0, n + 1, 40))):
+            waiting.add([SL._sorted(part)])
+            waiting = SL.Waiting(blocks, [list(r) for r in waiting.runs], waiting.free)  # as the next batch finds it
+            runs = max(runs, len(waiting.runs))
+        assert sum(len(v[0]) // 32 for v in blocks.values()) == n
+        for end in (10, 11, 60):
+            pieces = list(waiting.take(end))
+            assert all(len(p) <= 8 * runs for p in pieces)
+            out += pieces
+            early = SL._sorted(np.concatenate([np.empty((0, 4), np.int64), *out]))
+            assert np.array_equal(early, SL._sorted(rows[rows[:, 0] < end])) and np.array_equal(early, np.concatenate([np.empty((0, 4), np.int64), *out]))
+            assert waiting.first() == (rows[rows[:, 0] >= end, 0].min() if (rows[:, 0] >= end).any() else None)
+        assert blocks.most <= 8 and runs <= 3 * 6 and not blocks and not waiting.runs
+
+
+class _Handle:
+    """State of one series in memory, with the largest value that was stored."""
+
+    def __init__(self):
+        self.most, self.timers, self.maps, self.value = 0, [], _Blocks(), None
+
+    def getValueState(self, name, shape):
+        return self
+
+    def getMapState(self, name, key, value):
+        return self.maps
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value, self.most = value, max(self.most, *(len(v) for v in value if isinstance(v, list)))
+
+    def listTimers(self):
+        return self.timers
+
+    def deleteTimer(self, at):
+        self.timers = [t for t in self.timers if t != at]
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+def test_levels_hold_no_series_whole():
+    """A series of 150,000 rows out of order: no value of state and no frame grows with it."""
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    from tidewheel.streaming.levels import Levels
+
+    n, now = 150_000, 30_000
+    rng = np.random.default_rng(2)
+    rows = pd.DataFrame({"at": rng.integers(1, 40_000, n) * 1000, "unknown": 0, "row_id": np.arange(n), "y": rng.normal(size=n)})
+    handle, levels = _Handle(), Levels(0.5, 0.9, 20)
+    levels.init(handle)
+    clock = lambda ms: SimpleNamespace(getCurrentWatermarkInMs=lambda: ms)
+    assert not [len(f) for f in levels.handleInputRows(("a",), (rows[k : k + 10_000] for k in range(0, n, 10_000)), clock(0)) if len(f)]
+    assert handle.timers == [rows["at"].min() // 1000]
+    frames = list(levels.handleExpiredTimer(("a",), clock(now), None))
+    assert max(len(f) for f in frames) <= 10_000 and handle.most <= 50 and handle.maps.most <= 2048
+    out = pd.concat(frames)
+    rows = rows.sort_values(["at", "row_id"])
+    rows = rows[rows["at"] <= now * 1000]
+    assert np.array_equal(out["row_id"], rows["row_id"]) and handle.timers == [now + 1]
+    level, errors, wanted = None, [], []
+    for y in rows["y"]:
+        if level is None:
+            level = y
+            continue
+        errors, level = (errors + [abs(y - level)])[-20:], level + 0.5 * (y - level)
+        wanted.append((level, sorted(errors)[int(round(0.9 * (len(errors) - 1), 9))]))
+    assert list(zip(out["level"], out["width"]))[1:] == wanted
+    assert sum(len(f) for f in levels.handleExpiredTimer(("a",), clock(50_000), None)) == n - len(out) and not handle.maps and not handle.timers
+
+
+def test_levels_of_rows_without_ids(spark, tmp_path):
+    """Large ids stay exact beside null ones, which come last among equal times."""
+    from datetime import datetime, timedelta
+
+    from tidewheel.streaming.levels import levels, written
+
+    at = lambda m: datetime(2024, 1, 1) + timedelta(minutes=m)
+    rows = [("a", at(0), None, 8.0), ("a", at(0), (1 << 60) + 1, 4.0), ("a", at(0), -3, 2.0), ("a", at(300), 5, 1.0)]
+    frame = spark.createDataFrame(rows, "s string, ts timestamp, id long, y double")
+    frame.coalesce(1).write.parquet(str(tmp_path / "in"))
+    found = written(levels(features.read_stream(spark, str(tmp_path / "in"), frame.schema), "s", "ts", "id", "y", 0.5), folder=f"file://{tmp_path}/out")
+    assert {(r.row_id, r.level) for r in found.collect()} == {(-3, 2.0), ((1 << 60) + 1, 3.0), (None, 5.5)}
+
+
 def test_expanding_ets_as_a_column(spark):
     y = {"a": [3.0, 5.0, None, 4.0, 6.0, 5.0, 8.0, 7.0], "b": [1.0], "c": [2.0, 2.5, 3.5, 3.0]}
     df = spark.createDataFrame([(s, t, v) for s, values in y.items() for t, v in enumerate(values)], "series_id string, t int, y double")
