@@ -6,9 +6,11 @@ import io
 import random
 import zlib
 from math import floor
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -63,6 +65,33 @@ def test_encoder_gives_other_tokenizers_whole_texts():
     assert [np.frombuffer(ids, "<u4").tolist() for ids in encoder.encode(texts)] == wanted
 
 
+def test_equal_pieces_are_encoded_once(monkeypatch):
+    """Whatever stands around spaces, ids are the library's; words that texts share are neither cut nor
+    looked up one by one, and the store of pieces stays bounded."""
+    monkeypatch.setattr(token_store, "PIECES", 300)
+    cut = []
+    monkeypatch.setattr(token_store, "RUNS", SimpleNamespace(findall=lambda text, find=token_store.RUNS.findall: cut.append(len(text)) or find(text)))
+    encoder, rng = token_store.TextEncoder(BYTE_BPE), random.Random(8)
+    words = ["".join(rng.choices("abcdeé,.!", k=rng.randrange(1, 9))) for _ in range(500)]
+    for _ in range(3):
+        texts = [" ".join(rng.choices(words, k=200)) for _ in range(60)]
+        assert encoder.encode(texts) == encoder.whole(texts)
+        assert len(encoder.pieces) <= 300 and len(encoder.ids) == encoder.ends[-1] and len(encoder.last) == len(encoder.pieces) == len(encoder.ends) - 1
+    assert sum(cut) < 3 * 60 * 20  # first pieces alone
+    odd = [" ", "  ", "   ", "\n", "\t", "\r\n", "\xa0", "\u3000", "\x85", "\x1c", "\0", "a", "The", ".", "!!", "'s", "1", "é", "中文", "👍", "\u0301", "x" * 70, "<|endof"]
+    texts = ["".join(rng.choices(odd, k=rng.randrange(14))) for _ in range(20_000)] + ["", None, "  ", "a ", " \n a", "x" * 5000, " " * 5000]
+    assert [i for k in range(0, len(texts), 999) for i in encoder.encode(texts[k : k + 999])] == encoder.whole([t or "" for t in texts])
+
+
+def test_slices_are_bounded_in_rows_and_bytes(monkeypatch):
+    monkeypatch.setattr(token_store, "ROWS", 4)
+    monkeypatch.setattr(token_store, "ROWS_BYTES", 10)
+    texts = ["é" * 5, "a", None, "", "", "", "b" * 30, "c" * 9, "d", "e"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], names=["id", "text"])
+    assert [part.column(0).to_pylist() for part in token_store.slices(batch)] == [[0], [1, 2, 3, 4], [5], [6], [7, 8], [9]]
+    assert not list(token_store.slices(batch.slice(0, 0)))
+
+
 @pytest.mark.parametrize("n", [0, 1, 7, 8, 511, 512, 513, 3000])
 @pytest.mark.parametrize("bits", [1, 8, 17, 31])
 def test_codes_give_back_every_token(n, bits):

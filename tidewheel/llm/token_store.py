@@ -14,10 +14,12 @@ number of its range and its number there; what a file begins with follows from t
 ranges before.  Files carry names of the attempt that wrote them and the manifest lists those that
 count, so lost or repeated tasks leave nothing half-read.
 
-Texts are tokenized by the tokenizers library.  For byte-level BPE behind its own pattern, runs
-without white space are looked up among the ones met before (bounded stores) and only the others
-go to the library, many at a time; that is exact, as no pre-token crosses from text to white space.
-Texts that hold an added token's string, and all texts for any other tokenizer, go there whole.
+Texts are tokenized by the tokenizers library.  For byte-level BPE behind its own pattern, texts are
+split before every space, the pieces of many texts are counted as one each (Arrow), looked up among
+those met before (bounded stores), and only the others go to the library, many at a time.  That is
+exact, as a pre-token reaches over a space only in white space that goes on behind it; texts where
+some does, and long pieces, are cut into runs with and without white space instead.  Texts
+that hold an added token's string, and all texts for any other tokenizer, go there whole.
 
 Defined cases: null text is empty, so a document of it holds the end id alone; null ids come last;
 rows that share an id stand in order of their texts' digests, equal rows one after another; an
@@ -34,9 +36,11 @@ import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -46,8 +50,9 @@ from tidewheel.llm._session import cut, fresh_folder, partitions
 
 #: Fixed values of the format: magic, bits of the bitmap per counter of the rank directory.
 MAGIC, STRIDE = b"DACIDS1\n", 512
-#: Ids of a file; texts tokenized at once; runs in each of two stores, and the longest one stored.
-FILE_TOKENS, ROWS, MEMO, MEMO_CHARS = 8 << 20, 256, 450_000, 64
+#: Ids of a file; texts tokenized at once and their bytes (one text's at least); runs in each of two
+#: stores, pieces in another, and the longest one stored.
+FILE_TOKENS, ROWS, ROWS_BYTES, MEMO, PIECES, MEMO_CHARS = 8 << 20, 1024, 8 << 20, 450_000, 1_000_000, 64
 #: Runs given to the library as one text.
 JOINED = 1000
 #: The characters with Unicode's White_Space property.
@@ -55,6 +60,8 @@ SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Letters in every version of Unicode, and marks that no pre-token shares with them.
 LETTERS, MARKS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u017f", ".,;:!?"
 RUNS = re.compile(f" ?[{LETTERS}]++(?=[{SPACE}{MARKS}]|$)| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+#: A space that may be in one pre-token with what is before it (for Arrow's expressions).
+INSIDE = rf"[{SPACE}] (?:[{SPACE}]|\z)"
 BITS = np.array([bin(b).count("1") for b in range(256)], np.int64)
 
 
@@ -78,14 +85,19 @@ class TextEncoder:
         self.led[[i for token, i in vocabulary.items() if token.startswith("Ġ")]] = True
         self.memo: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        # pieces without the space before them, by number; where the ids of each begin and end; when it was last met
+        self.pieces: dict[str, int] = {}
+        self.ids, self.ends, self.last, self.now = np.zeros(0, "<u4"), np.zeros(1, np.int64), np.zeros(0, np.int64), 0
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, fresh: list[str]) -> dict[str, bytes]:
-        """Ids of runs.  Those that begin with a space are joined: each then begins where an id does
-        that begins with a space, as it holds no other."""
-        joint, lone = [r for r in fresh if len(r) > 1 and r[0] == " "], [r for r in fresh if len(r) < 2 or r[0] != " "]
+        """Ids of runs or pieces.  Those that begin with a space, no more white space behind it, are joined: each
+        then begins where an id does that begins with a space, as it holds no other."""
+        joint, lone = [], []
+        for r in fresh:
+            (joint if len(r) > 1 and r[0] == " " and not r[1].isspace() else lone).append(r)
         found = dict(zip(lone, self.whole(lone)))
         groups = [joint[at : at + JOINED] for at in range(0, len(joint), JOINED)]
         for group, ids in zip(groups, self.whole(["".join(g) for g in groups])):
@@ -99,14 +111,83 @@ class TextEncoder:
         return found
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        return self.encode_column(pa.array(texts, pa.string()))
+
+    def encode_column(self, texts: pa.Array) -> list[bytes]:
+        texts = texts.fill_null("")
         if not self.by_runs:
-            return self.whole([t or "" for t in texts])
-        apart = {k for k, t in enumerate(texts) if t and any(a in t for a in self.added)}
-        if apart:  # texts with added tokens are cut at them first
-            found = dict(zip(sorted(apart), self.whole([texts[k] for k in sorted(apart)])))
-            rest = iter(self.encode([t for k, t in enumerate(texts) if k not in apart]))
-            return [found[k] if k in apart else next(rest) for k in range(len(texts))]
-        held = [RUNS.findall(t) if t else [] for t in texts]
+            return self.whole(texts.to_pylist())
+        apart = np.zeros(len(texts), bool)
+        for token in self.added:  # texts with added tokens are cut at them first
+            apart |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        cut = pc.match_substring_regex(texts, INSIDE).to_numpy(zero_copy_only=False) & ~apart
+        out: list[bytes] = [b""] * len(texts)
+        for which, how in ((apart, lambda t: self.whole(t.to_pylist())), (cut, lambda t: self._by_runs(t.to_pylist())), (~apart & ~cut, self._by_pieces)):
+            if which.any():
+                for k, data in zip(np.flatnonzero(which).tolist(), how(texts.filter(pa.array(which)))):
+                    out[k] = data
+        return out
+
+    def _by_runs(self, texts: list[str]) -> list[bytes]:
+        return [b"".join(ids) for ids in self._met([RUNS.findall(t) for t in texts])]
+
+    def _by_pieces(self, texts: pa.Array) -> list[bytes]:
+        """Every piece but a text's first has a space before it.  Equal ones are encoded once, then their ids are laid
+        where they occur."""
+        split = pc.split_pattern(texts, " ")
+        at, pieces = split.offsets.to_numpy(), split.values.dictionary_encode()
+        codes = pieces.indices.to_numpy()
+        inner = np.ones(len(codes), bool)
+        inner[at[:-1]] = False
+        used = np.zeros(len(pieces.dictionary), bool)
+        used[codes[inner]] = True
+        table, begins, lengths = self._table(pieces.dictionary.filter(pa.array(used)).to_numpy(zero_copy_only=False).tolist())
+        stored = len(lengths)
+        firsts = self._by_runs(split.values.take(pa.array(at[:-1])).to_pylist())
+        sizes = np.array([len(f) // 4 for f in firsts], np.int64)
+        begins = np.concatenate((begins, len(table) + np.cumsum(sizes) - sizes))
+        lengths, table = np.concatenate((lengths, sizes)), np.concatenate((table, np.frombuffer(b"".join(firsts), "<u4")))
+        codes = (np.cumsum(used) - 1)[codes]
+        codes[at[:-1]] = stored + np.arange(len(texts))
+        begins, lengths = begins[codes], lengths[codes]
+        ends = np.concatenate(([0], np.cumsum(lengths)))
+        out = []
+        for k in range(0, len(texts), 64):  # few enough for a cache
+            a, b = at[k], at[min(k + 64, len(texts))]
+            places = np.repeat(begins[a:b] - ends[a:b], lengths[a:b]) + np.arange(ends[a], ends[b])
+            data, cuts = table[places].tobytes(), (4 * (ends[at[k : k + 65]] - ends[a])).tolist()
+            out += [data[x:y] for x, y in zip(cuts[:-1], cuts[1:])]
+        return out
+
+    def _table(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of different pieces with a space before them: a table, where each begins there and how many it has."""
+        self.now += 1
+        held = len(self.pieces)
+        where = np.fromiter(map(self.pieces.get, pieces, repeat(-1)), np.int64, len(pieces))
+        new, long = [], []
+        self.last[where[where >= 0]] = self.now
+        for k in np.flatnonzero(where < 0).tolist():
+            (new if len(pieces[k]) <= MEMO_CHARS else long).append(k)
+        fresh = [" " + pieces[k] for k in new]
+        learnt = self._learn(fresh)
+        ids = [learnt[p] for p in fresh] + self._by_runs([" " + pieces[k] for k in long])
+        table = np.concatenate((self.ids, np.frombuffer(b"".join(ids), "<u4")))
+        ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum([len(i) // 4 for i in ids], dtype=np.int64)))
+        where[new + long] = held + np.arange(len(ids))
+        self.pieces.update(zip([pieces[k] for k in new], range(held, held + len(new))))
+        self.last = np.concatenate((self.last, np.full(len(new), self.now)))
+        self.ends = ends[: len(self.pieces) + 1]
+        self.ids = table[: self.ends[-1]]
+        if len(self.pieces) > PIECES:  # the half that was met last stays
+            stays = np.zeros(len(self.pieces), bool)
+            stays[np.argsort(self.last, kind="stable")[-(PIECES // 2) :]] = True
+            sizes = np.diff(self.ends)
+            self.ids, self.ends, self.last = self.ids[np.repeat(stays, sizes)], np.concatenate(([0], np.cumsum(sizes[stays]))), self.last[stays]
+            self.pieces = {p: k for k, p in enumerate(compress(self.pieces, stays.tolist()))}
+        return table, ends[where], ends[where + 1] - ends[where]
+
+    def _met(self, held: list[list[str]]) -> list[list[bytes]]:
+        """Ids of every run or piece, from the stores or the library."""
         parts = [list(map(self.memo.get, runs)) for runs in held]
         gaps = []
         for runs, ids in zip(held, parts):
@@ -118,12 +199,11 @@ class TextEncoder:
         learnt |= self._learn([run for run in fresh if run not in learnt])
         for ids, at, run in gaps:
             ids[at] = learnt[run]
-        out = [b"".join(ids) for ids in parts]
         if len(self.memo) + len(learnt) > MEMO:  # what was met lately stays for a while
             self.old, self.memo = self.memo, {}
         short = max(map(len, learnt), default=0) <= MEMO_CHARS
         self.memo.update(learnt if short else {run: ids for run, ids in learnt.items() if len(run) <= MEMO_CHARS})
-        return out
+        return parts
 
 
 @lru_cache(maxsize=2)
@@ -131,6 +211,17 @@ def text_encoder(path: str) -> TextEncoder:
     return TextEncoder(path)
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows (id, text) in order, up to ``ROWS`` of them with up to ``ROWS_BYTES`` of text, or one alone."""
+    ends = np.cumsum(pc.binary_length(batch.column(1)).fill_null(0).to_numpy().astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        full = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + ROWS_BYTES, "right"))
+        to = min(at + ROWS, max(at + 1, full))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def best_widths(lengths: np.ndarray) -> list[int]:
     """Widths of the levels that take the fewest bits, bitmaps and rank directories included, for
     ``lengths[b]`` ids of b bits: the cheapest way over the cuts between bits 0 and the longest."""
@@ -315,9 +406,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int | Non
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds)], names=names)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
-                for doc_id, data in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist())):
+            for part in slices(batch):
+                for doc_id, data in zip(part.column(0).to_pylist(), encoder.encode_column(part.column(1))):
                     data += tail
                     if ids and size + len(data) // 4 > FILE_TOKENS:
                         yield flush()
